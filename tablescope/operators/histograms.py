@@ -43,7 +43,8 @@ class Bins:
         first = F.greatest(F.lit(0), F.least(
             F.floor((x - lo) / F.lit(self.hi - self.lo) * F.lit(float(self.n))), F.lit(last))).cast("int")
         return (
-            F.when(x < first * width + lo, first - 1)
+            F.when(x.isNull(), F.lit(None).cast("int"))     # least/greatest would skip the null
+            .when(x < first * width + lo, first - 1)
             .when((first < last) & (x >= (first + 1) * width + lo), first + 1)
             .otherwise(first)
         )

@@ -1,8 +1,8 @@
 """Lenient CSV reading.
 
 The file is first looked at as raw bytes per partition (is it UTF-8?) and as a
-bounded head of lines (which separator?). Rows with a wrong number of fields
-are found in the parse itself. Nothing but a yes/no and some 50 lines of text
+bounded head of lines (which separator?). Rows with too many fields are
+found in the parse itself. Nothing but a yes/no and some 50 lines of text
 reaches the driver.
 """
 
@@ -17,10 +17,12 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import quoted
 
-# Separators that are tried.
+# Separators that are tried, and texts that stand for a missing value.
 SEPARATORS = [",", ";", "\t", "|"]
 HEAD_LINES = 50
-NULLS = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "<NA>"]
+_EXTRA = "_one_field_too_many"
+NULL_TEXTS = ["", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+              "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
 class UnreadableFileError(ValueError):
@@ -74,13 +76,13 @@ def read_csv(spark: SparkSession, path: str, max_rows: int | None = None, order_
     """(table, warnings).
 
     Separator and encoding are found when a plain UTF-8 comma file does not fit;
-    rows with the wrong number of fields are left out with a warning. There is
+    rows with too many fields are left out with a warning. There is
     no row cap unless ``max_rows`` is given.
     """
     warnings: list[str] = []
     encoding = "UTF-8"
     raw = spark.read.text(path)
-    if raw.where(F.contains("value", F.lit("�"))).limit(1).count():
+    if raw.where(~F.is_valid_utf8("value")).limit(1).count():
         encoding = "ISO-8859-1"
         warnings.append("The file is not UTF-8; it was read as ISO-8859-1.")
     head = [r[0] for r in spark.read.option("encoding", encoding).text(path).limit(HEAD_LINES).collect()]
@@ -89,15 +91,16 @@ def read_csv(spark: SparkSession, path: str, max_rows: int | None = None, order_
     names = _fields(head[0], ",")
     sep = "," if len(names) > 1 and all(len(_fields(line, ",")) == len(names) for line in head if line) else _sniff(head)
     names = _unique(_fields(head[0], sep))
-    text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_bad_row", T.StringType())])
+    # One column too many: text in it marks a row with more fields than the header.
+    # Short rows keep their fields and get nulls for the rest.
+    text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names + [_EXTRA]])
     options = dict(header=True, sep=sep, encoding=encoding, quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE",
-                   columnNameOfCorruptRecord="_bad_row", enforceSchema=True)
+                   enforceSchema=True, columnPruning=False)
     parsed = spark.read.schema(text_schema).options(**options).csv(path)
-    null_text = lambda c: F.when(F.trim(quoted(c)).isin(NULLS), None).otherwise(quoted(c))
-    clean = parsed.where(F.col("_bad_row").isNull())
-    if parsed.where(F.col("_bad_row").isNotNull()).limit(1).count():
-        warnings.append("Rows with a wrong number of fields were left out.")
-    texts = clean.select([null_text(n).alias(n) for n in names])
+    null_text = lambda c: F.when(quoted(c).isin(NULL_TEXTS), None).otherwise(quoted(c))
+    if parsed.where(F.col(_EXTRA).isNotNull()).limit(1).count():
+        warnings.append("Rows with more fields than the header were left out.")
+    texts = parsed.where(F.col(_EXTRA).isNull()).select([null_text(n).alias(n) for n in names])
     schema = _infer(texts, names)
     out = texts.select([quoted(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     if out.limit(1).count() == 0:

@@ -11,18 +11,25 @@ MAX_BYTES = 200 * 1024 * 1024
 def discover_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, pattern: str = "*.csv") -> DataFrame:
     """(dataset, path, length): the largest usable file per first-level folder.
 
-    Empty and over-limit files and saved HTML pages are passed over. Only the
-    listing is read for sizes; the content test reads the survivors as lines
-    and keeps the first of each file.
+    Empty and over-limit files and saved HTML pages are passed over. Sizes come
+    from the listing alone; contents are opened only for the largest file of
+    each folder, and for the next one when that turns out to be a web page.
     """
-    listing = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-               .select("path", "length").where((F.col("length") > 0) & (F.col("length") <= max_bytes)))
-    html = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-            .where((F.col("length") > 0) & (F.col("length") <= max_bytes))
-            .select("path", F.lower(F.ltrim(F.decode(F.substring("content", 1, 50), F.lit("ISO-8859-1")))).alias("head"))
-            .where(F.col("head").startswith("<!doctype") | F.col("head").startswith("<html")).select("path"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("/")[-1]
-    dataset = F.regexp_extract("path", f"/{base}/([^/]+)/", 1)
+    listing = (files.select("path", "length", F.regexp_extract("path", f"/{base}/([^/]+)/", 1).alias("dataset"))
+               .where((F.col("length") > 0) & (F.col("length") <= max_bytes)))
     order = Window.partitionBy("dataset").orderBy(F.desc("length"), "path")      # files of one folder
-    return (listing.join(html, "path", "left_anti").withColumn("dataset", dataset)
-            .withColumn("rn", F.row_number().over(order)).where("rn = 1").select("dataset", "path", "length"))
+    pages: list[str] = []
+    while True:
+        best = (listing.where(~F.col("path").isin(pages)) if pages else listing).withColumn(
+            "rn", F.row_number().over(order)).where("rn = 1").select("dataset", "path", "length")
+        paths = [r["path"] for r in best.collect()]                              # one per dataset
+        if not paths:
+            return best
+        head = F.lower(F.ltrim(F.decode(F.substring("content", 1, 50), F.lit("ISO-8859-1"))))
+        found = (spark.read.format("binaryFile").load(paths).select("path", head.alias("head"))
+                 .where(F.col("head").startswith("<!doctype") | F.col("head").startswith("<html")).select("path").collect())
+        if not found:
+            return best
+        pages += [r["path"] for r in found]
