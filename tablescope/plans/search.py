@@ -22,6 +22,13 @@ MB, GB = 1024 ** 2, 1024 ** 3
 FRESH_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
 
 
+def _moment(as_of: Column | str | None) -> Column:
+    """The reference time of ages: a timestamp column or text, the query time by default."""
+    if as_of is None:
+        return F.current_timestamp()
+    return (F.lit(as_of) if isinstance(as_of, str) else as_of).cast("timestamp")
+
+
 def _tags(c: Column | None = None) -> Column:
     return F.coalesce(c if c is not None else F.col("tags"), F.array().cast("array<string>"))
 
@@ -41,9 +48,9 @@ def _known(c: str) -> Column:
     return F.coalesce((F.col(c) != "") & (F.col(c) != "Unknown"), F.lit(False))
 
 
-def metadata_score(as_of: Column) -> Column:
+def metadata_score(as_of: Column | str | None = None) -> Column:
     """0-100 for complete and fresh catalogue entries."""
-    days = age_days(F.col("last_updated"), as_of)
+    days = age_days(F.col("last_updated"), _moment(as_of))
     fresh = F.when(days <= 30, 25).when(days <= 90, 20).when(days <= 365, 10).otherwise(5)
     dated = F.coalesce(F.col("last_updated") != "", F.lit(False))
     return (F.when(F.length("description") > 20, 20).otherwise(0) + F.when(F.size(_tags()) >= 2, 20).otherwise(0)
@@ -84,7 +91,7 @@ def _age_ok(days: int, as_of: Column) -> Column:
 
 
 def filter_catalog(catalog: DataFrame, formats: list[str] | None = None, quality: list[str] | None = None, size: str | None = None,
-                   freshness: str | None = None, source: list[str] | None = None, as_of: Column | None = None) -> DataFrame:
+                   freshness: str | None = None, source: list[str] | None = None, as_of: Column | str | None = None) -> DataFrame:
     """Unknown sizes and dates always pass; unknown bands filter nothing."""
     if formats:
         catalog = catalog.where(F.col("format").isin(formats))
@@ -97,7 +104,7 @@ def filter_catalog(catalog: DataFrame, formats: list[str] | None = None, quality
     if band is not None:
         catalog = catalog.where((b == 0) | b.isNull() | band)
     if freshness in FRESH_DAYS:
-        catalog = catalog.where(_age_ok(FRESH_DAYS[freshness], as_of if as_of is not None else F.current_timestamp()))
+        catalog = catalog.where(_age_ok(FRESH_DAYS[freshness], _moment(as_of)))
     return catalog
 
 
@@ -112,13 +119,12 @@ def composite(semantic: Column, keyword: Column, metadata: Column, intent: Colum
     return rounded(F.least(F.lit(100.0), F.greatest(floor, raw)), 1)
 
 
-def score_catalog(catalog: DataFrame, query: str, query_vector=None, as_of: Column | None = None) -> DataFrame:
+def score_catalog(catalog: DataFrame, query: str, query_vector=None, as_of: Column | str | None = None) -> DataFrame:
     """Adds semantic, keyword, metadata, intent, relevance and quality columns.
 
     Without a query vector or an ``embedding`` column the semantic part is 0.
     """
     q = F.lit(query)
-    as_of = as_of if as_of is not None else F.current_timestamp()
     everything = F.concat_ws(" ", F.col("title"), F.coalesce("description", F.lit("")), F.array_join(_tags(), " "))
     if query_vector is None or "embedding" not in catalog.columns:
         semantic = F.lit(0.0)
@@ -140,7 +146,7 @@ class Page:
 
 
 def search(catalog: DataFrame, query: str, filters: dict | None = None, page: int = 1, limit: int = 20, query_vector=None,
-           as_of: Column | None = None, arrival: str = "id") -> Page:
+           as_of: Column | str | None = None, arrival: str = "id") -> Page:
     """Deduplicate, score, label, filter, sort and cut one page; ties go to the smaller id."""
     ranked = ranked_catalog(catalog, query, filters, query_vector, as_of, arrival)
     total = ranked.count()
@@ -148,7 +154,7 @@ def search(catalog: DataFrame, query: str, filters: dict | None = None, page: in
     return Page(rows, total, -(-total // limit))
 
 
-def ranked_catalog(catalog: DataFrame, query: str, filters: dict | None = None, query_vector=None, as_of: Column | None = None,
+def ranked_catalog(catalog: DataFrame, query: str, filters: dict | None = None, query_vector=None, as_of: Column | str | None = None,
                    arrival: str = "id") -> DataFrame:
     """Every matching entry with its scores, unsorted and unpaged."""
     filters = dict(filters or {})

@@ -1 +1,68 @@
-QUERIES = {}
+"""Augmentation, split and baseline queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.augment import augment, augment_gate, bootstrap_noise, class_distribution, smote
+from ..operators.split import assign_split, baseline
+from ..plans.bias import class_imbalance
+from ..plans.recommend import recommend
+from .base import LABELED, derived, duck, read, tidy
+from . import judge as J
+
+_L = f"({duck(LABELED)})"
+
+
+def _labeled(s, d):
+    return derived(s, d, LABELED)
+
+
+def _augment_report(s, d):
+    from ..session import local_table
+
+    rows = []
+    for target, task in (("quality", "classification"), ("n_chars", "regression"), ("no_such_column", "classification")):
+        _, report = augment(_labeled(s, d), target, task)
+        rows.append({"target": target, "success": report.success, "method": report.method, "rows_before": report.rows_before, "rows_after": report.rows_after,
+                     "rows_added": report.rows_added})
+    return local_table(s, rows, "target string, success boolean, method string, rows_before bigint, rows_after bigint, rows_added bigint")
+
+
+def _gate(s, d):
+    return tidy(augment_gate(J.profiles(s, d).metrics, J.warnings(s, d), recommend(J.roles(s, d))))
+
+
+def _bootstrap_count(s, d):
+    return bootstrap_noise(read(s, d, "supplier")).agg(F.count("*").alias("row_count"))
+
+
+def _stratified(s, d):
+    split = assign_split(_labeled(s, d), "doc_id", stratify="quality")
+    return tidy(split.groupBy("quality", "split").agg(F.count("*").alias("row_count")))
+
+
+_MD5_SHARE = "cast(('0x' || substr(md5('42|' || cast(l_orderkey as varchar) || '|' || cast(l_linenumber as varchar)), 1, 8)) as bigint) / 4294967296.0"
+
+QUERIES = {
+    "augment": (_augment_report, f"""with l as (select * from {_L} t), n as (select count(*) as n from l), k as (select max(c) * count(*) as full_size from (select count(*) as c from l group by quality))
+      select 'quality' as target, true as success, 'smote' as method, n as rows_before, cast(full_size as bigint) as rows_after, cast(full_size - n as bigint) as rows_added from n, k
+      union all select 'n_chars', true, 'bootstrap', n, n + least(greatest(2 * n, 1000) - n, 4 * n), least(greatest(2 * n, 1000) - n, 4 * n) from n
+      union all select 'no_such_column', false, '', 0, 0, 0"""),
+    "smote": (lambda s, d: tidy(smote(_labeled(s, d), "quality")), None),
+    "smote_classes": (lambda s, d: class_distribution(smote(_labeled(s, d), "quality"), "quality"),
+                      f"with c as (select cast(quality as varchar) as value, count(*) as k from {_L} t group by 1) select value, (select max(k) from c) as count from c"),
+    "bootstrap_noise": (lambda s, d: tidy(bootstrap_noise(read(s, d, "supplier"))), None),
+    "bootstrap_rows": (_bootstrap_count, "select count(*) + least(greatest(2 * count(*), 1000) - count(*), 4 * count(*)) as row_count from supplier"),
+    "class_distribution": (lambda s, d: class_distribution(read(s, d, "labels"), "toxic"), "select cast(toxic as varchar) as value, count(*) as count from labels group by 1"),
+    "augment_gate": (_gate, f"""{J._all_ctes(J._BIAS)} select m.dataset_id, m."rows", coalesce(uneven, false) as uneven, task, target from m join rec using (dataset_id)
+      left join (select distinct dataset_id, true as uneven from bw where type = 'class_imbalance') u using (dataset_id) where target is not null and (m."rows" < 1000 or uneven)"""),
+    "train_test_split": (lambda s, d: assign_split(read(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]).groupBy("l_orderkey", "l_linenumber", "split").agg(F.count("*").alias("row_count"))
+                         .select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "split", "row_count"),
+                         f"select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, case when {_MD5_SHARE} < 0.2 then 'test' else 'train' end as split, count(*) as row_count "
+                         "from lineitem group by 1, 2, 3"),
+    "stratified_split": (_stratified, f"""with c as (select cast(quality as bigint) as quality, count(*) as n, cast(round(count(*) * 0.2) as bigint) as k from {_L} t group by 1)
+      select quality, 'test' as split, k as row_count from c union all select quality, 'train', n - k from c"""),
+    "baseline_model": (lambda s, d: baseline(_labeled(s, d), "quality", "classification", key="doc_id"), None),
+    "baseline_regression": (lambda s, d: baseline(_labeled(s, d), "n_chars", "regression", key="doc_id"), None),
+}

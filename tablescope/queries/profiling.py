@@ -109,10 +109,10 @@ _STRENGTH = ("case when abs(value) >= 0.9 then 'Very Strong' when abs(value) >=
              "when abs(value) >= 0.3 then 'Weak' else 'Very Weak' end")
 
 _SQL_MATRIX = f"""{_R}, s as (select rank * 2 as place, column1 as name from r union all select rank * 2 + 1, column2 from r),
-n as (select name, row_number() over (order by min(place)) - 1 as pos from s group by name),
-k as (select * from n where pos < 12),
+n as (select name, row_number() over (order by m) as pos from (select name, min(place) as m from s group by name)),
+k as (select * from n where pos <= 12),
 b as (select column1 as x, column2 as y, value from r union all select column2, column1, value from r)
-select a.pos as row_pos, c.pos as col_pos, a.name as "row", c.name as col,
+select a.pos - 1 as row_pos, c.pos - 1 as col_pos, a.name as "row", c.name as col,
        case when a.name = c.name then 1.0 else coalesce(b.value, 0.0) end as value
 from k a cross join k c left join b on b.x = a.name and b.y = c.name"""
 

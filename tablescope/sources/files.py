@@ -27,7 +27,7 @@ def discover_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, p
         paths = [r["path"] for r in best.collect()]                              # one per dataset
         if not paths:
             return best
-        head = F.lower(F.ltrim(F.decode(F.substring("content", 1, 50), F.lit("ISO-8859-1"))))
+        head = F.lower(F.ltrim(F.decode(F.substring("content", 1, 50), "ISO-8859-1")))
         found = (spark.read.format("binaryFile").load(paths).select("path", head.alias("head"))
                  .where(F.col("head").startswith("<!doctype") | F.col("head").startswith("<html")).select("path").collect())
         if not found:
