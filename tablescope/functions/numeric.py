@@ -14,12 +14,16 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def rounded(x: Column, digits: int) -> Column:
+def rounded(x: Column, digits: int, bounded: bool = False) -> Column:
     """Decimal half-up rounding; NaN and infinities become null.
 
     Going through a decimal gives the same digits on every engine, which a
-    binary ``round`` does not.
+    binary ``round`` does not. Values beyond the decimal's range are left as
+    they are; ``bounded`` says there are none (scores, shares) and keeps the
+    expression small.
     """
+    if bounded:
+        return F.round(x.try_cast(_EXACT), digits).cast("double")
     finite = F.when(F.abs(x) < F.lit(float("inf")), x)
     return F.coalesce(F.round(finite.try_cast(_EXACT), digits).cast("double"), finite)
 

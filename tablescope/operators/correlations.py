@@ -1,8 +1,9 @@
 """Pairwise-complete Pearson correlations.
 
-Narrow tables use one JVM aggregate over all pairs. Wide tables accumulate the
-co-moment matrices in Arrow batches (numpy inside the task) and sum them by
-pair; either way one scan, and the shuffle carries only per-pair partials.
+Values are centred on the column means first, so plain sums of products are
+exact enough. Narrow tables sum them in one JVM aggregate; wide tables multiply
+matrices in Arrow batches (numpy inside the task). Either way it is one scan,
+and the shuffle carries only per-pair sums.
 """
 
 from __future__ import annotations
@@ -13,82 +14,96 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import numeric_columns, quoted, rounded
+from .stats import ColumnStats, column_stats
 
 MAX_JVM_COLUMNS = 12
 
 
-def pair_correlations(df: DataFrame, columns: list[str] | None = None, min_pairs: int = 1) -> DataFrame:
+def pair_correlations(df: DataFrame, columns: list[str] | None = None, min_pairs: int = 1,
+                      stats: ColumnStats | None = None) -> DataFrame:
     """(column1, column2, pos1, pos2, pairs, value) for every pair, left to right.
 
     ``value`` is null when either side is constant over the shared rows or when
-    fewer than ``min_pairs`` rows are shared.
+    fewer than ``min_pairs`` rows are shared. Pass ``stats`` with the means,
+    minima and maxima to save the job that learns them.
     """
     columns = numeric_columns(df) if columns is None else columns
-    data = df.select([quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    if len(columns) <= MAX_JVM_COLUMNS:
-        raw = _by_aggregate(data, len(columns))
-    else:
-        raw = _by_matrix(data, len(columns))
+    if stats is None:
+        stats = column_stats(df, columns, ("mean", "min", "max"), columns)
+    centred = [quoted(c).cast("double") - F.lit(stats.get(c, "mean") or 0.0) for c in columns]
+    data = df.select([x.alias(f"x{i}") for i, x in enumerate(centred)])
+    full = [stats.count[c] == stats.rows for c in columns]
+    sums = _by_aggregate(data, full) if len(columns) <= MAX_JVM_COLUMNS else _by_matrix(data, len(columns))
+
+    n = F.col("n")
+    mean_free = lambda ab, a, b: F.col(ab) - F.try_divide(F.col(a) * F.col(b), n)
+    cov, va, vb = mean_free("sab", "sa", "sb"), mean_free("saa", "sa", "sa"), mean_free("sbb", "sb", "sb")
+    flat = F.array(*[F.lit(stats.get(c, "min") == stats.get(c, "max")) for c in columns])
+    constant = flat[F.col("i")] | flat[F.col("j")] | (va <= 1e-12 * F.col("saa")) | (vb <= 1e-12 * F.col("sbb"))
+    r = F.when(~constant & (n >= min_pairs), F.try_divide(cov, F.sqrt(va * vb)))
     names = F.array(*[F.lit(c) for c in columns])
-    value = F.when((F.col("pairs") >= min_pairs) & (F.abs("r") < float("inf")),
-                   F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))))
-    return raw.select(names[F.col("i")].alias("column1"), names[F.col("j")].alias("column2"),
-                      F.col("i").alias("pos1"), F.col("j").alias("pos2"), "pairs", value.alias("value"))
+    value = F.when(F.abs(r) < float("inf"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return sums.select(names[F.col("i")].alias("column1"), names[F.col("j")].alias("column2"),
+                       F.col("i").alias("pos1"), F.col("j").alias("pos2"), n.cast("bigint").alias("pairs"), value.alias("value"))
+
+
+_SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
 
 
-def _by_aggregate(data: DataFrame, p: int) -> DataFrame:
-    aggs, out = [], []
+def _by_aggregate(data: DataFrame, full: list[bool]) -> DataFrame:
+    """Sums per pair in one aggregate; columns without gaps share theirs."""
+    p = len(full)
+    aggs = [F.count("*").cast("double").alias("rows")]
+    aggs += [e for i in range(p) if full[i] for e in (F.sum(f"x{i}").alias(f"s{i}"), F.sum(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"q{i}"))]
+    out = []
     for i in range(p):
         for j in range(i + 1, p):
-            a, b = F.col(f"x{i}"), F.col(f"x{j}")
-            both = a.isNotNull() & b.isNotNull()
-            k = f"{i}_{j}"
-            aggs += [F.count(F.when(both, True)).alias("n" + k), F.covar_pop(a, b).alias("c" + k),
-                     F.var_pop(F.when(both, a)).alias("a" + k), F.var_pop(F.when(both, b)).alias("b" + k)]
-            r = F.try_divide(F.col("c" + k), F.sqrt(F.col("a" + k) * F.col("b" + k)))
-            out.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("n" + k).alias("pairs"), r.alias("r")))
+            a, b, k = F.col(f"x{i}"), F.col(f"x{j}"), f"{i}_{j}"
+            aggs.append(F.sum(a * b).alias("ab" + k))
+            if full[i] and full[j]:
+                got = ["rows", f"s{i}", f"s{j}", f"q{i}", f"q{j}"]
+            else:
+                both = a.isNotNull() & b.isNotNull()
+                only_a, only_b = F.when(both, a), F.when(both, b)
+                aggs += [F.count(F.when(both, True)).cast("double").alias("n" + k), F.sum(only_a).alias("a" + k), F.sum(only_b).alias("b" + k),
+                         F.sum(only_a * only_a).alias("aa" + k), F.sum(only_b * only_b).alias("bb" + k)]
+                got = [x + k for x in ("n", "a", "b", "aa", "bb")]
+            out.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *[F.col(g).alias(s) for g, s in zip(got + ["ab" + k], _SUMS)]))
     if not out:
-        return data.sparkSession.sql("select 0 as i, 0 as j, 0L as pairs, 0D as r where false")
+        return data.sparkSession.sql("select 0 as i, 0 as j, 0D as n, 0D as sa, 0D as sb, 0D as saa, 0D as sbb, 0D as sab where false")
     return data.agg(*aggs).select(F.explode(F.array(*out)).alias("p")).select("p.*")
 
 
 def _by_matrix(data: DataFrame, p: int) -> DataFrame:
-    centre = data.agg(*[F.avg(c).alias(c) for c in data.columns]).first()
-    shift = np.array([c if c is not None else 0.0 for c in centre], dtype=float)
+    """The same sums for every pair as matrix products over Arrow batches."""
     upper_i, upper_j = np.triu_indices(p, k=1)
 
     def accumulate(batches):
         sums = np.zeros((6, p, p))
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - shift
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
             seen = ~np.isnan(x)
             m = seen.astype(float)
             x = np.where(seen, x, 0.0)
-            sums[0] += m.T @ m            # shared rows
-            sums[1] += x.T @ m            # sum of the left column
-            sums[2] += m.T @ x            # sum of the right column
+            sums[0] += m.T @ m
+            sums[1] += x.T @ m
+            sums[2] += m.T @ x
             sums[3] += (x * x).T @ m
             sums[4] += m.T @ (x * x)
             sums[5] += x.T @ x
         flat = [s[upper_i, upper_j] for s in sums]
         yield pa.RecordBatch.from_arrays(
             [pa.array(upper_i.astype("int32")), pa.array(upper_j.astype("int32"))] + [pa.array(f) for f in flat],
-            names=["i", "j", "n", "sa", "sb", "saa", "sbb", "sab"])
+            names=["i", "j", *_SUMS])
 
-    parts = data.mapInArrow(accumulate, "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double")
-    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
-    cov = F.col("sab") - F.try_divide(F.col("sa") * F.col("sb"), F.col("n"))
-    va = F.col("saa") - F.try_divide(F.col("sa") * F.col("sa"), F.col("n"))
-    vb = F.col("sbb") - F.try_divide(F.col("sb") * F.col("sb"), F.col("n"))
-    tiny = (va <= 1e-12 * F.col("saa")) | (vb <= 1e-12 * F.col("sbb"))
-    return total.select("i", "j", F.col("n").cast("bigint").alias("pairs"),
-                        F.when(~tiny, F.try_divide(cov, F.sqrt(va * vb))).alias("r"))
+    parts = data.mapInArrow(accumulate, "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS))
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
 
 
-def correlations(df: DataFrame, top_n: int = 20, min_pairs: int = 10) -> DataFrame:
+def correlations(df: DataFrame, top_n: int = 20, min_pairs: int = 10, stats: ColumnStats | None = None) -> DataFrame:
     """The strongest pairs: (rank, column1, column2, value)."""
     pairs = (
-        pair_correlations(df, min_pairs=min_pairs)
+        pair_correlations(df, min_pairs=min_pairs, stats=stats)
         .withColumn("value", rounded(F.col("value"), 4))
         .where(F.col("value").isNotNull())
         .orderBy(F.abs("value").desc(), "pos1", "pos2").limit(top_n)

@@ -1,8 +1,9 @@
 """Equal-width histograms: learn the range in one job, count bins in the next.
 
-Bin numbers are plain expressions, corrected against the edge values so a value
-that falls exactly on an edge lands in the bin that starts there. The shuffle
-carries one row per (column, bin) and task.
+One aggregate counts, for every inner edge of every column, the values at or
+above it; the differences are the bins. A value that falls exactly on an edge
+is in the bin that starts there, the last bin is closed. Each task sends one
+row of counts, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import quoted
@@ -38,17 +39,6 @@ class Bins:
     def usable(self) -> bool:
         return math.isfinite(self.lo) and math.isfinite(self.hi)
 
-    def index(self, x: Column) -> Column:
-        lo, width, last = F.lit(self.lo), F.lit(self.width), self.n - 1
-        first = F.greatest(F.lit(0), F.least(
-            F.floor((x - lo) / F.lit(self.hi - self.lo) * F.lit(float(self.n))), F.lit(last))).cast("int")
-        return (
-            F.when(x.isNull(), F.lit(None).cast("int"))     # least/greatest would skip the null
-            .when(x < first * width + lo, first - 1)
-            .when((first < last) & (x >= (first + 1) * width + lo), first + 1)
-            .otherwise(first)
-        )
-
 
 def log_bins(n: int, low: int, high: int) -> int:
     """Number of bins for ``n`` values: 1 + log2(n), held between low and high."""
@@ -57,21 +47,18 @@ def log_bins(n: int, low: int, high: int) -> int:
 
 def histogram_counts(df: DataFrame, bins: list[Bins]) -> DataFrame:
     """(column, bin, lo, hi, count), empty bins included."""
-    spark = df.sparkSession
-    grid = local_table(
-        spark,
-        [{"k": k, "column": b.column, "bin": i, "lo": b.edge(i), "hi": b.edge(i + 1)}
-         for k, b in enumerate(bins) for i in range(b.n)],
-        "k int, column string, bin int, lo double, hi double",
-    )
-    indexed = df.select([b.index(quoted(b.column).cast("double")).alias(str(k)) for k, b in enumerate(bins)])
-    counted = (
-        indexed.unpivot([], [F.col(f"`{k}`") for k in range(len(bins))], "k", "bin")
-        .where(F.col("bin").isNotNull())
-        .groupBy(F.col("k").cast("int").alias("k"), "bin").agg(F.count("*").alias("count"))
-    )
-    return grid.join(counted, ["k", "bin"], "left").select(
-        "column", "bin", "lo", "hi", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+    aggs = []
+    for k, b in enumerate(bins):
+        x = quoted(b.column).cast("double")
+        aggs += [F.count(F.when(x >= b.edge(i), True)).alias(f"k{k}_{i}") for i in range(1, b.n)]
+        aggs.append(F.count(x).alias(f"k{k}_0"))
+    row = df.agg(*aggs).first()
+    out = []
+    for k, b in enumerate(bins):
+        from_edge = [row[f"k{k}_{i}"] for i in range(b.n)] + [0]
+        out += [{"column": b.column, "bin": i, "lo": b.edge(i), "hi": b.edge(i + 1), "count": from_edge[i] - from_edge[i + 1]}
+                for i in range(b.n)]
+    return local_table(df.sparkSession, out, "column string, bin int, lo double, hi double, count bigint")
 
 
 def top_values(df: DataFrame, columns: list[str], keep: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.numeric import (fold_nan, is_nested, is_numeric, is_text, numeric_columns, quoted, rounded,
                                  rounded_value, text_columns)
 from ..functions.text import format_number, json_safe, truncate_label
-from ..session import local_table
+from ..session import in_parallel, local_table
 from .correlations import correlations
 from .histograms import Bins, histogram_counts, log_bins, top_values
 from .stats import ColumnStats, column_stats
@@ -71,16 +71,18 @@ def missing_pct(df: DataFrame) -> DataFrame:
     return df.agg(rounded(F.try_divide((cells - filled) * 100.0, cells), 2).alias("missing_pct"))
 
 
-def duplicate_groups(df: DataFrame) -> DataFrame:
+def duplicate_groups(df: DataFrame, with_nulls: list[str] | None = None) -> DataFrame:
     """(copies) per distinct row, null equal to null.
 
     Rows are compared by two independent 64-bit hashes plus the pattern of
     nulls, so the shuffle moves a few bytes per row instead of whole rows and
     copies are combined before it. At 10^12 distinct rows the chance of one
-    false match is below 10^-14.
+    false match is below 10^-14. ``with_nulls`` names the columns that have nulls,
+    when that is known.
     """
     values = [F.to_json(quoted(f.name)) if is_nested(f) else quoted(f.name) for f in df.schema.fields]
-    nulls = [F.when(v.isNull(), F.lit(1)).otherwise(F.lit(0)) for v in values]
+    gappy = df.columns if with_nulls is None else with_nulls
+    nulls = [F.when(quoted(c).isNull(), F.lit(1)).otherwise(F.lit(0)) for c in gappy]
     words = []
     for start in range(0, len(nulls), 31):
         words.append(sum((n * (1 << k) for k, n in enumerate(nulls[start:start + 31])), F.lit(0)))
@@ -90,10 +92,10 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_pct(df: DataFrame) -> DataFrame:
+def duplicate_pct(df: DataFrame, with_nulls: list[str] | None = None) -> DataFrame:
     """Rows equal to an earlier row, in percent of all rows, 2 decimals."""
     rows = F.sum("copies")
-    return duplicate_groups(df).agg(
+    return duplicate_groups(df, with_nulls).agg(
         rounded(F.coalesce(F.try_divide((rows - F.count("*")) * 100.0, rows), F.lit(0.0)), 2).alias("duplicate_pct"))
 
 
@@ -219,14 +221,14 @@ def distributions(df: DataFrame, max_numeric: int = 8, max_categorical: int = 4)
 def profile(df: DataFrame, dataset_id: str, approx: bool = False, warnings: list[str] | None = None) -> Profile:
     """Profile one table into small tables keyed by ``dataset_id``.
 
-    Five column-pruned scans whatever the number of columns: counts and
-    moments, row hashes, typed value counts, correlation pairs, histogram bins.
-    Only per-column results reach the driver; rows never do.
+    Five column-pruned scans whatever the number of columns: first counts and
+    moments, then side by side row hashes, typed value counts, correlation sums
+    and histogram bins. Only per-column results reach the driver; rows never do.
     """
     spark = df.sparkSession
     df = fold_nan(df)
     numeric = numeric_columns(df)
-    stats = column_stats(df, numeric, ("min", "max", "variance"))
+    stats = column_stats(df, numeric, ("min", "max", "mean", "variance"))
     kept = [c for c in df.columns if stats.count[c] > 0]
     if not kept:
         raise EmptyTableError("no usable data: every cell is empty")
@@ -236,18 +238,26 @@ def profile(df: DataFrame, dataset_id: str, approx: bool = False, warnings: list
         df = df.na.drop("all")
         stats.rows = df.count()
 
+    gappy = [c for c in kept if stats.count[c] < stats.rows]
+    collected = lambda part: part.collect() if part is not None else []         # at most 8 x 10 + 4 x 11 rows
+
+    def columns_and_categories():
+        columns = _column_rows(df, approx, None, stats)
+        uniques = {r["name"]: r["unique_count"] for r in columns}
+        return columns, collected(categorical_distributions(df, uniques))
+
+    dup, pairs, bins, (columns, tops) = in_parallel(
+        spark,
+        lambda: duplicate_pct(df, gappy).first()[0],
+        lambda: correlations(df, stats=stats).collect() if len(numeric_columns(df)) > 1 else [],
+        lambda: collected(numeric_distributions(df, stats=stats)),
+        columns_and_categories,
+    )
     cells = stats.rows * len(kept)
     empty = sum(stats.rows - stats.count[c] for c in kept)
-    dup = duplicate_pct(df).first()[0]
     metric = {"dataset_id": dataset_id, "rows": stats.rows, "columns": len(kept),
               "missing_pct": rounded_value(empty * 100.0 / cells, 2), "duplicate_pct": dup}
-
-    columns = _column_rows(df, approx, None, stats)
-    uniques = {r["name"]: r["unique_count"] for r in columns}
-    pairs = correlations(df).collect() if len(numeric_columns(df)) > 1 else []
-    bins: list = []
-    for part in (numeric_distributions(df, stats=stats), categorical_distributions(df, uniques)):
-        bins += part.collect() if part is not None else []      # at most 8 x 10 + 4 x 11 rows
+    bins += tops
 
     def keyed(rows):
         return [{"dataset_id": dataset_id, **(r if isinstance(r, dict) else r.asDict())} for r in rows]

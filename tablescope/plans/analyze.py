@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators.profile import Profile, drop_empty, profile
-from .bias import bias_warnings
+from ..session import in_parallel
+from .bias import bias_warnings, numeric_figures
 from .insights import insights
 from .next_steps import next_steps
-from .recommend import column_roles, recommend
+from .recommend import column_roles, recommend, text_facts
 from .score import overall_score, quality_score
 
 
@@ -35,11 +36,12 @@ def analyze(tables: dict[str, DataFrame], approx: bool = False) -> Analysis:
     profiles, roles, warned = None, None, None
     for dataset_id, df in tables.items():
         df = drop_empty(df)
-        one = profile(df, dataset_id, approx)
+        spark = df.sparkSession
+        one, figures, facts = in_parallel(spark, lambda: profile(df, dataset_id, approx), lambda: numeric_figures(df), lambda: text_facts(df))
         uniques = {r["name"]: r["unique_count"] for r in one.columns.collect()}     # one row per column
-        role = column_roles(df, dataset_id, uniques)
+        role = column_roles(df, dataset_id, uniques, one.metrics.first()["rows"], facts)
         target = recommend(role).first()["target"]
-        warn = bias_warnings(df, dataset_id, target)
+        warn = bias_warnings(df, dataset_id, target, figures)
         profiles = one if profiles is None else profiles.union(one)
         roles = role if roles is None else roles.unionByName(role)
         warned = warn if warned is None else warned.unionByName(warn)

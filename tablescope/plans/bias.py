@@ -152,7 +152,7 @@ def proxy_columns(columns: DataFrame) -> DataFrame:
 
 def _proxy(df, dataset_id):
     names = local_table(df.sparkSession, [{"name": c, "position": i} for i, c in enumerate(df.columns)], "name string, position int")
-    hit = [r["name"] for r in proxy_columns(names).orderBy("position").collect()]
+    hit = [r["name"] for r in sorted(proxy_columns(names).collect(), key=lambda r: r["position"])]
     if not hit:
         return []
     return [_warning(dataset_id, 6, "proxy_variable", "medium", f"Possibly sensitive columns: {len(hit)}",
@@ -187,9 +187,9 @@ def proxy(df: DataFrame, dataset_id: str = "table") -> DataFrame:
     return _as_table(df, _proxy(df, dataset_id))
 
 
-def bias_warnings(df: DataFrame, dataset_id: str, target: str | None = None) -> DataFrame:
+def bias_warnings(df: DataFrame, dataset_id: str, target: str | None = None, figures: list[dict] | None = None) -> DataFrame:
     """All warnings of a table, in check order."""
-    figures = numeric_figures(df)
+    figures = numeric_figures(df) if figures is None else figures
     rows = [w for check in (_skewness, _dominance, _outliers, _low_variance) for w in check(figures, dataset_id)]
     rows += _proxy(df, dataset_id)
     out = _as_table(df, rows)

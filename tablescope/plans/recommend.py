@@ -33,16 +33,23 @@ def _text_facts(df: DataFrame, text: list[str]) -> dict[str, dict]:
     return {r["column"]: r.asDict() for r in rows.collect()}      # one row per column
 
 
-def column_roles(df: DataFrame, dataset_id: str = "table", uniques: dict[str, int] | None = None) -> DataFrame:
+def text_facts(df: DataFrame) -> dict[str, dict]:
+    """Facts of all text columns, learnt in one job."""
+    df = fold_nan(df)
+    text = [f.name for f in df.schema.fields if is_text(f)]
+    return _text_facts(df, text) if text else {}
+
+
+def column_roles(df: DataFrame, dataset_id: str = "table", uniques: dict[str, int] | None = None, rows: int | None = None,
+                 facts: dict[str, dict] | None = None) -> DataFrame:
     """(dataset_id, position, name, role, unique_count, avg_length, rows).
 
-    Roles: boolean, numeric, datetime, text, low_cardinality, other. Pass the
-    profile's distinct counts as ``uniques`` to skip counting them again.
+    Roles: boolean, numeric, datetime, text, low_cardinality, other. Distinct
+    counts, row count and text facts that are already known can be passed in.
     """
     df = fold_nan(df)
-    rows = df.count()
-    text = [f.name for f in df.schema.fields if is_text(f)]
-    facts = _text_facts(df, text) if text else {}
+    rows = df.count() if rows is None else rows
+    facts = text_facts(df) if facts is None else facts
     numeric = [f.name for f in df.schema.fields if is_numeric(f)]
     if uniques is None:
         uniques = {r["column"]: r["unique_count"] for r in distinct_counts(df, numeric).collect()} if numeric else {}
@@ -117,13 +124,12 @@ def class_models(classes: Column) -> Column:
 
 def use_cases(task: Column, domain: Column, most: int = 5) -> Column:
     """Cases of the domain for the task, then the general ones, at most five."""
-    out = F.array().cast("array<string>")
+    merged = {}
     for t, domains in USE_CASES.items():
-        own = F.array().cast("array<string>")
-        for d, cases in domains.items():
-            own = F.when(domain == d, _names(cases)).otherwise(own)
-        out = F.when(task == t, F.slice(F.array_union(own, _names(domains["general"])), 1, most)).otherwise(out)
-    return out
+        for d, cases in {**domains, "": []}.items():
+            merged[f"{t}|{d}"] = list(dict.fromkeys(cases + domains["general"]))[:most]
+    table = F.create_map(*[x for key, cases in merged.items() for x in (F.lit(key), _names(cases))])
+    return F.coalesce(table[F.concat_ws("|", task, domain)], table[F.concat(task, F.lit("|"))])
 
 
 def recommend(roles: DataFrame) -> DataFrame:

@@ -1,15 +1,14 @@
 """Rank a catalogue of dataset descriptions against a query.
 
-The query is a literal: its keywords, expansion and intent are folded once by
-the optimizer, and scoring a catalogue is a single projection followed by a
-distributed top-k.
+Keywords and intent of the query are worked out once and become literals, so
+scoring a catalogue is a single projection followed by a distributed top-k.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
@@ -17,6 +16,7 @@ from ..functions.query_text import intent_score, query_expand, query_intent, tex
 from ..functions.text import age_days
 from ..functions.vectors import cosine, literal_vector
 from ..operators.neighbours import BLOCK_DONORS, BLOCK_QUERIES
+from ..session import local_table
 
 MB, GB = 1024 ** 2, 1024 ** 3
 FRESH_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
@@ -33,15 +33,32 @@ def _tags(c: Column | None = None) -> Column:
     return F.coalesce(c if c is not None else F.col("tags"), F.array().cast("array<string>"))
 
 
-def keyword_score(keywords: Column, query: Column) -> Column:
+@dataclass
+class QueryFacts:
+    """What a query asks for; worked out once, then used as literals."""
+
+    text: str
+    keywords: list[str]
+    intent: str | None
+
+
+def query_facts(spark: SparkSession, query: str) -> QueryFacts:
+    q = F.col("q")
+    row = local_table(spark, [{"q": query}], "q string").select(text_keywords(q).alias("k"), query_intent(q).alias("i")).first()
+    return QueryFacts(query, list(row["k"]), row["i"])
+
+
+def keyword_score(facts: QueryFacts) -> Column:
     """0-100 by where the query and its keywords occur; 50 without keywords."""
+    if not facts.keywords:
+        return F.lit(50.0)
     title, text = F.lower("title"), F.lower(F.coalesce("description", F.lit("")))
     tags = F.lower(F.array_join(_tags(), " "))
-    points = lambda k: (F.contains(title, F.lower(k)).cast("double") * 15 + F.contains(tags, F.lower(k)).cast("double") * 12
-                        + F.contains(text, F.lower(k)).cast("double") * 5)
-    total = F.aggregate(keywords, F.contains(title, F.lower(query)).cast("double") * 40, lambda acc, k: acc + points(k))
-    most = F.lit(40) + F.size(keywords) * 32
-    return F.when(F.size(keywords) == 0, 50.0).otherwise(F.least(F.lit(100.0), total / most * 100))
+    total = F.contains(title, F.lit(facts.text.lower())).cast("double") * 40
+    for k in facts.keywords:
+        for where, points in ((title, 15), (tags, 12), (text, 5)):
+            total = total + F.contains(where, F.lit(k.lower())).cast("double") * points
+    return F.least(F.lit(100.0), total / (40 + len(facts.keywords) * 32) * 100)
 
 
 def _known(c: str) -> Column:
@@ -51,7 +68,9 @@ def _known(c: str) -> Column:
 def metadata_score(as_of: Column | str | None = None) -> Column:
     """0-100 for complete and fresh catalogue entries."""
     days = age_days(F.col("last_updated"), _moment(as_of))
-    fresh = F.when(days <= 30, 25).when(days <= 90, 20).when(days <= 365, 10).otherwise(5)
+    # One reference to the age: 0 for up to 30 days, 1 up to 90, 2 up to 365, 3 beyond or unknown.
+    step = F.size(F.filter(F.array(F.lit(30), F.lit(90), F.lit(365)), lambda most: ~F.coalesce(days <= most, F.lit(False))))
+    fresh = F.get(F.array(F.lit(25), F.lit(20), F.lit(10), F.lit(5)), step)
     dated = F.coalesce(F.col("last_updated") != "", F.lit(False))
     return (F.when(F.length("description") > 20, 20).otherwise(0) + F.when(F.size(_tags()) >= 2, 20).otherwise(0)
             + F.when(F.col("size_bytes") > 0, 15).otherwise(0) + F.when(_known("author"), 10).otherwise(0)
@@ -116,7 +135,7 @@ def composite(semantic: Column, keyword: Column, metadata: Column, intent: Colum
     """Weighted sum with floors 12, 20 (some keyword) and 35 (query in the title), 1 decimal."""
     raw = semantic * 0.50 + keyword * 0.25 + metadata * 0.15 + intent * 0.10
     floor = F.when(title_hit, 35.0).when(keyword > 0, 20.0).otherwise(12.0)
-    return rounded(F.least(F.lit(100.0), F.greatest(floor, raw)), 1)
+    return rounded(F.least(F.lit(100.0), F.greatest(floor, raw)), 1, bounded=True)
 
 
 def score_catalog(catalog: DataFrame, query: str, query_vector=None, as_of: Column | str | None = None) -> DataFrame:
@@ -124,16 +143,16 @@ def score_catalog(catalog: DataFrame, query: str, query_vector=None, as_of: Colu
 
     Without a query vector or an ``embedding`` column the semantic part is 0.
     """
-    q = F.lit(query)
+    facts = query_facts(catalog.sparkSession, query)
     everything = F.concat_ws(" ", F.col("title"), F.coalesce("description", F.lit("")), F.array_join(_tags(), " "))
     if query_vector is None or "embedding" not in catalog.columns:
         semantic = F.lit(0.0)
     else:
         semantic = F.greatest(F.lit(0.0), F.least(F.lit(100.0), cosine(F.col("embedding"), literal_vector(query_vector)) * 100))
-    title_hit = F.contains(F.lower("title"), F.lower(F.trim(q)))
+    title_hit = F.contains(F.lower("title"), F.lit(query.lower().strip()))
     out = catalog.withColumns({
-        "semantic": semantic, "keyword": keyword_score(text_keywords(q), q), "metadata": metadata_score(as_of),
-        "intent": intent_score(everything, query_intent(q))})
+        "semantic": semantic, "keyword": keyword_score(facts), "metadata": metadata_score(as_of),
+        "intent": intent_score(everything, F.lit(facts.intent).cast("string"))})
     out = out.withColumn("relevance", composite(F.col("semantic"), F.col("keyword"), F.col("metadata"), F.col("intent"), title_hit))
     return out.withColumn("quality", relevance_label(F.col("relevance")))
 

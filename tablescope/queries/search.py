@@ -170,7 +170,7 @@ QUERIES = {
     "similarity_topk_batch": (_batch, f"""with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
       s as (select a.vec_id as query_id, list_cosine_similarity(a.v, b.v) as x, b.vec_id from e a, e b),
       k as (select *, row_number() over (partition by query_id order by x desc, vec_id) as rank from s) select query_id, {r('x', 5)} as similarity, rank from k where rank <= 5"""),
-    "keyword_score": (lambda s, d: tidy(_catalog(s, d).select("id", P.keyword_score(Q.text_keywords(F.lit(QUERY)), F.lit(QUERY)).alias("score"))),
+    "keyword_score": (lambda s, d: tidy(_catalog(s, d).select("id", P.keyword_score(P.query_facts(s, QUERY)).alias("score"))),
                       f"with {_CAT} select id, {r(_keyword_score(QUERY), 6)} as score from cat"),
     "metadata_score": (lambda s, d: _catalog(s, d).select("id", P.metadata_score(AS_OF).alias("score")), f"with {_CAT} select id, {_META} as score from cat"),
     "metadata_richness": (lambda s, d: tidy(_catalog(s, d).select("id", P.metadata_richness().alias("richness"))), f"with {_CAT} select id, {_RICH} as richness from cat"),

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -65,3 +68,11 @@ def local_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     schema = T._parse_datatype_string(ddl) if isinstance(ddl, str) else ddl
     table = pa.Table.from_pylist(rows, schema=to_arrow_schema(schema))
     return spark.createDataFrame(table, schema=schema)
+
+
+def in_parallel(spark: SparkSession, *jobs: Callable):
+    """Start independent jobs side by side, so that small stages share the cluster;
+    returns their results in order."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        return [w.result() for w in waiting]
