@@ -84,13 +84,13 @@ def scatter(df: DataFrame, x: str, y: str, key: list[str] | str, points: int = 2
     check_columns(df, "scatter", [x, y])
     _need_number(df, x, y)
     keys = [key] if isinstance(key, str) else list(key)
-    clean = fold_nan(df).select(quoted(x).cast("double").alias("x"), quoted(y).cast("double").alias("y"),
-                                F.xxhash64(F.lit(seed), *[quoted(k) for k in keys]).alias("h")).where("x is not null and y is not null")
-    chosen = clean.orderBy("h", "x", "y").limit(points)
-    corr = pair_correlations(chosen, ["x", "y"]).select(rounded(F.col("value"), 4).alias("correlation"))
-    ranges = chosen.agg(F.count("*").alias("points"), *[rounded(f(c), 4).alias(f"{c}_{n}") for c in ("x", "y")
-                                                        for n, f in (("min", F.min), ("max", F.max))])
-    return chosen.select(rounded(F.col("x"), 4).alias("x"), rounded(F.col("y"), 4).alias("y")), corr.join(F.broadcast(ranges))
+    tag = F.md5(F.concat_ws("|", F.lit(str(seed)), *[quoted(k).cast("string") for k in keys]).cast("binary"))
+    clean = fold_nan(df).select(quoted(x).cast("double").alias("x"), quoted(y).cast("double").alias("y"), tag.alias("tag"))
+    chosen = clean.where("x is not null and y is not null").orderBy("tag", "x", "y").limit(points)      # TakeOrderedAndProject
+    r = F.try_divide(F.covar_pop("x", "y"), F.sqrt(F.var_pop("x") * F.var_pop("y")))
+    stats = chosen.agg(rounded(r, 4).alias("correlation"), F.count("*").alias("points"),
+                       *[rounded(f(c), 4).alias(f"{c}_{n}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))])
+    return chosen.select(rounded(F.col("x"), 4).alias("x"), rounded(F.col("y"), 4).alias("y")), stats
 
 
 def boxplot(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -226,10 +226,9 @@ def line(df: DataFrame, x: str, y: str, key: list[str] | str) -> tuple[DataFrame
     else:
         points = ranks.withColumn("i", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("count") - 1)))
     out = points.select(F.col("i").cast("int").alias("i"), F.col("value.x").alias("x"), rounded(F.col("value.y"), 4).alias("y"))
-    ends = out.agg(F.max_by("y", "i").alias("last"), F.min_by("y", "i").alias("first"), F.count("*").alias("points"))
-    mean = df.agg(rounded(F.avg(quoted(y).cast("double")), 4).alias("y_mean"))
-    trend = F.when((F.col("points") > 1) & (F.col("last") > F.col("first")), "increasing").otherwise("decreasing")
-    return out, ends.join(F.broadcast(mean)).select("points", "y_mean", trend.alias("y_trend"))
+    mean = df.agg(F.avg(quoted(y).cast("double"))).first()[0]
+    trend = F.when((F.count("*") > 1) & (F.max_by("y", "i") > F.min_by("y", "i")), "increasing").otherwise("decreasing")
+    return out, out.agg(F.count("*").alias("points"), F.lit(rounded_value(mean, 4)).cast("double").alias("y_mean"), trend.alias("y_trend"))
 
 
 def suggest_charts(p: Profile, top_n: int = 8) -> DataFrame:

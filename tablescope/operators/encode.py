@@ -10,7 +10,8 @@ from ..session import materialize
 from .ranks import value_ranks
 from .value_counts import distinct_counts, typed_counts
 
-SMALL_DICTIONARY = 100_000      # values of a dictionary that may be broadcast
+SMALL_DICTIONARY = 100_000      # values, and
+SMALL_BYTES = 16 * 1024 * 1024  # bytes, of a dictionary that may be broadcast
 HOT_SHARE = 1_000               # a value is hot when it fills more than 1/1000 of the rows
 
 
@@ -27,11 +28,11 @@ def encode_label(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         ranked = materialize(value_ranks(df, key).select(
             F.col("value").alias("label_value"), F.col("index").cast("bigint").alias("label_code"), "count"), "labels")
         tagged = df.withColumn("label_value", key)
-        if ranked.limit(SMALL_DICTIONARY + 1).count() <= SMALL_DICTIONARY:
+        size = ranked.agg(F.count("*").alias("values"), F.sum("count").alias("rows"), F.sum(F.octet_length("label_value")).alias("bytes")).first()
+        if size["values"] <= SMALL_DICTIONARY and (size["bytes"] or 0) <= SMALL_BYTES:
             joined = tagged.join(F.broadcast(ranked.drop("count")), "label_value")
         else:
-            total = ranked.agg(F.sum("count")).first()[0]
-            hot = ranked.where(F.col("count") * HOT_SHARE > total).drop("count")
+            hot = ranked.where(F.col("count") * HOT_SHARE > size["rows"]).drop("count")
             hot_values = [r[0] for r in hot.select("label_value").collect()]        # fewer than HOT_SHARE
             is_hot = F.col("label_value").isin(hot_values) if hot_values else F.lit(False)
             cold = tagged.where(~is_hot).join(ranked.drop("count"), "label_value")

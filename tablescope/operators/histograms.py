@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,31 +63,22 @@ def histogram_counts(df: DataFrame, bins: list[Bins]) -> DataFrame:
 
 
 def top_values(df: DataFrame, columns: list[str], keep: int) -> DataFrame:
-    """(column, bin, label, count): the ``keep`` most frequent values of each
+    """(column, bin, value, count): the ``keep`` most frequent values of each
     column, then an 'Other' row for the rest. Ties go to the smaller value.
 
-    Ranking happens in rounds of top-k per column, so a column with billions of
-    distinct values never sits in one task.
+    A distributed top-k per column, so a column with billions of distinct values
+    never sits in one task; the total comes from one count over all columns.
     """
-    from functools import reduce
-
+    totals = df.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     parts = []
-    for name in columns:
-        c = quoted(name).cast("string")
-        counts = df.select(c.alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(
-            F.count("*").alias("count"))
+    for i, name in enumerate(columns):
+        counts = (df.select(quoted(name).cast("string").alias("value")).where(F.col("value").isNotNull())
+                  .groupBy("value").agg(F.count("*").alias("count")))
         top = counts.orderBy(F.desc("count"), "value").limit(keep)       # TakeOrderedAndProject
-        ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("neg"), "value"))).alias("t"))
-        total = df.agg(F.count(c).alias("total"))
-        shown = ranked.select(F.posexplode("t").alias("bin", "e")).select(
-            F.lit(name).alias("column"), "bin", F.col("e.value").alias("value"),
-            (-F.col("e.neg")).alias("count"))
-        rest = (
-            top.agg(F.sum("count").alias("shown"), F.count("*").alias("n"))
-            .join(F.broadcast(total))       # one row each
-            .where(F.col("total") > F.col("shown"))
-            .select(F.lit(name).alias("column"), F.col("n").cast("int").alias("bin"),
-                    F.lit("Other").alias("value"), (F.col("total") - F.col("shown")).alias("count"))
-        )
-        parts.append(shown.unionByName(rest))
+        listed = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("neg"), "value")))      # at most keep entries
+        one = top.agg(listed.alias("top"), F.coalesce(F.sum("count"), F.lit(0)).alias("shown"))
+        rest = F.lit(totals[f"n{i}"]) - F.col("shown")
+        other = F.when(rest > 0, F.array(F.struct((-rest).alias("neg"), F.lit("Other").alias("value")))).otherwise(F.slice("top", 1, 0))
+        parts.append(one.select(F.posexplode(F.concat("top", other)).alias("bin", "e")).select(
+            F.lit(name).alias("column"), "bin", F.col("e.value").alias("value"), (-F.col("e.neg")).alias("count")))
     return reduce(DataFrame.unionByName, parts)

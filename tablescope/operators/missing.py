@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import fold_nan, numeric_columns, quoted, replace_columns, text_columns
+from ..session import materialize
 from .chained import impute_chained
 from .neighbours import nearest, vector
 from .quantiles import medians
 from .stats import column_stats
 from .value_counts import modes
 
-SMALL_RESULT = 200_000      # rows of a lookup table that may be broadcast
+SMALL_LOOKUP = 2_000_000      # numbers in a lookup table that may be broadcast (16 MB)
 
 
 def drop_rows(df: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def impute_knn(df: DataFrame, columns: list[str] | None = None, k: int = 5, **bl
     filled = found.groupBy("q", "target").agg((F.sum(value * F.col("weight")) / F.sum("weight")).alias("value"))
     wide = filled.groupBy("q").agg(*[F.max(F.when(F.col("target") == columns.index(c), F.col("value"))).alias(f"fill_{i}")
                                      for i, c in enumerate(gaps)])
-    wide = _maybe_broadcast(wide.withColumnRenamed("q", "knn_q"))
+    wide = _maybe_broadcast(wide.withColumnRenamed("q", "knn_q"), SMALL_LOOKUP // (p + len(gaps)))
 
     # Only rows with a gap take part in the join; the others pass straight through.
     patched = df.where(any_gap).withColumn("knn_q", v).join(wide, "knn_q", "left")
@@ -113,12 +114,10 @@ def impute_knn(df: DataFrame, columns: list[str] | None = None, k: int = 5, **bl
     return df.where(~any_gap).unionByName(patched)
 
 
-def _maybe_broadcast(table: DataFrame) -> DataFrame:
-    """Freeze a lookup table; broadcast it only when its row count is small."""
-    from ..session import materialize
-
+def _maybe_broadcast(table: DataFrame, most: int) -> DataFrame:
+    """Freeze a lookup table; broadcast it only when it has at most ``most`` rows."""
     frozen = materialize(table, "lookup")
-    return F.broadcast(frozen) if frozen.limit(SMALL_RESULT + 1).count() <= SMALL_RESULT else frozen
+    return F.broadcast(frozen) if frozen.limit(most + 1).count() <= most else frozen
 
 
 def _fill_text_with_mode(df: DataFrame) -> DataFrame:

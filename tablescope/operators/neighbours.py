@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import local_table, materialize
 
 CELL_ROWS = 20_000          # wanted distinct donor vectors per cell
 MAX_BINS = 64               # grid bins per dimension
@@ -189,24 +189,24 @@ def nearest(queries: DataFrame, donors: DataFrame, p: int, k: int, own: bool = F
     vector. With ``own`` the query is itself one of the donor rows and one copy
     of it is left out.
     """
+    donors = materialize(donors, "knn-donors")                  # read several times below
     grid = _grid(donors, p, cell_rows)
     while True:
         placed = donors.withColumn("cell", _cell(F.col("x"), F.col("grp"), p, grid))
-        boxes = _boxes(placed, p)
-        if boxes.limit(MAX_CELLS + 1).count() <= MAX_CELLS:
+        box_rows = _boxes(placed, p).limit(MAX_CELLS + 1).collect()
+        if len(box_rows) <= MAX_CELLS:
             break
         if not grid:
             raise ValueError(f"more than {MAX_CELLS} groups and patterns of missing values; impute fewer columns at a time")
         grid = [(d, cuts[1::2]) for d, cuts in grid if len(cuts) > 1]
-    box_rows = boxes.collect()                                  # at most MAX_CELLS small rows
-    spark = queries.sparkSession
     if not box_rows:
         return queries.select("q", "target", "grp", F.col("q").alias("x"), F.lit(0.0).alias("dist"),
                               F.lit(0).cast("bigint").alias("weight")).where("false")
 
     pairs = materialize(
         queries.mapInPandas(_candidates(box_rows, p, k, own), "q array<double>, target int, grp string, cell string"), "knn-pairs")
-    sizes = pairs.groupBy("cell").agg(F.count("*").alias("asked")).join(boxes.select("cell", "vectors"), "cell")
+    boxes = local_table(queries.sparkSession, [{"cell": b["cell"], "vectors": b["vectors"]} for b in box_rows], "cell string, vectors bigint")
+    sizes = pairs.groupBy("cell").agg(F.count("*").alias("asked")).join(boxes, "cell")
     blocks = F.broadcast(sizes.select(                          # at most MAX_CELLS rows
         "cell", F.ceil(F.col("asked") / block_queries).cast("int").alias("q_blocks"),
         F.ceil(F.col("vectors") / block_donors).cast("int").alias("d_blocks")))

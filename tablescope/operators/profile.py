@@ -15,7 +15,7 @@ from ..session import in_parallel, local_table
 from .correlations import correlations
 from .histograms import Bins, histogram_counts, log_bins, top_values
 from .stats import ColumnStats, column_stats
-from .value_counts import distinct_counts, families
+from .value_counts import distinct_counts, families, short_key
 
 METRICS = "dataset_id string, rows bigint, columns int, missing_pct double, duplicate_pct double"
 COLUMNS = "dataset_id string, position int, name string, type string, null_count bigint, unique_count bigint"
@@ -137,8 +137,9 @@ def _types_and_uniques(df: DataFrame, approx: bool, formats: list[str] | None) -
             parts.append(long.groupBy("column").agg(F.approx_count_distinct("value").alias("unique_count"),
                                                     F.bool_and(dated).alias("all_dates")))
         else:
-            parts.append(long.groupBy("column", "value").agg(F.lit(1)).groupBy("column").agg(
-                F.count("*").alias("unique_count"), F.bool_and(dated).alias("all_dates")))
+            # A fingerprint of a long text never reads as a date, nor would the text.
+            keys = long.groupBy("column", short_key(F.col("value")).alias("value")).agg(F.lit(1))
+            parts.append(keys.groupBy("column").agg(F.count("*").alias("unique_count"), F.bool_and(dated).alias("all_dates")))
     return reduce(DataFrame.unionByName, parts)
 
 

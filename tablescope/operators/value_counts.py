@@ -49,6 +49,16 @@ def typed_counts(df: DataFrame, columns: list[str] | None = None) -> list[tuple[
             for kind, long in families(df, columns)]
 
 
+LONG_TEXT = 64      # longer texts are counted by a 128-bit fingerprint
+
+
+def short_key(value: Column) -> Column:
+    """The text itself, or for a long one two independent 64-bit hashes: counting
+    distinct documents then shuffles a few bytes per document, not the documents."""
+    marked = F.concat_ws("#", F.lit(""), F.hex(F.xxhash64(value)), F.hex(F.xxhash64(F.lit("second"), value)))
+    return F.when(F.length(value) <= LONG_TEXT, value).otherwise(marked)
+
+
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, value, count) with values as text."""
     parts = [c.select("column", F.col("value").cast("string").alias("value"), "count")
@@ -62,8 +72,9 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: boo
         parts = [long.groupBy("column").agg(F.approx_count_distinct("value").alias("unique_count"))
                  for _, long in families(df, columns)]
     else:
-        parts = [counts.groupBy("column").agg(F.count("*").alias("unique_count"))
-                 for _, counts in typed_counts(df, columns)]
+        key = lambda kind: short_key(F.col("value")) if kind == "string" else F.col("value")
+        parts = [long.groupBy("column", key(kind).alias("key")).agg(F.lit(1)).groupBy("column").agg(F.count("*").alias("unique_count"))
+                 for kind, long in families(df, columns)]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -38,13 +38,21 @@ class PrepResult:
     report: DataFrame | None = None
 
 
+def _is_wide(action: str, params: dict) -> bool:
+    """Whether a step shuffles or runs Python, so that repeating it costs more than storing its result."""
+    if action == "handle_missing":
+        return params.get("strategy", "smart") not in ("drop_rows", "drop_cols", "mean", "median", "mode")
+    return action in ("remove_duplicates", "encode_categorical")
+
+
 def apply_steps(df: DataFrame, steps: list[dict]) -> tuple[DataFrame, list[str], list[str]]:
     """(table, applied actions, notes).
 
     ``steps`` is a list of ``{"action": ..., "params": {...}}``. A step that
-    fails is noted and skipped; unknown actions are ignored. After every step
-    the table is written once to the shared folder: the next step learns its
-    parameters from it several times and must not recompute the earlier ones.
+    fails is noted and skipped; unknown actions are ignored. Steps that are plain
+    projections or filters stay lazy; after the others the table is written once
+    to the shared folder, because the next steps learn their parameters from it
+    several times.
     """
     applied, notes = [], []
     for step in steps:
@@ -53,7 +61,8 @@ def apply_steps(df: DataFrame, steps: list[dict]) -> tuple[DataFrame, list[str],
             continue
         run, names = ACTIONS[action]
         try:
-            df = materialize(run(df, **{k: v for k, v in params.items() if k in names}), "step")
+            out = run(df, **{k: v for k, v in params.items() if k in names})
+            df = materialize(out, "step") if _is_wide(action, params) else out
         except Exception as problem:        # the contract: report, skip, go on
             notes.append(f"{action}: failed ({type(problem).__name__})")
             continue

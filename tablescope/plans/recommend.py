@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import fold_nan, is_numeric, is_text, quoted, rounded_value
 from ..operators.profile import DATE_FORMATS
-from ..operators.value_counts import distinct_counts, families
+from ..operators.value_counts import distinct_counts, families, short_key
 from ..session import local_table
 from .rules import DEFAULT_USE_CASES, DOMAIN_PARTS, MODELS, TARGET_PARTS, USE_CASES
 
@@ -24,10 +24,11 @@ def _text_facts(df: DataFrame, text: list[str]) -> dict[str, dict]:
     one_layout = [F.bool_and(F.col("value").try_cast("timestamp").isNotNull())]
     one_layout += [F.bool_and(F.try_to_timestamp("value", F.lit(f)).isNotNull()) for f in DATE_FORMATS]
     rows = (
-        long.groupBy("column", "value").agg(F.count("*").alias("count"))
+        long.groupBy("column", short_key(F.col("value")).alias("value"))
+        .agg(F.count("*").alias("count"), F.sum(F.length("value").cast("bigint")).alias("length"))
         .groupBy("column").agg(
             F.count("*").alias("unique_count"),
-            (F.sum(F.length("value").cast("bigint") * F.col("count")) / F.sum("count").cast("double")).alias("avg_length"),
+            (F.sum("length") / F.sum("count").cast("double")).alias("avg_length"),
             reduce(lambda a, b: a | b, one_layout).alias("dated"))
     )
     return {r["column"]: r.asDict() for r in rows.collect()}      # one row per column

@@ -116,7 +116,9 @@ QUERIES = {
     "chart_scatter": (_scatter[0], f"select {r('doc_id', 4)} as x, {r('n_chars', 4)} as y from documents"),
     "chart_scatter_stats": (_scatter[1], f"""select {r('corr(doc_id, n_chars)', 4)} as correlation, count(*) as points, {r('min(doc_id)', 4)} as x_min, {r('max(doc_id)', 4)} as x_max,
       {r('min(n_chars)', 4)} as y_min, {r('max(n_chars)', 4)} as y_max from documents"""),
-    "chart_scatter_sample": (_scatter_sample[0], None),
+    "chart_scatter_sample": (_scatter_sample[0], f"select {r('user_id', 4)} as x, {r('value', 4)} as y from (select * from events order by md5('42|' || event_id), user_id, value limit 2000)"),
+    "chart_scatter_sample_stats": (_scatter_sample[1], f"""select {r('corr(user_id, value)', 4)} as correlation, count(*) as points, {r('min(user_id)', 4)} as x_min, {r('max(user_id)', 4)} as x_max,
+      {r('min(value)', 4)} as y_min, {r('max(value)', 4)} as y_max from (select * from events order by md5('42|' || event_id), user_id, value limit 2000)"""),
     "chart_boxplot": (lambda s, d: tidy(C.boxplot(read(s, d, "events"), ["value", "user_id", "event_type"])), _boxplot_sql("events", ["value", "user_id"])),
     "chart_violin": (_violin[0], f"""with {histogram_sql('events', 'value', '50')}, e as (select *, cnt / cast(n as double) / w as de from g),
       f as (select *, (coalesce(lag(de) over (order by bin), 0.0) + de + coalesce(lead(de) over (order by bin), 0.0)) / 3.0 as s from e), m as (select max(s) as top from f)

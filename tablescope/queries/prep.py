@@ -83,6 +83,12 @@ _SUP_NUM = ["s_suppkey", "s_nationkey", "s_acctbal"]
 # smart on the customer table: both numeric gaps are above 5%, so they are the only features.
 _SMART = knn_sql(_CUS, ["c_nationkey", "c_acctbal"], ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], text_mode=["c_mktsegment"])
 
+# smart on lineitem: l_suppkey is dropped; l_discount is the only column in the neighbour
+# tier, so no row shares a feature with its gaps and they get the mean; l_tax the median.
+_SMART_DIRTY = f"""with base as materialized (select * from {_D} t) select """ + _select({
+    "l_tax": "coalesce(l_tax, (select quantile_cont(l_tax, 0.5) from base))", "l_discount": "coalesce(l_discount, (select avg(l_discount) from base))",
+    "l_returnflag": f"coalesce(l_returnflag, {_mode('l_returnflag', 'base')})"}, drop=("l_suppkey",)) + " from base"
+
 # ---- outliers -------------------------------------------------------------------------
 
 
@@ -182,7 +188,27 @@ def _exponents(spark, d):
     docs, ev = read(spark, d, "documents"), read(spark, d, "events")
     rows = [{"method": m, "column": c, "lambda": v} for m in ("yeo_johnson", "box_cox")
             for c, v in list(best_exponents(docs, ["n_chars"], m).items()) + list(best_exponents(ev, ["value"], m).items())]
-    return local_table(spark, rows, "method string, column string, lambda double")
+    return tidy(local_table(spark, rows, "method string, column string, lambda double"), 3)
+
+
+def _zoom(method: str, rel: str, c: str) -> str:
+    """The best exponent by three ever finer grids of the likelihood."""
+    if method == "box_cox":
+        logs, value = f"ln(cast({c} as double))", "case when abs(lam) < 1e-12 then l else (exp(l * lam) - 1) / lam end"
+    else:
+        logs = f"sign({c}) * ln(1 + abs(cast({c} as double)))"
+        value = ("case when l >= 0 then case when abs(lam) < 1e-12 then l else (exp(l * lam) - 1) / lam end "
+                 "else case when abs(2 - lam) < 1e-12 then l else -(exp(-l * (2 - lam)) - 1) / (2 - lam) end end")
+    parts = [f"v as materialized (select {logs} as l from {rel} where {c} is not null), z0 as (select 0.0::double as lam)"]
+    for k, step in enumerate((0.1, 0.004, 0.0002)):
+        around = f"(select z.lam + i * {step} as lam from z{k} z, (select unnest(range(-50, 51)) as i))"
+        parts.append(f"z{k + 1} as materialized (select arg_max(lam, ll) as lam from (select lam, (lam - 1) * sum(l) - count(*) / 2.0 * ln(var_pop({value})) as ll "
+                     f"from v, {around} group by lam))")
+    return f"select '{method}' as method, '{c}' as \"column\", lam from (with {', '.join(parts)} select lam from z3)"
+
+
+_EXPONENTS = f"select method, \"column\", {r('lam', 3)} as lambda from (" + " union all ".join(
+    _zoom(m, rel, c) for m in ("yeo_johnson", "box_cox") for rel, c in (("documents", "n_chars"), ("events", "value"))) + ")"
 
 
 QUERIES = {
@@ -196,14 +222,14 @@ QUERIES = {
                              knn_sql(_CUS, ["c_custkey", "c_nationkey", "c_acctbal"], ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], text_mode=["c_mktsegment"])),
     "missing_iterative": (lambda s, d: tidy(M.fill_chained(_dirty(s, d))), None),
     "missing_smart": (lambda s, d: tidy(M.impute_smart(derived(s, d, CUSTOMER_GAPS))), _SMART),
-    "missing_smart_dirty": (lambda s, d: tidy(M.impute_smart(_dirty(s, d))), None),
+    "missing_smart_dirty": (lambda s, d: tidy(M.impute_smart(_dirty(s, d))), _SMART_DIRTY),
     "remove_duplicates": (lambda s, d: tidy(C.remove_duplicates(table(s, d, "duped"))), f"select {_select({})} from (select distinct * from {_DD} t)"),
     "remove_correlated": (lambda s, d: tidy(C.remove_correlated(_dirty(s, d))), f"select {_select({}, drop=('l_quantity',))} from {_D} t"),
     "skew_log": (lambda s, d: tidy(handle_skewness(read(s, d, "documents"), "log")).withColumn("n_chars", F.col("n_chars").cast("double")), _skew_sql("ln(1 + n_chars)")),
     "skew_sqrt": (lambda s, d: tidy(handle_skewness(read(s, d, "documents"), "sqrt")).withColumn("n_chars", F.col("n_chars").cast("double")), _skew_sql("sqrt(n_chars)")),
     "skew_boxcox": (lambda s, d: tidy(handle_skewness(read(s, d, "events"), "box_cox")), None),
     "skew_yeojohnson": (lambda s, d: tidy(handle_skewness(read(s, d, "documents"))), None),
-    "skew_exponents": (_exponents, None),
+    "skew_exponents": (_exponents, _EXPONENTS),
     "scale_minmax": (lambda s, d: tidy(C.scale_minmax(_dirty(s, d))), _scale("minmax")),
     "scale_zscore": (lambda s, d: tidy(C.scale_zscore(_dirty(s, d))), _scale("zscore")),
     "scale_robust": (lambda s, d: tidy(C.scale_robust(_dirty(s, d))), _scale("robust")),

@@ -44,10 +44,13 @@ def _sniff(lines: list[str]) -> str:
     return best
 
 
-def _infer(texts: DataFrame, names: list[str]) -> T.StructType:
-    """Narrowest type per column that reads every non-empty value, in one job."""
+def _infer(texts: DataFrame, names: list[str]) -> tuple[T.StructType, int, int]:
+    """(narrowest type per column that reads every value, good rows, overlong
+    rows), in one job."""
+    extra = F.col(_EXTRA).isNotNull()
+    texts = texts.select([F.when(~extra, quoted(n)).alias(n) for n in names] + [_EXTRA])
     tests = {"bigint": "bigint", "double": "double", "boolean": "boolean"}
-    aggs = []
+    aggs = [F.count(F.when(~extra, True)).alias("good"), F.count(F.when(extra, True)).alias("bad")]
     for i, n in enumerate(names):
         v = quoted(n)
         aggs.append(F.count(v).alias(f"n{i}"))
@@ -68,7 +71,7 @@ def _infer(texts: DataFrame, names: list[str]) -> T.StructType:
         else:
             kind = T.StringType()
         fields.append(T.StructField(n, kind))
-    return T.StructType(fields)
+    return T.StructType(fields), row["good"], row["bad"]
 
 
 def read_csv(spark: SparkSession, path: str, max_rows: int | None = None, order_by: list[str] | None = None,
@@ -98,13 +101,13 @@ def read_csv(spark: SparkSession, path: str, max_rows: int | None = None, order_
                    enforceSchema=True, columnPruning=False)
     parsed = spark.read.schema(text_schema).options(**options).csv(path)
     null_text = lambda c: F.when(quoted(c).isin(NULL_TEXTS), None).otherwise(quoted(c))
-    if parsed.where(F.col(_EXTRA).isNotNull()).limit(1).count():
+    texts = parsed.select([null_text(n).alias(n) for n in names] + [_EXTRA])
+    schema, good, bad = _infer(texts, names)
+    if bad:
         warnings.append("Rows with more fields than the header were left out.")
-    texts = parsed.where(F.col(_EXTRA).isNull()).select([null_text(n).alias(n) for n in names])
-    schema = _infer(texts, names)
-    out = texts.select([quoted(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-    if out.limit(1).count() == 0:
+    if not good:
         raise UnreadableFileError(f"no readable row in {path}")
+    out = texts.where(F.col(_EXTRA).isNull()).select([quoted(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     if max_rows is not None:
         from ..operators.profile import row_cap
 
