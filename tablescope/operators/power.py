@@ -73,24 +73,28 @@ def skewed_columns(df: DataFrame, columns: list[str] | None = None) -> tuple[lis
     return [c for c in numeric if stats.count[c] >= 10 and abs(stats.get(c, "skew") or 0.0) > 1], stats
 
 
+def apply_exponents(df: DataFrame, exponents: dict[str, float], method: str) -> DataFrame:
+    """Transform columns with known exponents; Yeo-Johnson results are
+    standardised to mean 0 and population deviation 1."""
+    form = boxcox if method == "box_cox" else yeojohnson
+    raw = {c: form(_logs(quoted(c).cast("double"), method), lam) for c, lam in exponents.items()}
+    if method == "box_cox" or not raw:
+        return replace_columns(df, raw)
+    moments = column_stats(replace_columns(df, raw), list(raw), ("mean", "std_pop"), [])
+    return replace_columns(df, {c: (t - F.lit(moments.get(c, "mean"))) / F.lit(moments.get(c, "std_pop") or 1.0) for c, t in raw.items()})
+
+
 def handle_skewness(df: DataFrame, method: str = "yeo_johnson", columns: list[str] | None = None) -> DataFrame:
     """Transform the skewed columns; those a method cannot take stay as they are."""
     df = fold_nan(df)
+    if method not in ("log", "sqrt", "box_cox", "yeo_johnson"):
+        return df
     skewed, stats = skewed_columns(df, columns)
     x = lambda c: quoted(c).cast("double")
     if method == "log":
-        changed = {c: F.log1p(x(c)) for c in skewed if stats.get(c, "min") > 0}
-    elif method == "sqrt":
-        changed = {c: F.sqrt(x(c)) for c in skewed if stats.get(c, "min") >= 0}
-    elif method == "box_cox":
-        positive = [c for c in skewed if stats.get(c, "min") > 0]
-        lam = best_exponents(df, positive, method) if positive else {}
-        changed = {c: boxcox(_logs(x(c), method), lam[c]) for c in positive}
-    elif method == "yeo_johnson" and skewed:
-        lam = best_exponents(df, skewed, method)
-        raw = {c: yeojohnson(_logs(x(c), method), lam[c]) for c in skewed}
-        moments = column_stats(replace_columns(df, raw), skewed, ("mean", "std_pop"), [])
-        changed = {c: (raw[c] - F.lit(moments.get(c, "mean"))) / F.lit(moments.get(c, "std_pop") or 1.0) for c in skewed}
-    else:
-        changed = {}
-    return replace_columns(df, changed)
+        return replace_columns(df, {c: F.log1p(x(c)) for c in skewed if stats.get(c, "min") > 0})
+    if method == "sqrt":
+        return replace_columns(df, {c: F.sqrt(x(c)) for c in skewed if stats.get(c, "min") >= 0})
+    if method == "box_cox":
+        skewed = [c for c in skewed if stats.get(c, "min") > 0]
+    return apply_exponents(df, best_exponents(df, skewed, method), method) if skewed else df

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import cleaning as C
 from ..operators import missing as M
 from ..operators.encode import encode_label, encode_onehot
-from ..operators.power import best_exponents, handle_skewness
+from ..operators.power import apply_exponents, best_exponents, handle_skewness
 from ..plans.prep import apply_steps, run_steps
 from ..session import local_table
-from .base import COLUMNS, CUSTOMER_GAPS, DIRTY, DUPED, LABELED, SUPPLIER_GAPS, derived, duck, numbers, r, read, relation, skew, table, texts, tidy
+from .base import COLUMNS, CUSTOMER_GAPS, DIRTY, DUPED, SUPPLIER_GAPS, derived, duck, numbers, r, read, relation, skew, table, texts, tidy
 
 _D, _DD = relation("dirty"), relation("duped")
 _COLS = [c for c, _ in COLUMNS["dirty"]]
@@ -139,12 +139,10 @@ select doc_id, text, lang, source, {r(f"case when n >= 10 and abs(sk) > 1 and lo
 
 
 # ---- encoding -------------------------------------------------------------------------
-_FLAGS = ["R", "N", "A"]
 
 
 def _label_sql(cols, rel, keep):
-    out = ", ".join(f"(select count(distinct coalesce(x.{c}, 'nan')) from base x where coalesce(x.{c}, 'nan') < coalesce(base.{c}, 'nan')) as {c}" if False else
-                    f"d_{c}.code as {c}" if c in cols else c for c in keep)
+    out = ", ".join(f"d_{c}.code as {c}" if c in cols else c for c in keep)
     ctes = ", ".join(f"d_{c} as (select v, row_number() over (order by v) - 1 as code from (select distinct coalesce({c}, 'nan') as v from base))" for c in cols)
     joins = " ".join(f"join d_{c} on d_{c}.v = coalesce(base.{c}, 'nan')" for c in cols)
     return f"with base as materialized (select * from {rel} t), {ctes} select {out} from base {joins}"
@@ -191,6 +189,22 @@ def _exponents(spark, d):
     return tidy(local_table(spark, rows, "method string, column string, lambda double"), 3)
 
 
+def _transformed(spark, d, name, column, method):
+    """The transform with its exponent rounded, so that both engines use the same one."""
+    df = read(spark, d, name)
+    lam = round(best_exponents(df, [column], method)[column], 3)
+    return tidy(apply_exponents(df, {column: lam}, method), 4)
+
+
+def _transformed_sql(name: str, keep: list[str], c: str, method: str) -> str:
+    l = f"ln(cast({c} as double))" if method == "box_cox" else f"sign({c}) * ln(1 + abs(cast({c} as double)))"
+    up, down = "case when lam = 0 then l else (exp(l * lam) - 1) / lam end", "case when lam = 2 then l else -(exp(-l * (2 - lam)) - 1) / (2 - lam) end"
+    value = up if method == "box_cox" else f"case when l >= 0 then {up} else {down} end"
+    out = "t" if method == "box_cox" else "(t - avg(t) over ()) / stddev_pop(t) over ()"
+    return (f"with q as ({_zoom(method, name, c)}), x as (select * exclude ({c}, lam), {value} as t from (select s.*, {l} as l, {r('lam', 3)} as lam from {name} s, q)) "
+            f"select {', '.join(keep)}, {r(out, 4)} as {c} from x")
+
+
 def _zoom(method: str, rel: str, c: str) -> str:
     """The best exponent by three ever finer grids of the likelihood."""
     if method == "box_cox":
@@ -230,6 +244,10 @@ QUERIES = {
     "skew_boxcox": (lambda s, d: tidy(handle_skewness(read(s, d, "events"), "box_cox")), None),
     "skew_yeojohnson": (lambda s, d: tidy(handle_skewness(read(s, d, "documents"))), None),
     "skew_exponents": (_exponents, _EXPONENTS),
+    "skew_boxcox_rounded": (lambda s, d: _transformed(s, d, "events", "value", "box_cox"),
+                            _transformed_sql("events", ["event_id", "ts", "user_id", "event_type", "props"], "value", "box_cox")),
+    "skew_yeojohnson_rounded": (lambda s, d: _transformed(s, d, "documents", "n_chars", "yeo_johnson"),
+                                _transformed_sql("documents", ["doc_id", "text", "lang", "source"], "n_chars", "yeo_johnson")),
     "scale_minmax": (lambda s, d: tidy(C.scale_minmax(_dirty(s, d))), _scale("minmax")),
     "scale_zscore": (lambda s, d: tidy(C.scale_zscore(_dirty(s, d))), _scale("zscore")),
     "scale_robust": (lambda s, d: tidy(C.scale_robust(_dirty(s, d))), _scale("robust")),

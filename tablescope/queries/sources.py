@@ -47,8 +47,9 @@ def _files(s, d):
     for t in ("customer", "orders"):
         write(read(s, d, t).coalesce(1), f"{root}/shop/{t}", "csv")
     write(read(s, d, "part").coalesce(1), f"{root}/goods/part", "csv")
-    read(s, d, "pages").select(F.concat(F.lit("<html>"), "html").alias("html")).coalesce(1).write.option("quote", "").csv(f"{root}/goods/pages")
-    return discover_files(s, root).select("dataset", "length")
+    page = F.concat(F.lit("<html>"), F.regexp_replace("html", "[\\r\\n\\t,\"]", " "))        # nothing the writer would quote
+    read(s, d, "pages").select(F.trim(page).alias("html")).coalesce(1).write.csv(f"{root}/goods/pages")
+    return discover_files(s, root).select("dataset", F.regexp_extract("path", "/([^/]+)/[^/]+$", 1).alias("table_name"))
 
 
 def _store(s, d):
@@ -130,7 +131,8 @@ QUERIES = {
     "read_csv_plain": (_csv_plain, f"select o_orderkey, o_orderstatus, {r('o_totalprice', 6)} as o_totalprice, o_totalprice > 300000 as is_large, o_orderpriority, cast(null as varchar) as note from orders"),
     "row_cap": (lambda s, d: tidy(row_cap(read(s, d, "orders").select("o_orderkey", "o_totalprice"), 500, ["o_totalprice", "o_orderkey"])[0]),
                 f"select o_orderkey, {r('o_totalprice', 6)} as o_totalprice from orders order by o_totalprice, o_orderkey limit 500"),
-    "discover_main_file": (_files, None),
+    "discover_main_file": (_files, """select 'goods' as dataset, 'part' as table_name union all
+      select 'shop', case when (select sum(length(o_orderpriority) + 30) from orders) > (select sum(length(c_name) + 20) from customer) then 'orders' else 'customer' end"""),
     "sample_preview": (lambda s, d: tidy(preview(read(s, d, "events"), 20, "event_id")), _EV + " order by event_id limit 20"),
     "json_safe": (lambda s, d: tidy(json_safe(read(s, d, "events"))), _EV),
     "catalog_from_kaggle": (lambda s, d: tidy(G.normalize_kaggle(_raw_kaggle(s, d))), _SQL_KAGGLE),

@@ -35,11 +35,13 @@ def get_spark(app_name: str = "tablescope", master: str | None = None, **conf) -
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir`` when the
-    session names one, otherwise one temporary folder per session (tests)."""
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the
+    session. Only a local session without one gets a temporary folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = spark.conf.get("tablescope.scratch", None)
     if not own:
         own = tempfile.mkdtemp(prefix="tablescope-")

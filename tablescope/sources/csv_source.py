@@ -88,7 +88,7 @@ def read_csv(spark: SparkSession, path: str, max_rows: int | None = None, order_
     if raw.where(~F.is_valid_utf8("value")).limit(1).count():
         encoding = "ISO-8859-1"
         warnings.append("The file is not UTF-8; it was read as ISO-8859-1.")
-    head = [r[0] for r in spark.read.option("encoding", encoding).text(path).limit(HEAD_LINES).collect()]
+    head = [r[0] for r in raw.select(F.decode(F.col("value").cast("binary"), encoding)).limit(HEAD_LINES).collect()]
     if not head:
         raise UnreadableFileError(f"nothing to read in {path}")
     names = _fields(head[0], ",")
