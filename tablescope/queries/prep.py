@@ -182,10 +182,12 @@ _REPORT = f"""select 'duped' as dataset_id, 'remove_duplicates|handle_missing|ha
   (select count(*) from {_DD} t) - (select count(*) from (select distinct * from {_DD} t)) as rows_removed, cast(3 as bigint) as columns_removed, cast(0 as bigint) as columns_added"""
 
 
+# Box-Cox only takes positive values, so it is fitted on columns that have no zero.
+FITTED = [("yeo_johnson", "documents", "n_chars"), ("yeo_johnson", "events", "value"), ("box_cox", "documents", "n_chars"), ("box_cox", "orders", "o_totalprice")]
+
+
 def _exponents(spark, d):
-    docs, ev = read(spark, d, "documents"), read(spark, d, "events")
-    rows = [{"method": m, "column": c, "lambda": v} for m in ("yeo_johnson", "box_cox")
-            for c, v in list(best_exponents(docs, ["n_chars"], m).items()) + list(best_exponents(ev, ["value"], m).items())]
+    rows = [{"method": m, "column": c, "lambda": best_exponents(read(spark, d, t), [c], m)[c]} for m, t, c in FITTED]
     return tidy(local_table(spark, rows, "method string, column string, lambda double"), 3)
 
 
@@ -222,7 +224,7 @@ def _zoom(method: str, rel: str, c: str) -> str:
 
 
 _EXPONENTS = f"select method, \"column\", {r('lam', 3)} as lambda from (" + " union all ".join(
-    _zoom(m, rel, c) for m in ("yeo_johnson", "box_cox") for rel, c in (("documents", "n_chars"), ("events", "value"))) + ")"
+    _zoom(m, rel, c) for m, rel, c in FITTED) + ")"
 
 
 QUERIES = {
@@ -244,8 +246,8 @@ QUERIES = {
     "skew_boxcox": (lambda s, d: tidy(handle_skewness(read(s, d, "events"), "box_cox")), None),
     "skew_yeojohnson": (lambda s, d: tidy(handle_skewness(read(s, d, "documents"))), None),
     "skew_exponents": (_exponents, _EXPONENTS),
-    "skew_boxcox_rounded": (lambda s, d: _transformed(s, d, "events", "value", "box_cox"),
-                            _transformed_sql("events", ["event_id", "ts", "user_id", "event_type", "props"], "value", "box_cox")),
+    "skew_boxcox_rounded": (lambda s, d: _transformed(s, d, "documents", "n_chars", "box_cox"),
+                            _transformed_sql("documents", ["doc_id", "text", "lang", "source"], "n_chars", "box_cox")),
     "skew_yeojohnson_rounded": (lambda s, d: _transformed(s, d, "documents", "n_chars", "yeo_johnson"),
                                 _transformed_sql("documents", ["doc_id", "text", "lang", "source"], "n_chars", "yeo_johnson")),
     "scale_minmax": (lambda s, d: tidy(C.scale_minmax(_dirty(s, d))), _scale("minmax")),
