@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import local_table, materialize
 
-CELL_ROWS = 20_000          # wanted distinct donor vectors per cell
+CELL_ROWS = 4_000           # wanted distinct donor vectors per cell
 MAX_BINS = 64               # grid bins per dimension
 MAX_CELLS = 20_000          # cell boxes held by a task
 BLOCK_DONORS = 8_192

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, fields
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -123,8 +124,6 @@ def _simple_type(f: T.StructField) -> str | None:
 
 def _types_and_uniques(df: DataFrame, approx: bool, formats: list[str] | None) -> DataFrame:
     """(column, unique_count, all_dates) - dates are tested on distinct values only."""
-    from functools import reduce
-
     text = text_columns(df)
     other = [c for c in df.columns if c not in text]
     parts = []
@@ -274,13 +273,13 @@ def profile(df: DataFrame, dataset_id: str, approx: bool = False, warnings: list
 
 def profile_many(tables: dict[str, DataFrame], approx: bool = False) -> Profile:
     """Profile several tables into one set of result tables."""
-    out = None
-    for dataset_id, df in tables.items():
-        one = profile(df, dataset_id, approx)
-        out = one if out is None else out.union(one)
-    if out is None:
+    if not tables:
         raise ValueError("no tables given")
-    return out
+    items, done = list(tables.items()), []
+    for i in range(0, len(items), 4):           # some tables side by side
+        jobs = [lambda name=name, df=df: profile(df, name, approx) for name, df in items[i:i + 4]]
+        done += in_parallel(items[0][1].sparkSession, *jobs)
+    return reduce(Profile.union, done)
 
 
 def preview(df: DataFrame, n: int = 20, order_by: list[str] | str | None = None) -> DataFrame:

@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import quoted
+from ..session import in_parallel
 
 SKETCH_ACCURACY = 10_000
 MAX_BRACKET_ROWS = 2_000_000
+COLUMNS_PER_JOB = 8
+BRACKETS_PER_JOB = 24
 
 
 @dataclass
@@ -49,6 +52,14 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]],
     result: dict[str, dict[float, float | None]] = {c: dict.fromkeys(ps) for c, ps in wanted.items()}
     if not wanted:
         return result
+    if len(wanted) > COLUMNS_PER_JOB:           # wide tables: some columns at a time, each read once per step
+        names = list(wanted)
+        parts = [{c: wanted[c] for c in names[i:i + COLUMNS_PER_JOB]} for i in range(0, len(names), COLUMNS_PER_JOB)]
+        for i in range(0, len(parts), 4):
+            jobs = [lambda part=part: exact_quantiles(df, part, max_bracket_rows) for part in parts[i:i + 4]]
+            for got in in_parallel(df.sparkSession, *jobs):
+                result.update(got)
+        return result
     data = df.select([quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(wanted)])
     slack = 2.0 / SKETCH_ACCURACY
     aggs = []
@@ -83,7 +94,9 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]],
         _count(data, open_ones, extremes)
         open_ones = [b for b in open_ones if b.answer is None]
         big = [b for b in open_ones if b.inside > max_bracket_rows]
-        _pick(data, [b for b in open_ones if b.inside <= max_bracket_rows])
+        small = [b for b in open_ones if b.inside <= max_bracket_rows]
+        for i in range(0, len(small), BRACKETS_PER_JOB):
+            _pick(data, small[i:i + BRACKETS_PER_JOB])
         if big:
             _narrow(data, big)
 
@@ -121,8 +134,6 @@ def _count(data: DataFrame, brackets: list[_Bracket], extremes: dict) -> None:
 
 def _pick(data: DataFrame, brackets: list[_Bracket]) -> None:
     """Rank the distinct values inside each (bounded) bracket."""
-    if not brackets:
-        return
     hits = [F.when((F.col(b.column) >= b.lo) & (F.col(b.column) <= b.hi),
                    F.struct(F.lit(i).alias("id"), F.col(b.column).alias("v")))
             for i, b in enumerate(brackets)]

@@ -38,19 +38,35 @@ _MEASURES = {
 }
 
 
+COLUMNS_PER_JOB = 64     # keeps the generated code of one aggregate within the JVM's limits
+
+
 def column_stats(df: DataFrame, numeric: list[str] | None = None, measures: tuple[str, ...] = (),
                  columns: list[str] | None = None) -> ColumnStats:
-    """Row count, non-null counts of ``columns`` and ``measures`` of ``numeric``."""
+    """Row count, non-null counts of ``columns`` and ``measures`` of ``numeric``.
+
+    Wide tables are taken some columns at a time; each job reads only its own.
+    """
     columns = df.columns if columns is None else columns
     numeric = numeric_columns(df) if numeric is None else numeric
-    aggs = [F.count("*").alias("rows")]
-    aggs += [F.count(quoted(c)).alias(f"n_{i}") for i, c in enumerate(columns)]
-    for i, c in enumerate(numeric):
-        x = quoted(c).cast("double")
-        aggs += [_MEASURES[m](x).alias(f"v_{i}_{m}") for m in measures]
-    row = df.agg(*aggs).first()
-    return ColumnStats(
-        rows=row["rows"],
-        count={c: row[f"n_{i}"] for i, c in enumerate(columns)},
-        values={c: {m: row[f"v_{i}_{m}"] for m in measures} for i, c in enumerate(numeric)},
-    )
+    if not measures:
+        numeric = []
+    every = list(dict.fromkeys(list(columns) + list(numeric)))
+    chunks = [every[i:i + COLUMNS_PER_JOB] for i in range(0, len(every), COLUMNS_PER_JOB)] or [[]]
+    out = ColumnStats()
+    counted, measured = set(columns), set(numeric)
+    for chunk in chunks:
+        aggs = [F.count("*").alias("rows")]
+        for i, c in enumerate(chunk):
+            if c in counted:
+                aggs.append(F.count(quoted(c)).alias(f"n_{i}"))
+            if c in measured:
+                aggs += [_MEASURES[m](quoted(c).cast("double")).alias(f"v_{i}_{m}") for m in measures]
+        row = df.agg(*aggs).first()
+        out.rows = row["rows"]
+        for i, c in enumerate(chunk):
+            if c in counted:
+                out.count[c] = row[f"n_{i}"]
+            if c in measured:
+                out.values[c] = {m: row[f"v_{i}_{m}"] for m in measures}
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
@@ -14,6 +15,8 @@ from .next_steps import next_steps
 from .recommend import column_roles, recommend, text_facts
 from .score import overall_score, quality_score
 
+TABLES_AT_ONCE = 4
+
 
 @dataclass
 class Analysis:
@@ -33,20 +36,23 @@ def analyze(tables: dict[str, DataFrame], approx: bool = False) -> Analysis:
     One set of rules runs over the union of the small profile tables, however
     many tables are given.
     """
-    profiles, roles, warned = None, None, None
-    for dataset_id, df in tables.items():
+    def one(dataset_id: str, df: DataFrame) -> tuple[Profile, DataFrame, DataFrame]:
         df = drop_empty(df)
-        spark = df.sparkSession
-        one, figures, facts = in_parallel(spark, lambda: profile(df, dataset_id, approx), lambda: numeric_figures(df), lambda: text_facts(df))
-        uniques = {r["name"]: r["unique_count"] for r in one.columns.collect()}     # one row per column
-        role = column_roles(df, dataset_id, uniques, one.metrics.first()["rows"], facts)
-        target = recommend(role).first()["target"]
-        warn = bias_warnings(df, dataset_id, target, figures)
-        profiles = one if profiles is None else profiles.union(one)
-        roles = role if roles is None else roles.unionByName(role)
-        warned = warn if warned is None else warned.unionByName(warn)
-    if profiles is None:
+        found, figures, facts = in_parallel(
+            df.sparkSession, lambda: profile(df, dataset_id, approx), lambda: numeric_figures(df), lambda: text_facts(df))
+        uniques = {r["name"]: r["unique_count"] for r in found.columns.collect()}       # one row per column
+        roles = column_roles(df, dataset_id, uniques, found.metrics.first()["rows"], facts)
+        target = recommend(roles).first()["target"]
+        return found, roles, bias_warnings(df, dataset_id, target, figures)
+
+    if not tables:
         raise ValueError("no tables given")
+    items, done = list(tables.items()), []
+    for i in range(0, len(items), TABLES_AT_ONCE):
+        jobs = [lambda name=name, df=df: one(name, df) for name, df in items[i:i + TABLES_AT_ONCE]]
+        done += in_parallel(items[0][1].sparkSession, *jobs)
+    profiles = reduce(Profile.union, [d[0] for d in done])
+    roles, warned = (reduce(DataFrame.unionByName, [d[k] for d in done]) for k in (1, 2))
     found, advice = insights(profiles), recommend(roles)
     return Analysis(profiles, roles, quality_score(profiles), overall_score(profiles), found, advice, warned,
                     next_steps(profiles, found, warned, advice))

@@ -7,6 +7,7 @@ scoring a catalogue is a single projection followed by a distributed top-k.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -160,17 +161,25 @@ def score_catalog(catalog: DataFrame, query: str, query_vector=None, as_of: Colu
 @dataclass
 class Page:
     rows: DataFrame
-    total: int
-    pages: int
+    ranked: DataFrame
+    limit: int
+
+    @cached_property
+    def total(self) -> int:
+        """Number of matches; counted when asked for."""
+        return self.ranked.count()
+
+    @property
+    def pages(self) -> int:
+        return -(-self.total // self.limit)
 
 
 def search(catalog: DataFrame, query: str, filters: dict | None = None, page: int = 1, limit: int = 20, query_vector=None,
            as_of: Column | str | None = None, arrival: str = "id") -> Page:
     """Deduplicate, score, label, filter, sort and cut one page; ties go to the smaller id."""
     ranked = ranked_catalog(catalog, query, filters, query_vector, as_of, arrival)
-    total = ranked.count()
     rows = ranked.orderBy(F.desc("relevance"), "id").offset((page - 1) * limit).limit(limit)
-    return Page(rows, total, -(-total // limit))
+    return Page(rows, ranked, limit)
 
 
 def ranked_catalog(catalog: DataFrame, query: str, filters: dict | None = None, query_vector=None, as_of: Column | str | None = None,

@@ -211,3 +211,18 @@ def test_row_cap_warns(make):
     capped, warnings = P.row_cap(df, 4, "k")
     assert capped.count() == 4 and warnings
     assert P.row_cap(df, 10, "k")[1] == []
+
+
+def test_wide_table(spark):
+    wide = spark.range(60).select(*[(F.col("id") * (i + 1) % 17).cast("double").alias(f"c{i}") for i in range(70)])
+    got = exact_quantiles(wide, {c: [0.25, 0.5, 0.75] for c in wide.columns})
+    want = wide.toPandas().quantile([0.25, 0.5, 0.75])
+    assert all(np.allclose([got[c][p] for p in (0.25, 0.5, 0.75)], want[c]) for c in wide.columns)
+    p = P.profile(wide, "w")
+    assert (p.columns.count(), p.correlations.count(), p.distributions.count()) == (70, 20, 48)
+
+
+def test_many_tables_at_once(make):
+    tables = {f"t{i}": make([(j,) for j in range(i + 1)], "k int") for i in range(6)}
+    rows = {r["dataset_id"]: r["rows"] for r in P.profile_many(tables).metrics.collect()}
+    assert rows == {f"t{i}": i + 1 for i in range(6)}
