@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import fold_nan, numeric_columns, quoted, replace_columns
+from ..functions.numeric import fold_nan, is_nested, numeric_columns, quoted, replace_columns
 from .correlations import pair_correlations
 from .quantiles import exact_quantiles, medians, quartiles
 from .stats import column_stats
@@ -44,20 +44,19 @@ def drop_low_variance(df: DataFrame, threshold: float = 0.01) -> DataFrame:
     numeric = numeric_columns(df)
     if not numeric:
         return df
-    stats = column_stats(df, numeric, ("min_filled", "max_filled"))
+    stats = column_stats(df, numeric, ("min", "max", "min_filled", "max_filled"), [])
     varying = stats.rows / (stats.rows - 1.0) if stats.rows > 1 else None
-    gone = set()
+    gone = {c for c in numeric if stats.get(c, "min") == stats.get(c, "max")}
     for c in numeric:
         flat = stats.get(c, "min_filled") == stats.get(c, "max_filled")
-        scaled = 0.0 if flat else varying
-        if scaled is not None and stats.rows > 1 and scaled < threshold:
+        if varying is not None and (0.0 if flat else varying) < threshold:
             gone.add(c)
-    # min = max finds single-valued columns of any orderable type without grouping.
-    from pyspark.sql import types as T
-    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
-    row = df.agg(*[x for i, c in enumerate(plain) for x in (F.min(quoted(c)).alias(f"a{i}"), F.max(quoted(c)).alias(f"b{i}"))]).first()
-    gone |= {c for i, c in enumerate(plain) if row[f"a{i}"] == row[f"b{i}"]}
-    nested = [c for c in df.columns if c not in plain]
+    # min = max finds the single-valued columns of any other orderable type without grouping.
+    plain = [f.name for f in df.schema.fields if f.name not in numeric and not is_nested(f)]
+    if plain:
+        row = df.agg(*[x for i, c in enumerate(plain) for x in (F.min(quoted(c)).alias(f"a{i}"), F.max(quoted(c)).alias(f"b{i}"))]).first()
+        gone |= {c for i, c in enumerate(plain) if row[f"a{i}"] == row[f"b{i}"]}
+    nested = [f.name for f in df.schema.fields if is_nested(f)]
     if nested:
         few = {r["column"]: r["unique_count"] for r in distinct_counts(df, nested).collect()}
         gone |= {c for c in nested if few.get(c, 0) <= 1}

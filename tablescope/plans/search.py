@@ -204,19 +204,25 @@ def embedding_text(query: str, description: str | None = None) -> Column:
 
 # ---- vectors ------------------------------------------------------------------------
 
-def embed(df: DataFrame, text_col: str, output_col: str = "embedding", dims: int = 256, fit_on: DataFrame | None = None) -> DataFrame:
-    """TF-IDF vectors of unit length as ``array<double>`` - the built-in embedder.
+def fit_embedder(df: DataFrame, text_col: str, dims: int = 256):
+    """The built-in embedder: TF-IDF weights learnt on ``df``, vectors of unit length."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+
+    return Pipeline(stages=[
+        RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
+        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims), IDF(inputCol="_tf", outputCol="_tfidf"),
+        Normalizer(inputCol="_tfidf", outputCol="_unit")]).fit(df)
+
+
+def embed(df: DataFrame, text_col: str, output_col: str = "embedding", dims: int = 256, model=None) -> DataFrame:
+    """Adds an ``array<double>`` vector per text; fits the embedder on ``df`` unless given one.
 
     A model's own vectors can be used instead: any ``array<float>`` column works.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
-    stages = [RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-              HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims), IDF(inputCol="_tf", outputCol="_tfidf"),
-              Normalizer(inputCol="_tfidf", outputCol="_unit")]
-    model = Pipeline(stages=stages).fit(fit_on if fit_on is not None else df)
+    model = model if model is not None else fit_embedder(df, text_col, dims)
     out = model.transform(df).withColumn(output_col, vector_to_array("_unit"))
     return out.drop("_words", "_tf", "_tfidf", "_unit")
 

@@ -149,8 +149,9 @@ def _semantic_search(s, d):
 
     cat = _catalog(s, d).withColumn("embed_text", F.concat_ws(". ", "title", "description"))
     query = local_table(s, [{"x": 1}], "x int").select(P.embedding_text(QUERY).alias("embed_text"))
-    vectors = P.embed(cat, "embed_text")
-    qv = P.embed(query, "embed_text", fit_on=cat).first()["embedding"]
+    model = P.fit_embedder(cat, "embed_text")
+    vectors = P.embed(cat, "embed_text", model=model)
+    qv = P.embed(query, "embed_text", model=model).first()["embedding"]
     return tidy(P.ranked_catalog(vectors, QUERY, query_vector=qv, as_of=AS_OF, arrival="arrival").select(*_OUT_COLS, "semantic"))
 
 
@@ -188,7 +189,7 @@ QUERIES = {
     "search_ranked": (lambda s, d: tidy(P.ranked_catalog(_catalog(s, d), QUERY, as_of=AS_OF, arrival="arrival").select(*_OUT_COLS)),
                       f"with {_CAT}, {_DEDUP}, {_scored('dd')} select {_OUT} from lb"),
     "search_semantic": (_semantic_search, None),
-    "embed_text": (lambda s, d: tidy(P.embed(read(s, d, "benchmark"), "text", fit_on=read(s, d, "documents")).select("item_id", "embedding")), None),
+    "embed_text": (lambda s, d: tidy(P.embed(read(s, d, "benchmark"), "text", model=P.fit_embedder(read(s, d, "documents"), "text")).select("item_id", "embedding")), None),
     "format_number": (lambda s, d: read(s, d, "events").select("event_id", X.format_number(F.col("value") * F.col("event_id") / 7 - 3).alias("label")),
                       f"select event_id, {fmt_number('(value * event_id / 7 - 3)')} as label from events"),
     "format_bytes": (lambda s, d: read(s, d, "documents").select("doc_id", X.format_bytes(F.col("n_chars") * F.col("doc_id") * F.col("doc_id")).alias("size")),
