@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, toxicity
+from . import bpe, exact_dedup, minhash, mixing, toxicity
 from .shared import read
 
 
@@ -32,6 +32,10 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept,
 """
 
 
+def _minhash(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def _toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = toxicity.fold("doc_id", 5) == 0
@@ -44,5 +48,6 @@ QUERIES = {
     "op2_source_mix": (_mix, None),
     "op3_bpe": (_bpe, None),
     "op4_exact_dedup": (_exact, EXACT_SQL),
+    "op8_minhash": (_minhash, None),
     "op10_toxicity": (_toxicity, None),
 }

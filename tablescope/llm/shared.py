@@ -35,7 +35,7 @@ def may_hold(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFram
     to the exact join that follows. No row of ``df`` is shuffled.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))     # noqa: E731
-    one = keys.select(place(F.col(keys.columns[0])).alias("_h")).distinct()
+    one = keys.select(place(F.col(keys.columns[0])).alias("_h"))
     bitmap = (one.groupBy(F.floor(F.col("_h") / _BUCKET).alias("_bucket"))
               .agg(F.expr(f"bitmap_construct_agg(_h % {_BUCKET})").alias("_bits")))
     at, bucket = free_name(df, "_at"), free_name(df, "_bucket_no")
@@ -47,6 +47,18 @@ def may_hold(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFram
     return joined.select(*[F.col(_quoted(c)) for c in df.columns], F.coalesce(found, F.lit(False)).alias(name))
 
 
+def without(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not among ``keys`` (a single column). Rows that the bitmap clears stay where they are;
+    only the others are shuffled for the exact anti-join."""
+    flag, own, other = free_name(df, "_held"), free_name(df, "_key"), keys.columns[0]
+    held = may_hold(df, key, keys, flag)
+    unsure = held.where(quoted(flag)).withColumn(own, key)
+    gone = keys.select(F.col(other).alias("_gone")).distinct()
+    rest = unsure.join(gone, quoted(own) == F.col("_gone"), "left_anti")
+    columns = [quoted(c) for c in df.columns]
+    return held.where(~quoted(flag)).select(*columns).unionByName(rest.select(*columns))
+
+
 def _quoted(c: str) -> str:
     return "`" + c.replace("`", "``") + "`"
 
