@@ -103,11 +103,15 @@ def thresholds(rows: DataFrame, goals: DataFrame, bits: int = BITS) -> DataFrame
     return state.select("source", "source_size", "target", "copies", "cut")
 
 
+def _hash(docs: DataFrame, key: tuple[str, ...], text: str, salt: str):
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), *[quoted(k) for k in key], quoted(text)), 4)
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: tuple[str, ...] = ("doc_id",), salt: str = "mix",
         weights=(1, 2, 3), share: float = 1.0, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """``docs`` without the text, plus size, source_size, target and repeats (how often the mix takes the row)."""
     size, digest = free_name(docs, "size"), free_name(docs, "hash")
-    hashed = docs.withColumn(digest, F.shiftrightunsigned(F.xxhash64(F.lit(salt), *[quoted(k) for k in key], quoted(text)), 4))
+    hashed = docs.withColumn(digest, _hash(docs, key, text, salt))
     narrow = materialize(sized(hashed, text, size), "sized")
     rows = narrow.select(quoted(source).cast("string").alias("source"), quoted(size).alias("size"), quoted(digest).alias("hash"))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -120,3 +124,18 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: tuple[
     return out.select(*kept, quoted(size).alias("mix_size"), F.col("_source_size").alias("mix_source_size"),
                       F.col("_target").alias("mix_target"),
                       (F.col("_copies") + F.coalesce(extra, F.lit(False)).cast("int")).alias("mix_repeats"))
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: tuple[str, ...] = ("doc_id",), salt: str = "mix",
+          weights=(1, 2, 3), share: float = 1.0, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it. The threshold of a row's source decides in place: sizes and cuts
+    are looked up by source, so no text is shuffled when the sources are few."""
+    size, digest = free_name(docs, "size"), free_name(docs, "hash")
+    hashed = docs.withColumn(digest, _hash(docs, key, text, salt))
+    narrow = materialize(sized(hashed, text, size).select(quoted(source).cast("string").alias("source"), quoted(size).alias("size"),
+                                                          quoted(digest).alias("hash")), "sized")
+    cuts = thresholds(narrow, targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_repeat))
+    cuts = materialize(cuts.select(*[F.col(c).alias(f"_{c}") for c in cuts.columns]), "cuts")
+    out = hashed.join(cuts, quoted(source).cast("string").eqNullSafe(F.col("_source")))
+    times = F.col("_copies") + F.coalesce((quoted(digest) <= F.col("_cut")) & (F.col("_copies") < max_repeat), F.lit(False)).cast("int")
+    return out.withColumn("_turn", F.explode(F.array_repeat(F.lit(0), times))).select(*[quoted(c) for c in docs.columns])
