@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, mixing, toxicity
+from . import ann, bpe, exact_dedup, line_dedup, minhash, mixing, toxicity
 from .shared import read
 
 
@@ -32,6 +32,15 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept,
 """
 
 
+def _lines(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
+def _ann(spark, sf_dir):
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def _minhash(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -48,6 +57,8 @@ QUERIES = {
     "op2_source_mix": (_mix, None),
     "op3_bpe": (_bpe, None),
     "op4_exact_dedup": (_exact, EXACT_SQL),
+    "op5_line_dedup": (_lines, None),
     "op8_minhash": (_minhash, None),
+    "op9_kmeans_tree": (_ann, None),
     "op10_toxicity": (_toxicity, None),
 }
