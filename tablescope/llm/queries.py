@@ -5,10 +5,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, line_dedup, minhash, mixing, toxicity
+from . import ann, bpe, exact_dedup, language, licenses, line_dedup, minhash, mixing, pii, toxicity
 from .shared import read
 
 
+#: Only for the registered query; a real key is a secret of whoever runs the operator.
+DEMO_KEY = b"tablescope demonstration key"
+
+
+def _pii(spark, sf_dir):
+    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+
+
+def _language(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    held = F.coalesce(toxicity.fold("doc_id", 4) == 2, F.lit(False))
+    model = language.learn(docs.where(toxicity.fold("doc_id", 4) != 2))
+    return language.identify(docs.select("doc_id", "text"), model, spans=False).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def _licenses(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def _mix(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     m = mixing.mix(docs)
@@ -54,10 +73,13 @@ def _toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pii": (_pii, None),
     "op2_source_mix": (_mix, None),
     "op3_bpe": (_bpe, None),
     "op4_exact_dedup": (_exact, EXACT_SQL),
     "op5_line_dedup": (_lines, None),
+    "op6_language": (_language, None),
+    "op7_licenses": (_licenses, licenses.scan_sql()),
     "op8_minhash": (_minhash, None),
     "op9_kmeans_tree": (_ann, None),
     "op10_toxicity": (_toxicity, None),
