@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import bpe, minhash, mixing, toxicity
+from tablescope.llm import bpe, line_dedup, minhash, mixing, toxicity
 from tablescope.llm.shared import quoted, read, without
 from tablescope.session import materialize
 
@@ -21,6 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model, name="_score", keep_text=True).where("_score < 0.5").drop("_score")
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines go. So do documents of which nothing is left; those without words before stay."""
+    cut = line_dedup.dedup_lines(docs)
+    emptied = (F.col("n_deleted") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return cut.where(~F.coalesce(emptied, F.lit(False))).select(*[
+        F.when(F.col("n_deleted") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else quoted(c)
+        for c in docs.columns])
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id."""
     found = minhash.near_duplicates(docs, limit=minhash.Threshold(80, 100))
@@ -38,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_copies), ("source_mix", mix_sources), ("bpe", encode)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("near_duplicates", drop_near_copies), ("source_mix", mix_sources), ("bpe", encode)]
 
 #: A classifier and a tokenizer are no SQL: tests/llm checks the rows against brute force.
 ORACLE_SQL = None

@@ -2,7 +2,8 @@
 
 Confirmed toxic texts are the positives; any other text is unlabelled, not negative. The risk of a classifier g is
 ``p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives))`` with the class prior ``p``: what the unlabelled part owes to hidden
-positives is taken off, and never more than there is. Features are the distinct words of a text, hashed.
+positives is taken off, and never more than there is. Features are the distinct words of a text and their
+first letters, hashed.
 
 The fit uses a bounded sample of ids (``positives`` and ``unlabelled`` rows, those with the smallest hash); the prior is a count over all
 labels of the training part. Scores use every word of every text. Defined results: null and empty texts get the score of a text
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import in_parallel
-from .kernel import chunks, spans, word_hashes
+from .kernel import chunks, mix, spans, word_hashes
 from .shared import quoted
 
 BITS = 18
+STEM = 5
 
 
 @dataclass
@@ -37,7 +39,7 @@ class Model:
 
 
 def _words(buf, offs) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of each word."""
+    """(row, feature) of each word and of each word's first STEM bytes, which its inflections share."""
     starts, ends, first = spans(buf, offs)
     # Punctuation around a word is no part of it.
     plain = np.ones(256, bool)
@@ -48,7 +50,10 @@ def _words(buf, offs) -> tuple[np.ndarray, np.ndarray]:
         trim = (ends > starts) & ~plain[buf[np.minimum(starts, len(buf) - 1)]] if len(buf) else np.zeros(0, bool)
         starts = starts + trim
     rows = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    return rows, (word_hashes(buf, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
+    whole = word_hashes(buf, starts, ends)
+    stems = mix(word_hashes(buf, starts, np.minimum(ends, starts + STEM)) + np.uint64(1))
+    order = np.argsort(np.concatenate([rows, rows]), kind="stable")
+    return np.concatenate([rows, rows])[order], (np.concatenate([whole, stems])[order] >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _distinct(rows: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,12 +61,20 @@ def _distinct(rows: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.nd
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def train(indptr: np.ndarray, features: np.ndarray, positive: np.ndarray, prior: float, models: int = 3, steps: int = 150,
-          min_rows: int = 8, rate: float = 0.1, decay: float = 2e-4, seed: int = 7) -> Model:
-    """The mean of ``models`` linear classifiers, each fitted to the positives and its own two thirds of the unlabelled rows."""
+def train(indptr: np.ndarray, features: np.ndarray, positive: np.ndarray, prior: float, models: int = 3, steps: int = 300,
+          min_rows: int = 8, least_z: float = 4.0, least_lift: float = 2.0, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Model:
+    """The mean of ``models`` linear classifiers, each fitted to the positives and its own two thirds of the unlabelled rows.
+
+    Words take part that ``min_rows`` rows hold and whose shares among positives and unlabelled rows are ``least_z`` standard errors and
+    a factor of ``least_lift`` apart; words of everyday use in one language differ by less.
+    """
     size = 1 << BITS
-    seen = np.bincount(features, minlength=size)
-    known = seen >= min_rows
+    owner = np.repeat(positive, np.diff(indptr))
+    in_p, in_u = (np.bincount(features[owner == x], minlength=size) for x in (True, False))
+    share_p, share_u, pooled = in_p / max(1, positive.sum()), in_u / max(1, (~positive).sum()), (in_p + in_u) / max(1, len(positive))
+    error = np.sqrt(pooled * (1 - pooled) * (1 / max(1, positive.sum()) + 1 / max(1, (~positive).sum())))
+    known = (in_p + in_u >= min_rows) & (np.abs(share_p - share_u) > least_z * np.maximum(error, 1e-12))
+    known &= np.abs(np.log((share_p + 1e-4) / (share_u + 1e-4))) > np.log(least_lift)
     number = np.cumsum(known) - 1
     rows = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))[known[features]]
     columns = number[features[known[features]]]
