@@ -28,7 +28,7 @@ BITS = 16
 SMOOTHING = 0.5
 SWITCH = 12.0           # in nats
 SCRIPT_SHARE = 0.01
-PORTION = 4 << 20       # characters whose words are scored together
+PORTION = 2 << 20       # characters whose words are scored together
 
 # Where the letters of a script lie in Unicode (first, last code point). 0 is any other script.
 SCRIPTS = [
