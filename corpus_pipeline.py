@@ -11,22 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.llm import bpe, line_dedup, minhash, mixing, toxicity
-from tablescope.llm.shared import quoted, read, without
+from tablescope.llm.shared import free_name, quoted, read, without
 from tablescope.session import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go (score 0.5 or more); it learns from the labels outside the held-out fold."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), toxicity.fold("doc_id", 5) != 0)
-    return toxicity.scored(docs, model, name="_score", keep_text=True).where("_score < 0.5").drop("_score")
+    score = free_name(docs, "_score")
+    return toxicity.scored(docs, model, name=score, keep_text=True).where(quoted(score) < 0.5).drop(score)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go. So do documents of which nothing is left; those without words before stay."""
     cut = line_dedup.dedup_lines(docs)
-    emptied = (F.col("n_deleted") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    deleted = quoted(free_name(docs, "n_deleted"))
+    emptied = (deleted > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return cut.where(~F.coalesce(emptied, F.lit(False))).select(*[
-        F.when(F.col("n_deleted") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else quoted(c)
+        F.when(deleted > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else quoted(c)
         for c in docs.columns])
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import quoted
+from .shared import free_name, quoted
 
 BITS = 16
 SMOOTHING = 0.5
@@ -175,9 +175,9 @@ def _label(model: Model, texts: list[str]):
 def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = True) -> DataFrame:
     """``docs`` without the text, plus lang_pred, score and, with ``spans``, the spans: array<struct<lang, words, letters>> in order."""
     kept = [c for c in docs.columns if c != text]
-    schema = T.StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([docs.schema[c] for c in kept]).add(free_name(docs, "lang_pred"), "string").add(free_name(docs, "score"), "double")
     if spans:
-        schema.add("spans", T.ArrayType(T.StructType().add("lang", "string").add("words", "integer").add("letters", "integer")))
+        schema.add(free_name(docs, "spans"), T.ArrayType(T.StructType().add("lang", "string").add("words", "integer").add("letters", "integer")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

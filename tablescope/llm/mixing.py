@@ -117,13 +117,23 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: tuple[
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     cuts = thresholds(rows, targets(sums, weights, share, max_repeat))
     # Few sources: Spark broadcasts the table when its size allows, and splits a hot source otherwise.
-    cuts = cuts.select(*[F.col(c).alias(f"_{c}") for c in cuts.columns])
-    extra = (quoted(digest) <= F.col("_cut")) & (F.col("_copies") < max_repeat)
-    out = narrow.join(cuts, quoted(source).cast("string").eqNullSafe(F.col("_source")))
+    cuts, at = _apart(cuts, docs)
+    out = narrow.join(cuts, quoted(source).cast("string").eqNullSafe(F.col(at["source"])))
     kept = [quoted(c) for c in docs.columns if c != text]
-    return out.select(*kept, quoted(size).alias("mix_size"), F.col("_source_size").alias("mix_source_size"),
-                      F.col("_target").alias("mix_target"),
-                      (F.col("_copies") + F.coalesce(extra, F.lit(False)).cast("int")).alias("mix_repeats"))
+    return out.select(*kept, quoted(size).alias(free_name(docs, "mix_size")), F.col(at["source_size"]).alias(free_name(docs, "mix_source_size")),
+                      F.col(at["target"]).alias(free_name(docs, "mix_target")),
+                      _times(at, digest, max_repeat).alias(free_name(docs, "mix_repeats")))
+
+
+def _apart(cuts: DataFrame, docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``cuts`` under column names that ``docs`` does not have, and those names."""
+    names = {c: free_name(docs, f"_{c}") for c in cuts.columns}
+    return cuts.select(*[F.col(c).alias(n) for c, n in names.items()]), names
+
+
+def _times(at: dict[str, str], digest: str, max_repeat: int):
+    once_more = (quoted(digest) <= F.col(at["cut"])) & (F.col(at["copies"]) < max_repeat)
+    return F.col(at["copies"]) + F.coalesce(once_more, F.lit(False)).cast("int")
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: tuple[str, ...] = ("doc_id",), salt: str = "mix",
@@ -135,7 +145,7 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: tupl
     narrow = materialize(sized(hashed, text, size).select(quoted(source).cast("string").alias("source"), quoted(size).alias("size"),
                                                           quoted(digest).alias("hash")), "sized")
     cuts = thresholds(narrow, targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_repeat))
-    cuts = materialize(cuts.select(*[F.col(c).alias(f"_{c}") for c in cuts.columns]), "cuts")
-    out = hashed.join(cuts, quoted(source).cast("string").eqNullSafe(F.col("_source")))
-    times = F.col("_copies") + F.coalesce((quoted(digest) <= F.col("_cut")) & (F.col("_copies") < max_repeat), F.lit(False)).cast("int")
-    return out.withColumn("_turn", F.explode(F.array_repeat(F.lit(0), times))).select(*[quoted(c) for c in docs.columns])
+    cuts, at = _apart(materialize(cuts, "cuts"), docs)
+    out = hashed.join(cuts, quoted(source).cast("string").eqNullSafe(F.col(at["source"])))
+    turns = F.explode(F.array_repeat(F.lit(0), _times(at, digest, max_repeat)))
+    return out.withColumn(free_name(docs, "_turn"), turns).select(*[quoted(c) for c in docs.columns])

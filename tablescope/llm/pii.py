@@ -198,7 +198,7 @@ NUMBERS = re.compile(r"""(?<![\w.])(?:
   | (?P<date>(?:\d{4}-\d\d-\d\d|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]))
   | (?P<social>\d{3}-\d\d-\d{4}(?![\w-]))
   | (?P<phone>(?:\+1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-])|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w]))
-  | (?P<card>\d(?:[ -]?\d){12,18}(?![\w]))
+  | (?P<card>(?:\d{13,19}|\d{4}(?:[ ]\d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}[ ]\d{6}[ ]\d{5}|\d{4}-\d{6}-\d{5})(?![\w]))
 )""", re.X)
 STARTS = re.compile(r"[+(]?\d")
 IBAN = re.compile(r"\b(?P<iban>[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)\b")

@@ -36,25 +36,24 @@ def may_hold(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFram
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))     # noqa: E731
     one = keys.select(place(F.col(keys.columns[0])).alias("_h"))
-    bitmap = (one.groupBy(F.floor(F.col("_h") / _BUCKET).alias("_bucket"))
-              .agg(F.expr(f"bitmap_construct_agg(_h % {_BUCKET})").alias("_bits")))
-    at, bucket = free_name(df, "_at"), free_name(df, "_bucket_no")
+    at, bucket, no, bits = (free_name(df, x) for x in ("_at", "_bucket", "_no", "_bits"))
+    bitmap = one.groupBy(F.floor(F.col("_h") / _BUCKET).alias(no)).agg(F.expr(f"bitmap_construct_agg(_h % {_BUCKET})").alias(bits))
     held = df.withColumn(at, place(key)).withColumn(bucket, F.floor(F.col(at) / _BUCKET))
     bit = F.col(at) % _BUCKET
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     found = F.call_function("bit_get", byte, (bit % 8).cast("int")) == 1
-    joined = held.join(F.broadcast(bitmap), F.col(bucket) == F.col("_bucket"), "left")
+    joined = held.join(F.broadcast(bitmap), F.col(bucket) == F.col(no), "left")
     return joined.select(*[F.col(_quoted(c)) for c in df.columns], F.coalesce(found, F.lit(False)).alias(name))
 
 
 def without(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``key`` is not among ``keys`` (a single column). Rows that the bitmap clears stay where they are;
     only the others are shuffled for the exact anti-join."""
-    flag, own, other = free_name(df, "_held"), free_name(df, "_key"), keys.columns[0]
+    flag, own, out, other = free_name(df, "_held"), free_name(df, "_key"), free_name(df, "_gone"), keys.columns[0]
     held = may_hold(df, key, keys, flag)
     unsure = held.where(quoted(flag)).withColumn(own, key)
-    gone = keys.select(F.col(other).alias("_gone")).distinct()
-    rest = unsure.join(gone, quoted(own) == F.col("_gone"), "left_anti")
+    gone = keys.select(F.col(other).alias(out)).distinct()
+    rest = unsure.join(gone, quoted(own) == F.col(out), "left_anti")
     columns = [quoted(c) for c in df.columns]
     return held.where(~quoted(flag)).select(*columns).unionByName(rest.select(*columns))
 
