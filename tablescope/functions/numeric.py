@@ -30,12 +30,13 @@ def rounded(x: Column, digits: int, bounded: bool = False) -> Column:
 
 def rounded_value(x: float | None, digits: int) -> float | None:
     """The driver-side twin of :func:`rounded`, for values already learnt."""
-    from decimal import ROUND_HALF_UP, Decimal
+    from decimal import ROUND_HALF_UP, Decimal, localcontext
 
     if x is None or x != x or x in (float("inf"), float("-inf")):
         return None
-    ten = Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-10), ROUND_HALF_UP)
-    return float(ten.quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    with localcontext(prec=400):        # any double has fewer digits
+        ten = Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-10), ROUND_HALF_UP)
+        return float(ten.quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

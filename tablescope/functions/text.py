@@ -10,8 +10,9 @@ from .numeric import quoted, rounded
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """Number as text with a fixed count of decimals, rounded half-up."""
-    return F.round(x.cast("decimal(38,10)"), digits).cast(f"decimal(38,{digits})").cast("string")
+    """Number as text with a fixed count of decimals, rounded half-up; numbers beyond a decimal's range keep all their digits."""
+    exact = F.round(x.try_cast("decimal(38,10)"), digits).try_cast(f"decimal(38,{digits})").cast("string")
+    return F.coalesce(exact, F.format_string(f"%.{digits}f", x.cast("double")))
 
 
 def format_number(x: Column) -> Column:

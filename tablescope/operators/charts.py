@@ -32,8 +32,9 @@ def check_columns(df: DataFrame, chart: str, columns: list[str]) -> None:
     unknown = [c for c in columns if c not in df.columns]
     if unknown:
         raise ChartError(f"no such column: {', '.join(unknown)}")
-    if len(columns) < LIMITS[chart][0]:
-        raise ChartError(f"{chart} needs at least {LIMITS[chart][0]} columns")
+    least, most = LIMITS[chart]
+    if not least <= len(columns) <= most:
+        raise ChartError(f"{chart} takes {least} to {most} columns, not {len(columns)}")
 
 
 def _need_number(df: DataFrame, *columns: str) -> None:
@@ -94,11 +95,11 @@ def scatter(df: DataFrame, x: str, y: str, key: list[str] | str, points: int = 2
 
 
 def boxplot(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per numeric column (the first five): quartiles, whiskers, outlier
+    """One row per numeric column (five at most): quartiles, whiskers, outlier
     count and up to 50 outliers (smallest first)."""
     check_columns(df, "boxplot", columns)
     df = fold_nan(df)
-    cols = [c for c in columns[:5] if is_numeric(df.schema[c])]
+    cols = [c for c in columns if is_numeric(df.schema[c])]
     counts = column_stats(df, [], (), cols).count
     cols = [c for c in cols if counts[c] >= 5]
     if not cols:
@@ -184,7 +185,7 @@ def heatmap(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     the diagonal of a constant column and unknown pairs are 0."""
     check_columns(df, "heatmap", columns)
     df = fold_nan(df)
-    cols = [c for c in columns if is_numeric(df.schema[c])][:12]
+    cols = [c for c in columns if is_numeric(df.schema[c])]
     if len(cols) < 2:
         raise ChartError("a heatmap needs at least two numeric columns")
     s = column_stats(df, cols, ("min", "max"), [])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import fold_nan, quoted, text_columns
-from ..session import materialize
+from ..session import in_parallel, materialize
 from .ranks import value_ranks
 from .value_counts import distinct_counts, typed_counts
 
@@ -23,10 +25,14 @@ def encode_label(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     the remaining, evenly spread rows are shuffled to it.
     """
     df = fold_nan(df)
-    for c in text_columns(df) if columns is None else columns:
-        key = F.coalesce(quoted(c).cast("string"), F.lit("nan"))
-        ranked = materialize(value_ranks(df, key).select(
-            F.col("value").alias("label_value"), F.col("index").cast("bigint").alias("label_code"), "count"), "labels")
+    columns = text_columns(df) if columns is None else columns
+    key_of = lambda c: F.coalesce(quoted(c).cast("string"), F.lit("nan"))       # noqa: E731
+    learn = lambda c, source=df: materialize(value_ranks(source, key_of(c)).select(     # noqa: E731
+        F.col("value").alias("label_value"), F.col("index").cast("bigint").alias("label_code"), "count"), "labels")
+    # The dictionaries do not depend on each other: all are learnt from the input, before any of them is joined.
+    dictionaries = in_parallel(df.sparkSession, *[partial(learn, c) for c in columns]) if columns else []
+    for c, ranked in zip(columns, dictionaries):
+        key = key_of(c)
         tagged = df.withColumn("label_value", key)
         size = ranked.agg(F.count("*").alias("values"), F.sum("count").alias("rows"), F.sum(F.octet_length("label_value")).alias("bytes")).first()
         if size["values"] <= SMALL_DICTIONARY and (size["bytes"] or 0) <= SMALL_BYTES:

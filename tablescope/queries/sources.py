@@ -81,9 +81,10 @@ def _raw_kaggle(s, d):
 _SQL_KAGGLE = f"""with x as (select concat(source, '/', lang, '-set-', doc_id) as ref, n_chars * doc_id * 100 as b, * from documents)
 select 'kaggle-' || substr(md5(ref), 1, 12) as id, concat('Set ', doc_id) as title, case when doc_id % 3 = 0 then text else concat('Texts in ', lang) end as description,
   'kaggle' as source, 'csv' as format, case when b < 1024 then b || ' B' when b < 1048576 then cast(cast(round(cast(b / 1024 as decimal(38,10)), 1) as decimal(38,1)) as varchar) || ' KB'
-  when b < 1073741824 then cast(cast(round(cast(b / 1048576 as decimal(38,10)), 1) as decimal(38,1)) as varchar) || ' MB' end as size, b as size_bytes, ref as download_url,
+  when b < 1073741824 then cast(cast(round(cast(b / 1048576 as decimal(38,10)), 1) as decimal(38,1)) as varchar) || ' MB'
+  else cast(cast(round(cast(b / 1073741824 as decimal(38,10)), 1) as decimal(38,1)) as varchar) || ' GB' end as size, b as size_bytes, ref as download_url,
   lang || '|' || source as tags, case when doc_id % 4 = 0 then '' else '2024-01-02T03:04:05Z' end as last_updated, source as author,
-  case when doc_id % 5 = 0 then 'Unknown' else 'CC0' end as license from x where b <= 209715200"""
+  case when doc_id % 5 = 0 then 'Unknown' else 'CC0' end as license from x"""
 
 
 def _raw_hf(s, d):
@@ -95,9 +96,9 @@ def _raw_hf(s, d):
 
 _SQL_HF = """with x as (select case when doc_id % 7 = 0 then concat('plain-', doc_id) else concat(source, '/my_', lang, '-texts') end as ref, * from documents)
 select 'hf-' || substr(md5(ref), 1, 12) as id, case when doc_id % 7 = 0 then ref else 'My ' || upper(lang[1]) || lang[2:] || ' Texts' end as title,
-  substr(case when doc_id % 2 = 0 and text <> '' then text else concat('Card ', text) end, 1, 500) as description, 'huggingface' as source, 'csv' as format,
+  case when doc_id % 2 = 0 and text <> '' then text else concat('Card ', text) end as description, 'huggingface' as source, 'csv' as format,
   format('{:,}', n_chars * 1000) || ' downloads' as size, cast(0 as bigint) as size_bytes, 'https://huggingface.co/datasets/' || ref as download_url,
-  lang || '|' || source || '|a|b|c|d|e|f|g|h' as tags, '2024-02-03T00:00:00.000Z' as last_updated, case when doc_id % 7 = 0 then 'HuggingFace' else source end as author,
+  lang || '|' || source || '|a|b|c|d|e|f|g|h|i|j' as tags, '2024-02-03T00:00:00.000Z' as last_updated, case when doc_id % 7 = 0 then 'HuggingFace' else source end as author,
   case when doc_id % 3 = 0 then 'Unknown' else 'mit' end as license from x"""
 
 
@@ -112,11 +113,12 @@ def _raw_github(s, d):
 
 _SQL_GITHUB = """with x as (select n_chars * 102400 as b, * from documents)
 select 'gh-' || substr(md5(concat(source, '/', lang, '_repo-', doc_id)), 1, 12) as id, upper(lang[1]) || lang[2:] || ' Repo ' || doc_id as title,
-  case when doc_id % 2 = 0 then '' else substr(text, 1, 500) end as description, 'github' as source, 'csv' as format,
+  case when doc_id % 2 = 0 then '' else text end as description, 'github' as source, 'csv' as format,
   case when b < 1048576 then cast(cast(round(cast(b / 1024 as decimal(38,10)), 1) as decimal(38,1)) as varchar) || ' KB'
-  when b < 1073741824 then cast(cast(round(cast(b / 1048576 as decimal(38,10)), 1) as decimal(38,1)) as varchar) || ' MB' end as size, b as size_bytes,
+  when b < 1073741824 then cast(cast(round(cast(b / 1048576 as decimal(38,10)), 1) as decimal(38,1)) as varchar) || ' MB'
+  else cast(cast(round(cast(b / 1073741824 as decimal(38,10)), 1) as decimal(38,1)) as varchar) || ' GB' end as size, b as size_bytes,
   'https://example.org/' || doc_id as download_url, case when doc_id % 3 = 0 then '' else lang end as tags, '2023-05-06T07:08:09Z' as last_updated,
-  case when doc_id % 5 = 0 then 'Unknown' else source end as author, case when doc_id % 4 = 0 then 'Unknown' else 'MIT' end as license from x where b <= 209715200"""
+  case when doc_id % 5 = 0 then 'Unknown' else source end as author, case when doc_id % 4 = 0 then 'Unknown' else 'MIT' end as license from x"""
 
 
 def _union(s, d):

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_BYTES = 200 * 1024 * 1024
+
+def _is_page(spark: SparkSession, path: str) -> bool:
+    """Whether the first line with text opens a web page; no more of the file is read than it takes to find it."""
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    return bool(first) and first[0][0].lstrip()[:50].lower().startswith(("<!doctype", "<html"))
 
 
-def discover_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, pattern: str = "*.csv") -> DataFrame:
+def discover_files(spark: SparkSession, root: str, max_bytes: int | None = None, pattern: str = "*.csv") -> DataFrame:
     """(dataset, path, length): the largest usable file per first-level folder.
 
-    Empty and over-limit files and saved HTML pages are passed over. Sizes come
-    from the listing alone; contents are opened only for the largest file of
-    each folder, and for the next one when that turns out to be a web page.
+    Empty files, saved HTML pages and, with ``max_bytes``, larger files are passed over. Sizes come from the listing alone; only the
+    first line is read, of the largest file of each folder, and of the next one when that turns out to be a web page.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("/")[-1]
     listing = (files.select("path", "length", F.regexp_extract("path", f"/{base}/([^/]+)/", 1).alias("dataset"))
-               .where((F.col("length") > 0) & (F.col("length") <= max_bytes)))
+               .where(F.col("length") > 0))
+    if max_bytes is not None:
+        listing = listing.where(F.col("length") <= max_bytes)
     order = Window.partitionBy("dataset").orderBy(F.desc("length"), "path")      # files of one folder
     pages: list[str] = []
     while True:
@@ -27,9 +34,8 @@ def discover_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, p
         paths = [r["path"] for r in best.collect()]                              # one per dataset
         if not paths:
             return best
-        head = F.lower(F.ltrim(F.decode(F.substring("content", 1, 50), "ISO-8859-1")))
-        found = (spark.read.format("binaryFile").load(paths).select("path", head.alias("head"))
-                 .where(F.col("head").startswith("<!doctype") | F.col("head").startswith("<html")).select("path").collect())
+        with ThreadPoolExecutor(max_workers=16) as pool:
+            found = [p for p, page in zip(paths, pool.map(lambda p: _is_page(spark, p), paths)) if page]
         if not found:
             return best
-        pages += [r["path"] for r in found]
+        pages += found
