@@ -67,12 +67,17 @@ def numbered(df: DataFrame, group: Column, seed: int, key: list[str] | None = No
             .drop("inside", "offset", "off_key", "off_bucket", "bucket", "h", "row_no"))
 
 
-def _spread_draws(numbered_rows: DataFrame, draws: Column, size: Column) -> DataFrame:
-    """Repeat each row for its share of ``draws`` over ``size`` slots: the first
-    ``draws % size`` slots get one more than the others. Adds ``copy``."""
-    each = F.floor(draws / size).cast("bigint") + F.when(F.col("slot") < draws % size, 1).otherwise(0)
-    return numbered_rows.withColumn("copy", F.explode(F.when(each > 0, F.sequence(F.lit(1).cast("bigint"), each))
-                                                      .otherwise(F.array().cast("array<bigint>"))))
+CHUNK = 10_000      # draws that one row is spread into at a time
+
+
+def _spread_draws(classes: DataFrame) -> DataFrame:
+    """(grp, slot, copy) for each draw of ``classes`` (grp, size, draws): the slots of a class in turn, so that the first
+    ``draws % size`` get one copy more. No row holds more than CHUNK draws, and chunks are dealt out to all tasks."""
+    number = lambda a, b: F.explode(F.sequence(a.cast("bigint"), b.cast("bigint")))     # noqa: E731
+    last = F.floor((F.col("draws") - 1) / CHUNK)
+    chunks = classes.where("draws > 0").select("grp", "size", "draws", number(F.lit(0), last).alias("chunk")).repartition("grp", "chunk")
+    draws = chunks.select("grp", "size", number(F.col("chunk") * CHUNK, F.least(F.col("draws"), (F.col("chunk") + 1) * CHUNK) - 1).alias("d"))
+    return draws.select("grp", (F.col("d") % F.col("size")).alias("slot"), (F.floor(F.col("d") / F.col("size")) + 1).alias("copy"))
 
 
 def smote(df: DataFrame, target: str, k: int = 5, seed: int = 42, **block_sizes) -> DataFrame:
@@ -105,15 +110,16 @@ def smote(df: DataFrame, target: str, k: int = 5, seed: int = 42, **block_sizes)
     keyed = base.select(v.alias("x"), label.cast("string").alias("grp"), label.alias("label"))
     minority = keyed.join(small, "grp")
     slots = numbered(minority, F.col("grp"), seed)
-    draws = _spread_draws(slots, F.lit(ends["top"]) - F.col("size"), F.col("size")).select(
-        "x", "grp", "label", "slot", "copy")
+    draws = _spread_draws(small.select("grp", "size", (F.lit(ends["top"]) - F.col("size")).alias("draws")))
     pool = minority.groupBy("x", "grp").agg(F.count("*").alias("cnt"))
     asked = pool.select(F.col("x").alias("q"), F.lit(-1).alias("target"), "grp")
     found = nearest(asked, pool, len(features), k, own=True, **block_sizes)
     ring = found.groupBy("q", "grp").agg(F.flatten(F.transform(
         F.array_sort(F.collect_list(F.struct("dist", "x", "weight"))),                      # at most k neighbours
         lambda s: F.array_repeat(s["x"], s["weight"].cast("int")))).alias("ring"))
-    drawn = draws.join(ring.withColumnRenamed("q", "x"), ["x", "grp"])
+    # Neighbours go to the base rows, of which there are few; only then are the copies made.
+    ready = slots.select("x", "grp", "label", "slot").join(ring.withColumnRenamed("q", "x"), ["x", "grp"])
+    drawn = draws.join(ready, ["grp", "slot"])
     pick = F.floor(_unit(F.lit(seed), "grp", "slot", "copy", F.lit("n")) * F.size("ring")).cast("int")
     step = _unit(F.lit(seed), "grp", "slot", "copy", F.lit("u"))
     made = drawn.select("label", F.zip_with("x", F.get("ring", pick), lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("ends"),

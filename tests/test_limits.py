@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tablescope.functions.numeric import rounded_value
 from tablescope.functions.text import format_number
+from tablescope.operators.augment import _spread_draws, smote
 from tablescope.operators.charts import ChartError, boxplot, heatmap, histogram
 from tablescope.operators.encode import encode_label
 from tablescope.operators.profile import profile
@@ -47,3 +48,15 @@ def test_catalogue_records_are_whole(spark):
 def test_dictionaries_are_learnt_from_the_input(make):
     out = encode_label(make([("b", "x", 1), ("a", None, 2), ("b", "y", 3)], "p string, q string, n int"))
     assert sorted(map(tuple, out.collect()), key=lambda r: r[2]) == [(1, 1, 1), (0, 0, 2), (1, 2, 3)]
+
+
+def test_few_rows_against_many(spark):
+    """Three rows of a class are brought to 200,000 without a row that holds all draws."""
+    many = spark.range(200_000).select(F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), F.lit("many").alias("y"))
+    few = spark.createDataFrame([(1.0, 1.0, "few"), (2.0, 5.0, "few"), (3.0, 2.0, "few")], "a double, b double, y string")
+    out = smote(many.unionByName(few), "y")
+    got = out.where("y = 'few'")
+    assert got.count() == 200_000 and got.where("a between 1 and 3 and b between 1 and 5").count() == 200_000
+    draws = _spread_draws(spark.createDataFrame([("g", 3, 25_001), ("h", 4, 0)], "grp string, size bigint, draws bigint"))
+    assert {r["slot"]: r["count"] for r in draws.groupBy("slot").count().collect()} == {0: 8334, 1: 8334, 2: 8333}
+    assert draws.distinct().count() == 25_001
