@@ -153,7 +153,8 @@ def test_discovery(spark, tmp_path):
 
 def test_catalogue_records(make):
     raw = make([('{"ref": "me/set", "title": "T", "totalBytes": 2048}',), ('{"ref": "x", "totalBytes": 999999999999}',)], "record string")
-    row = G.normalize_kaggle(raw).collect()
+    assert G.normalize_kaggle(raw).count() == 2       # no limit on sizes unless one is given
+    row = G.normalize_kaggle(raw, max_bytes=200 << 20).collect()
     assert len(row) == 1 and (row[0]["author"], row[0]["size"], row[0]["license"], row[0]["tags"]) == ("me", "2.0 KB", "Unknown", [])
     hf = G.normalize_huggingface(make([('{"id": "me/my_nice-set", "cardData": {"description": "card"}, "downloads": 12345}',)], "record string")).first()
     assert (hf["title"], hf["description"], hf["size"], hf["license"]) == ("My Nice Set", "card", "12,345 downloads", "Unknown")
