@@ -55,8 +55,18 @@ STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("near_
 ORACLE_SQL = None
 
 
+#: Rows of whole texts in one Arrow batch. Spark's default of 10,000 holds tens of megabytes, several times for each task.
+BATCH_ROWS = "2000"
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, BATCH_ROWS)
+    try:
+        docs = read(spark, sf_dir, "documents")
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    finally:
+        spark.conf.set(setting, before)
     return docs

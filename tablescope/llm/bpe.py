@@ -17,16 +17,19 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .shared import free_name
 
-CACHE_PIECES = 500_000      # pieces whose ids a worker remembers
+CACHE_PIECES = 300_000      # pieces whose ids a worker remembers
 SIDE_BY_SIDE = 64           # bytes up to which pieces are encoded together, and remembered
+GROUP_BYTES = 1 << 17       # bytes of the pieces that are encoded together
 SLOTS = 1 << 20             # answers about pairs of tokens that a worker remembers
-PORTION = 300_000           # pieces that are looked at together
+PORTION = 100_000           # pieces that are looked at together
+SLICE_BYTES = 1 << 21       # texts that a task holds as Python strings at a time; a longer text is held alone
 
 
 class Vocabulary:
@@ -69,7 +72,7 @@ class Vocabulary:
         """
         known = self._fits.get((a, b))
         if known is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 300_000:
                 self._fits.clear()
             known = self._fits[a, b] = self._border_holds(a, b)
         return known
@@ -144,9 +147,18 @@ class Vocabulary:
         return self._edges
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """``encode_piece`` of many pieces: the tables of all of them grow by one prefix at a time, side by side."""
-        if not pieces:
-            return []
+        """``encode_piece`` of many pieces, in groups of about GROUP_BYTES."""
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        out, at = [], 0
+        while at < len(pieces):
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + GROUP_BYTES, "right")))
+            out += self._encode_group(pieces[at:to])
+            at = to
+        return out
+
+    def _encode_group(self, pieces: list[bytes]) -> list[list[int]]:
+        """The tables of all pieces grow by one prefix at a time, side by side."""
         keys, to, of = self._trie()
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(sizes)
@@ -307,6 +319,18 @@ def encoder_of(rank_file: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def _slices(batches, text: str):
+    """The batches in runs of rows with about SLICE_BYTES of text."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: bool = True) -> DataFrame:
     """``docs`` without the text, plus n_tokens, ids_sha256, decoded_sha256 and, with ``ids``, the ids themselves (array<int>).
 
@@ -324,7 +348,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text: str =
     def run(batches):
         encoder = encoder_of(ranks.value, pattern)
         tokens, sha = encoder.vocabulary.tokens, hashlib.sha256
-        for b in batches:
+        for b in _slices(batches, text):
             packed, counts, of_ids, of_bytes = [], [], [], []
             at = b.schema.get_field_index(text)
             for data in encoder.encode([x or "" for x in b.column(at).to_pylist()]):
