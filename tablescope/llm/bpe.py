@@ -11,6 +11,7 @@ text has no ids; repeated rows are encoded each; any length of text is encoded w
 from __future__ import annotations
 
 import base64
+import ctypes
 import hashlib
 import re
 from itertools import islice
@@ -24,7 +25,8 @@ from pyspark.sql import types as T
 
 from .shared import free_name
 
-CACHE_PIECES = 300_000      # pieces whose ids a worker remembers
+CACHE_PIECES = 200_000      # pieces whose ids a task remembers
+FITS = 1 << 15              # answers of fits() that a worker remembers
 SIDE_BY_SIDE = 64           # bytes up to which pieces are encoded together, and remembered
 GROUP_BYTES = 1 << 17       # bytes of the pieces that are encoded together
 SLOTS = 1 << 20             # answers about pairs of tokens that a worker remembers
@@ -72,7 +74,7 @@ class Vocabulary:
         """
         known = self._fits.get((a, b))
         if known is None:
-            if len(self._fits) > 300_000:
+            if len(self._fits) >= FITS:
                 self._fits.clear()
             known = self._fits[a, b] = self._border_holds(a, b)
         return known
@@ -97,7 +99,7 @@ class Vocabulary:
         new = (self._slot_pair[place] != pairs) & (pairs >= 0)
         if new.any():
             distinct = np.unique(pairs[new])
-            answers = np.fromiter((self.fits(p >> 32, p & 0xFFFFFFFF) for p in distinct.tolist()), bool, len(distinct))
+            answers = np.fromiter((self._border_holds(p >> 32, p & 0xFFFFFFFF) for p in distinct.tolist()), bool, len(distinct))
             out = self._slot_fits[place] | (pairs < 0)
             out[new] = answers[np.searchsorted(distinct, pairs[new])]
             at = (distinct * 0x9E3779B97F4A7C1 >> 20) & (SLOTS - 1)
@@ -319,6 +321,15 @@ def encoder_of(rank_file: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def _give_back(encoder: Encoder) -> None:
+    """Empty what a task has learnt; the worker stays and keeps the vocabulary."""
+    encoder.pieces = {}
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc keeps freed memory until it is told not to
+    if trim:
+        trim(0)
+
+
 def _slices(batches, text: str):
     """The batches in runs of rows with about SLICE_BYTES of text."""
     for b in batches:
@@ -363,5 +374,6 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text: str =
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4"))))
             columns += [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        _give_back(encoder)
 
     return docs.mapInArrow(run, schema)
