@@ -37,6 +37,39 @@ def _csv_plain(s, d):
     return tidy(read_csv(s, path)[0])
 
 
+def _lines(rows, header, path, encoding="UTF-8", mode="error"):
+    """Lines as they are, in several files, each with ``header`` as its first line."""
+    rows.withColumnRenamed("line", header).repartition(3).write.mode(mode).option("header", True).option("encoding", encoding).option("quote", "\u0000").option(
+        "sep", "\u0001").csv(path)
+
+
+def _csv_multiline(s, d):
+    """A quoted line break, quotes and a comma in every order's note."""
+    path = scratch_path(s, "csv")
+    note = F.concat("o_orderstatus", F.lit('\n"'), "o_orderpriority", F.lit('", x'))
+    orders = read(s, d, "orders").select("o_orderkey", note.alias("note"), "o_custkey")
+    orders.repartition(3, "o_orderkey").write.option("header", True).option("escape", '"').csv(path)
+    return read_csv(s, path)[0]
+
+
+def _csv_mixed(s, d):
+    """UTF-8 with commas and latin-1 with semicolons, in another order of columns, in one folder."""
+    path, customers = scratch_path(s, "csv"), read(s, d, "customer").withColumn("name", F.concat(F.lit("Zoë "), "c_name"))
+    low = F.col("c_nationkey") < 10
+    _lines(customers.where(low).select(F.concat_ws(",", "c_custkey", "name", "c_nationkey").alias("line")), "c_custkey,name,c_nationkey", path)
+    _lines(customers.where(~low).select(F.concat_ws(";", "c_nationkey", "c_custkey", "name", "c_mktsegment").alias("line")),
+           "c_nationkey;c_custkey;name;c_mktsegment", path, "ISO-8859-1", "append")
+    return read_csv(s, path)[0].select("c_custkey", "name", "c_nationkey", "c_mktsegment")
+
+
+def _csv_overlong(s, d):
+    """Every seventh customer has one field too many, empty for some and followed by another for others."""
+    path = scratch_path(s, "csv")
+    more = F.expr("case when c_custkey % 7 <> 0 then '' when c_custkey % 2 = 0 then ',' else ',,LOST' end")
+    _lines(read(s, d, "customer").select(F.concat(F.concat_ws(",", "c_custkey", "c_name", "c_nationkey"), more).alias("line")), "c_custkey,c_name,c_nationkey", path)
+    return read_csv(s, path)[0]
+
+
 def _write(s, d, fmt):
     path = write(read(s, d, "part"), scratch_path(s, fmt), fmt)
     return s.read.format(fmt).load(path)
@@ -131,6 +164,9 @@ _EV = f"select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when microsec
 QUERIES = {
     "read_csv_resilient": (_csv, "select c_custkey, 'Zoë ' || c_name as c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, c_mktsegment from customer"),
     "read_csv_plain": (_csv_plain, f"select o_orderkey, o_orderstatus, {r('o_totalprice', 6)} as o_totalprice, o_totalprice > 300000 as is_large, o_orderpriority, cast(null as varchar) as note from orders"),
+    "read_csv_multiline": (_csv_multiline, "select o_orderkey, concat(o_orderstatus, chr(10), '\"', o_orderpriority, '\", x') as note, cast(o_custkey as bigint) as o_custkey from orders"),
+    "read_csv_mixed_folder": (_csv_mixed, "select c_custkey, 'Zoë ' || c_name as name, cast(c_nationkey as bigint) as c_nationkey, case when c_nationkey >= 10 then c_mktsegment end as c_mktsegment from customer"),
+    "read_csv_overlong": (_csv_overlong, "select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey from customer where c_custkey % 7 <> 0"),
     "row_cap": (lambda s, d: tidy(row_cap(read(s, d, "orders").select("o_orderkey", "o_totalprice"), 500, ["o_totalprice", "o_orderkey"])[0]),
                 f"select o_orderkey, {r('o_totalprice', 6)} as o_totalprice from orders order by o_totalprice, o_orderkey limit 500"),
     "discover_main_file": (_files, """select 'goods' as dataset, 'part' as table_name union all

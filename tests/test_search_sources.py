@@ -133,6 +133,28 @@ def test_repeated_names_cap_and_empty_file(spark, tmp_path):
             read_csv(spark, _file(tmp_path, f"e{len(empty)}.csv", empty))
 
 
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    df, warnings = read_csv(spark, _file(tmp_path, "q.csv", b'id,note,n\n1,"hello\nworld, ""x""",3\n2,plain,4\n'))
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, 'hello\nworld, "x"', 3), (2, "plain", 4)] and len(warnings) == 1
+
+
+def test_each_file_has_its_own_layout(spark, tmp_path):
+    _file(tmp_path, "mix d/a.csv", b"id,price,qty\n1,2.5,3\n")
+    _file(tmp_path, "mix d/b.csv", b"id,qty,price\n2,30,25.5\n")
+    _file(tmp_path, "mix d/c.csv", "id;name\n3;Zoë\n".encode("latin-1"))
+    path = _file(tmp_path, "mix d/d[1].csv", "id,name\n4,Zoë\n".encode()).rsplit("/", 1)[0]
+    df, warnings = read_csv(spark, path)
+    assert [tuple(r) for r in df.select("id", "price", "qty", "name").orderBy("id").collect()] == [
+        (1, 2.5, 3, None), (2, 25.5, 30, None), (3, None, None, "Zoë"), (4, None, None, "Zoë")]
+    assert len(warnings) == 1 and warnings[0].startswith("1 of 4")
+
+
+def test_every_overlong_record_is_left_out_and_counted(spark, tmp_path):
+    df, warnings = read_csv(spark, _file(tmp_path, "o.csv", b'a,b,c\n1,2,3\n4,5,6,,LOST\n7,8,9,\n10,11\n,12,"13"\n,14\n'))
+    assert sorted(tuple(-1 if v is None else v for v in r) for r in df.collect()) == [(-1, 12, 13), (-1, 14, -1), (1, 2, 3), (10, 11, -1)]
+    assert warnings == ["Records with more fields than the header were left out: 2."]
+
+
 def test_tab_and_pipe(spark, tmp_path):
     for name, sep in (("t.csv", "\t"), ("p.csv", "|")):
         df, _ = read_csv(spark, _file(tmp_path, name, sep.join("abc").encode() + b"\n" + sep.join("123").encode() + b"\n"))
