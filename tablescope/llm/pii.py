@@ -208,10 +208,10 @@ KINDS = ["card", "iban", "phone", "social", "address", "date", "email", "secret"
 
 
 def _numbers(text: str):
-    """Matches of NUMBERS, tried only where a number starts."""
+    """Matches of NUMBERS, tried only where a number starts: at its sign or parenthesis, then at its first digit."""
     at = 0
     while start := STARTS.search(text, at):
-        if m := NUMBERS.match(text, start.start()):
+        if m := NUMBERS.match(text, start.start()) or NUMBERS.match(text, start.end() - 1):
             yield m
             at = m.end()
         else:

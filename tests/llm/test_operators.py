@@ -78,6 +78,17 @@ def test_pseudonyms_keep_format_and_links(documents, odd):
     assert back[20] == text and back[21] == other and back[1] is None
 
 
+@pytest.mark.parametrize("value", ["1980-05-06", "05/06/1980", "192.0.2.7", "123-45-6789", "4111 1111 1111 1111", "4111111111111111", "555-123-4567",
+                                   "+1 555-123-4567", "(555) 123-4567"])
+def test_values_after_a_parenthesis_or_sign(value):
+    names, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", back=True)
+    plain = pii.replace(value, names)
+    for before, after in (("(", ")"), ("f(", ")"), ("((", "))"), ("(on ", " or 12)"), ("+(", ")")):
+        new = pii.replace(before + value + after, names)
+        assert plain != value and new == before + plain + after
+        assert pii.replace(new, back) == before + value + after
+
+
 # -- op2
 
 
