@@ -4,7 +4,8 @@ A found value is checked (Luhn, IBAN and calendar rules, number plans), read as
 numbers of that format and written back into its own punctuation. The permutation depends on the key and the kind only, so equal
 values get equal pseudonyms in all documents and however they are punctuated, different ones stay different, pseudonyms are valid
 again, and whoever has the key can turn them back (``restore``; of dates, the day itself: 3/4/2021 may come back as 03/04/2021, and a
-day-first date whose pseudonym has a day up to 12 is read month-first).
+day-first date whose pseudonym has a day up to 12 is read month-first). A value that fails its check does not hide one that starts inside
+it ("1234 4111 1111 1111 1111"); only such overlapping numbers may turn back wrongly, when the pseudonym makes the failed one valid.
 
 Kinds: payment cards, IBANs, phone numbers, US social security numbers, IPv4 addresses, dates, e-mail addresses (their local part), and
 hexadecimal secrets behind a word such as password or token. Each text is worked on whole, by itself; nothing is shuffled. Defined
@@ -110,20 +111,23 @@ class Pseudonyms:
             self._known[at] = self.feistel.permute(x, kind, size, within, self.back)
         return self._known[at]
 
-    def mixed(self, s: str, kind: str) -> str:
-        """Permute letters and digits, each within its own alphabet and case; anything else stays."""
+    def mixed(self, s: str, kind: str, within=None) -> str:
+        """Permute letters and digits, each within its own alphabet and case; anything else stays. ``within`` tells of the text, not its number."""
         value, size, places = 0, 1, []
         for c in s:
             base, low = (10, "0") if "0" <= c <= "9" else (26, "a") if "a" <= c <= "z" else (26, "A") if "A" <= c <= "Z" else (1, c)
             places.append((base, low))
             value = value * base + (ord(c) - ord(low))
             size *= base
-        value = self._p(value, kind + ":" + "".join(low for _, low in places), size)
-        out = []
-        for base, low in reversed(places):
-            value, d = divmod(value, base)
-            out.append(chr(ord(low) + d))
-        return "".join(reversed(out))
+
+        def written(value: int) -> str:
+            out = []
+            for base, low in reversed(places):
+                value, d = divmod(value, base)
+                out.append(chr(ord(low) + d))
+            return "".join(reversed(out))
+
+        return written(self._p(value, kind + ":" + "".join(low for _, low in places), size, within and (lambda x: within(written(x)))))
 
     def card(self, s: str) -> str | None:
         d = _digits(s)
@@ -139,7 +143,11 @@ class Pseudonyms:
         d = s.replace(" ", "")
         if not 15 <= len(d) <= 34 or _iban_check(d[:2], d[4:]) != d[2:4]:
             return None
-        body = self.mixed(d[4:], "iban" + d[:2])
+        n = IBAN_LENGTHS.get(d[:2], len(d))
+        # Of a longer one, whether its beginning passes as well stays as it is, so that it is read alike when turned back.
+        begins = lambda body: _iban_check(d[:2], body[:n - 4]) == _iban_check(d[:2], body)      # noqa: E731
+        own = begins(d[4:])
+        body = self.mixed(d[4:], "iban" + d[:2], (lambda body: begins(body) == own) if n < len(d) else None)
         return _refill(s, d[:2] + _iban_check(d[:2], body) + body)
 
     def phone(self, s: str) -> str | None:
@@ -195,47 +203,80 @@ class Pseudonyms:
 
 NUMBERS = re.compile(r"""(?<![\w.])(?:
     (?P<address>\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
-  | (?P<date>(?:\d{4}-\d\d-\d\d|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]))
+  | (?P<date>\d{4}-\d\d-\d\d(?=[Tt]\d)|(?:\d{4}-\d\d-\d\d|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]))
   | (?P<social>\d{3}-\d\d-\d{4}(?![\w-]))
   | (?P<phone>(?:\+1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-])|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w]))
   | (?P<card>(?:\d{13,19}|\d{4}(?:[ ]\d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}[ ]\d{6}[ ]\d{5}|\d{4}-\d{6}-\d{5})(?![\w]))
 )""", re.X)
 STARTS = re.compile(r"[+(]?\d")
 IBAN = re.compile(r"\b(?P<iban>[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)\b")
+# The length of an IBAN by country.
+IBAN_LENGTHS = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG YE", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC",
+    32: "LC", 33: "RU"}.items() for country in countries.split()}
+IBANS = {n: re.compile(rf"(?P<iban>[A-Z]{{2}}\d\d(?:[ ]?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf"[ ]?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r")\b")
+         for n in set(IBAN_LENGTHS.values())}
 EMAIL = re.compile(r"(?P<email>[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
 SECRET = re.compile(r"""(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b["']?\s*[:=]\s*["']?)(?P<secret>[0-9a-f]{12,}|[0-9A-F]{12,})(?![\w])""")
 KINDS = ["card", "iban", "phone", "social", "address", "date", "email", "secret"]
 
 
-def _numbers(text: str):
-    """Matches of NUMBERS, tried only where a number starts: at its sign or parenthesis, then at its first digit."""
+def _checked(m: re.Match | None, names: Pseudonyms):
+    """(start, end, kind, pseudonym), or None where nothing matched or the value fails the check of its kind."""
+    new = getattr(names, m.lastgroup)(m[m.lastgroup]) if m else None
+    return None if new is None else (*m.span(m.lastgroup), m.lastgroup, new)
+
+
+def _shorter(m: re.Match | None, names: Pseudonyms):
+    """An international number without the groups of digits after it that make it too long."""
+    value = m["phone"] if m and m.lastgroup == "phone" else ""
+    while len(_digits(value)) > 15 and (cut := max(map(value.rfind, " .-"))) > 0:
+        value = value[:cut]
+    new = names.phone(value) if value else None
+    return None if new is None else (m.start(), m.start() + len(value), "phone", new)
+
+
+def _numbers(text: str, names: Pseudonyms):
+    """Values of NUMBERS, tried only where a number starts: at its sign or parenthesis, then at its first digit."""
     at = 0
     while start := STARTS.search(text, at):
-        if m := NUMBERS.match(text, start.start()) or NUMBERS.match(text, start.end() - 1):
-            yield m
-            at = m.end()
+        m, digit = NUMBERS.match(text, start.start()), start.end() - 1
+        hit = _checked(m, names)
+        if not hit and digit > start.start():
+            hit = _checked(NUMBERS.match(text, digit), names)
+        if hit := hit or _shorter(m, names):
+            yield hit
+            at = hit[1]
         else:
             at = start.end()
             while at < len(text) and text[at].isdigit():
                 at += 1
 
 
+def _ibans(text: str, names: Pseudonyms):
+    """IBANs of their country's length, else the longest that passes for one."""
+    at = 0
+    while m := IBAN.search(text, at):
+        own = IBANS.get(IBAN_LENGTHS.get(m["iban"][:2]))
+        hit = _checked(own and own.match(text, m.start()), names) or _checked(m, names)
+        if hit:
+            yield hit
+        at = hit[1] if hit else m.start() + 1
+
+
 def replace(text: str, names: Pseudonyms, found: dict[str, int] | None = None) -> str:
-    hits = list(_numbers(text))
+    hits = [*_numbers(text, names), *_ibans(text, names)]
     for sign, pattern in (("@", EMAIL), ("=", SECRET), (":", SECRET)):
         if sign in text:
-            hits += pattern.finditer(text)
-    hits += IBAN.finditer(text)
+            hits += filter(None, (_checked(m, names) for m in pattern.finditer(text)))
     out, at = [], 0
-    for m in sorted(hits, key=lambda m: (m.start(m.lastgroup), -m.end(m.lastgroup))):
-        kind = m.lastgroup
-        if m.start(kind) < at:
-            continue
-        new = getattr(names, kind)(m[kind])
-        if new is None:
+    for start, end, kind, new in sorted(hits, key=lambda h: (h[0], -h[1])):
+        if start < at:
             continue
-        out += [text[at:m.start(kind)], new]
-        at = m.end(kind)
+        out += [text[at:start], new]
+        at = end
         if found is not None:
             found[kind] = found.get(kind, 0) + 1
     return "".join([*out, text[at:]]) if out else text

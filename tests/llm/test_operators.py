@@ -89,6 +89,34 @@ def test_values_after_a_parenthesis_or_sign(value):
         assert pii.replace(new, back) == before + value + after
 
 
+@pytest.mark.parametrize("before,value,after", [
+    ("", "BE68 5390 0754 7034", " BIC"), ("", "BE68 5390 0754 7034", " EUR 12"), ("", "BE68539007547034", " EUR"), ("", "AT61 1904 3002 3457 3201", " BIC"),
+    ("", "ES91 2100 0418 4502 0005 1332", " EUR"), ("", "PL61 1090 1014 0000 0712 1981 2874", " A"), ("", "NO93 8601 1117 947", " EUR"),
+    ("", "DE89 3704 0044 0532 0130 00", " BIC COBA"), ("AB12 CDEF ", "GB82 WEST 1234 5698 7654 32", " X"), ("", "2021-03-04", "T10:00:00Z"),
+    ("", "2021-03-04", "t10:00"), ("1234 ", "4111 1111 1111 1111", "."), ("+", "4111 1111 1111 1111", ""), ("", "+49 30 1234 5678", " 4111 1112")])
+def test_a_failed_candidate_hides_no_value(before, value, after):
+    names, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", back=True)
+    plain = pii.replace(value, names)
+    new = pii.replace(before + value + after, names)
+    assert plain != value and new == before + plain + after
+    assert pii.replace(new, back) == before + value + after
+
+
+def test_no_date_in_what_only_looks_like_a_timestamp():
+    names = pii.Pseudonyms(b"key")
+    for text in ("2021-03-04Txx", "2021-03-04-05", "2021-03-04/05", "2021-13-45T10:00", "X2021-03-04T10"):
+        assert pii.replace(text, names) == text
+
+
+def test_longer_ibans_turn_back():
+    """Longer than their country's: read alike before and after, whether or not the beginning passes as well."""
+    names, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", back=True)
+    for i in range(300):
+        body = f"{i * 7919:012d}{i % 1000:03d}"
+        value = "BE" + pii._iban_check("BE", body) + body
+        assert pii.replace(pii.replace(value, names), back) == value
+
+
 # -- op2
 
 
