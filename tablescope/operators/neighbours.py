@@ -26,7 +26,8 @@ from ..session import local_table, materialize
 
 CELL_ROWS = 4_000           # wanted distinct donor vectors per cell
 MAX_BINS = 64               # grid bins per dimension
-MAX_CELLS = 20_000          # cell boxes held by a task
+MAX_CELLS = 20_000          # cell boxes held by a task; more of them are joined in blocks
+BLOCK_BOXES = 4_096
 BLOCK_DONORS = 8_192
 BLOCK_QUERIES = 2_048
 
@@ -93,55 +94,136 @@ def _squared(q: np.ndarray, x: np.ndarray, p: int) -> np.ndarray:
         return np.where(shared > 0, total * (p / shared), np.inf)
 
 
-def _candidates(boxes: list, p: int, k: int, own: bool):
+class _Bounds:
+    """Cell boxes in arrays, and bounds of the distance of queries to them."""
+
+    def __init__(self, boxes: list, p: int):
+        self.p = p
+        self.names = np.array([b["cell"] for b in boxes], dtype=object)
+        self.groups = np.array([b["grp"] for b in boxes], dtype=object)
+        self.rows = np.array([b["rows"] for b in boxes], dtype=float)
+        self.lo, self.hi = _as_matrix([b["lo"] for b in boxes], p), _as_matrix([b["hi"] for b in boxes], p)
+
+    def of(self, part: pd.DataFrame):
+        """(usable, lower, upper) of each query and box."""
+        p, lo, hi = self.p, self.lo, self.hi
+        q = _as_matrix(part["q"].tolist(), p)
+        target = part["target"].to_numpy()
+        gap = np.zeros((len(q), len(lo)))
+        far = np.zeros((len(q), len(lo)))
+        shared = np.zeros((len(q), len(lo)))
+        for f in range(p):
+            below, above = lo[None, :, f] - q[:, f, None], q[:, f, None] - hi[None, :, f]
+            both = ~np.isnan(below)
+            near = np.maximum(np.maximum(below, above), 0.0)
+            wide = np.maximum(np.abs(below), np.abs(above))
+            gap += np.where(both, near * near, 0.0)
+            far += np.where(both, wide * wide, 0.0)
+            shared += both
+        usable = (shared > 0) & (self.groups[None, :] == part["grp"].to_numpy(dtype=object)[:, None])
+        for t in set(target.tolist()):
+            if t >= 0:
+                usable[target == t] &= ~np.isnan(lo[:, t])[None, :]
+        scale = np.where(shared > 0, p / np.maximum(shared, 1), 1.0)
+        return usable, np.where(usable, gap * scale, np.inf), np.where(usable, far * scale, np.inf)
+
+    def nearest_first(self, usable: np.ndarray, upper: np.ndarray):
+        """Boxes by upper bound, and the rows up to and with each."""
+        order = np.argsort(upper, axis=1)
+        return order, np.cumsum(np.where(np.take_along_axis(usable, order, 1), self.rows[order], 0.0), axis=1)
+
+    def within(self, part: pd.DataFrame, usable: np.ndarray, lower: np.ndarray, limit: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero(usable & (lower <= limit * (1 + 1e-9) + 1e-300))
+        return pd.DataFrame({"q": part["q"].to_numpy(dtype=object)[i], "target": part["target"].to_numpy()[i],
+                             "grp": part["grp"].to_numpy(dtype=object)[i], "cell": self.names[j]})
+
+
+PAIRS = "q array<double>, target int, grp string, cell string"
+
+
+def _some(pdf: pd.DataFrame):
+    return (pdf.iloc[start:start + 64] for start in range(0, len(pdf), 64))
+
+
+def _candidates(boxes: list, p: int, needed: int):
     """Row batches of queries to (query, cell) pairs that can hold a neighbour."""
-    names = np.array([b["cell"] for b in boxes], dtype=object)
-    groups = np.array([b["grp"] for b in boxes], dtype=object)
-    rows = np.array([b["rows"] for b in boxes], dtype=float)
-    lo, hi = _as_matrix([b["lo"] for b in boxes], p), _as_matrix([b["hi"] for b in boxes], p)
-    needed = k + (1 if own else 0)
+    bounds = _Bounds(boxes, p)
 
     def run(batches):
         for pdf in batches:
             out = []
-            for start in range(0, len(pdf), 64):
-                part = pdf.iloc[start:start + 64]
-                q = _as_matrix(part["q"].tolist(), p)
-                target = part["target"].to_numpy()
-                gap = np.zeros((len(q), len(names)))
-                far = np.zeros((len(q), len(names)))
-                shared = np.zeros((len(q), len(names)))
-                for f in range(p):
-                    below, above = lo[None, :, f] - q[:, f, None], q[:, f, None] - hi[None, :, f]
-                    both = ~np.isnan(below)
-                    near = np.maximum(np.maximum(below, above), 0.0)
-                    wide = np.maximum(np.abs(below), np.abs(above))
-                    gap += np.where(both, near * near, 0.0)
-                    far += np.where(both, wide * wide, 0.0)
-                    shared += both
-                usable = (shared > 0) & (groups[None, :] == part["grp"].to_numpy(dtype=object)[:, None])
-                for t in set(target.tolist()):
-                    if t >= 0:
-                        usable[target == t] &= ~np.isnan(lo[:, t])[None, :]
-                scale = np.where(shared > 0, p / np.maximum(shared, 1), 1.0)
-                lower = np.where(usable, gap * scale, np.inf)
-                upper = np.where(usable, far * scale, np.inf)
-                order = np.argsort(upper, axis=1)
-                reach = np.cumsum(np.where(np.take_along_axis(usable, order, 1), rows[order], 0.0), axis=1)
+            for part in _some(pdf):
+                usable, lower, upper = bounds.of(part)
+                order, reach = bounds.nearest_first(usable, upper)
                 enough = reach >= needed
-                at = np.where(enough.any(axis=1), enough.argmax(axis=1), len(names) - 1)
+                at = np.where(enough.any(axis=1), enough.argmax(axis=1), len(bounds.names) - 1)
                 limit = np.take_along_axis(upper, np.take_along_axis(order, at[:, None], 1), 1)
-                limit = np.where(enough.any(axis=1)[:, None], limit, np.inf)
-                i, j = np.nonzero(usable & (lower <= limit * (1 + 1e-9) + 1e-300))
-                if len(i):
-                    out.append(pd.DataFrame({"q": part["q"].to_numpy(dtype=object)[i], "target": target[i],
-                                             "grp": part["grp"].to_numpy(dtype=object)[i], "cell": names[j]}))
+                out.append(bounds.within(part, usable, lower, np.where(enough.any(axis=1)[:, None], limit, np.inf)))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
     return run
 
 
+def _block_reach(p: int, needed: int):
+    """The boxes of one block that a query needs, by upper bound, to be sure of ``needed`` rows."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        frames = [_NO_REACH]
+        if len(left) and len(right):
+            bounds = _Bounds(right.to_dict("records"), p)
+            for part in _some(left):
+                usable, _, upper = bounds.of(part)
+                order, reach = bounds.nearest_first(usable, upper)
+                sorted_rows = np.where(np.take_along_axis(usable, order, 1), bounds.rows[order], 0.0)
+                i, j = np.nonzero((sorted_rows > 0) & (reach - sorted_rows < needed))
+                frames.append(pd.DataFrame({
+                    "q": part["q"].to_numpy(dtype=object)[i], "target": part["target"].to_numpy()[i], "grp": part["grp"].to_numpy(dtype=object)[i],
+                    "upper": upper[i, order[i, j]], "rows": sorted_rows[i, j].astype("int64")}))
+        return pd.concat(frames[1:] or frames, ignore_index=True)
+
+    return run
+
+
+_NO_REACH = pd.DataFrame({"q": pd.Series(dtype=object), "target": pd.Series(dtype="int32"), "grp": pd.Series(dtype=object),
+                          "upper": pd.Series(dtype=float), "rows": pd.Series(dtype="int64")})
+
+
+def _block_within(p: int):
+    """The (query, cell) pairs of one block within the limits of the queries."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        frames = [_NO_REACH[["q", "target", "grp"]].assign(cell=pd.Series(dtype=object))]
+        if len(left) and len(right):
+            bounds = _Bounds(right.to_dict("records"), p)
+            for part in _some(left):
+                usable, lower, _ = bounds.of(part)
+                frames.append(bounds.within(part, usable, lower, part["limit"].to_numpy()[:, None]))
+        return pd.concat(frames[1:] or frames, ignore_index=True)
+
+    return run
+
+
+def _candidates_by_block(queries: DataFrame, boxes: DataFrame, p: int, needed: int, block_boxes: int, block_queries: int) -> DataFrame:
+    """The same pairs for any number of boxes: queries meet the boxes of their group in blocks, first for the limits, then for the pairs."""
+    sizes = (queries.groupBy("grp").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("q_blocks"))
+             .join(boxes.groupBy("grp").agg(F.ceil(F.count("*") / block_boxes).cast("int").alias("b_blocks")), "grp"))
+    sizes = materialize(sizes, "knn-box-blocks")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["grp", "b_block", "q_block"]
+
+    def met(asked: DataFrame, run, ddl: str) -> DataFrame:
+        left = (asked.join(sizes, "grp").withColumn("q_block", F.pmod(F.xxhash64("q", "target"), F.col("q_blocks")).cast("int"))
+                .withColumn("b_block", spread("b_blocks")).drop("q_blocks", "b_blocks"))
+        right = (boxes.join(sizes, "grp").withColumn("b_block", F.pmod(F.xxhash64("cell"), F.col("b_blocks")).cast("int"))
+                 .withColumn("q_block", spread("q_blocks")).drop("q_blocks", "b_blocks"))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, ddl)
+
+    reach = met(queries, _block_reach(p, needed), "q array<double>, target int, grp string, upper double, rows bigint")
+    so_far = F.sum("rows").over(Window.partitionBy("q", "target", "grp").orderBy("upper").rowsBetween(Window.unboundedPreceding, 0))
+    limits = (reach.withColumn("so_far", so_far).groupBy("q", "target", "grp")
+              .agg(F.coalesce(F.min(F.when(F.col("so_far") >= needed, F.col("upper"))), F.lit(float("inf"))).alias("limit")))
+    return met(materialize(limits, "knn-limits"), _block_within(p), PAIRS)
+
+
 def _block_best(p: int, k: int, own: bool):
     """k best donors per query of one bounded block."""
     keep = k + (1 if own else 0)
@@ -178,7 +260,7 @@ def _block_best(p: int, k: int, own: bool):
 
 
 def nearest(queries: DataFrame, donors: DataFrame, p: int, k: int, own: bool = False, cell_rows: int = CELL_ROWS,
-            block_donors: int = BLOCK_DONORS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+            block_donors: int = BLOCK_DONORS, block_queries: int = BLOCK_QUERIES, block_boxes: int = BLOCK_BOXES) -> DataFrame:
     """(q, target, grp, x, dist, weight): the k nearest donor rows of each query.
 
     ``queries``: distinct (q array<double>, target int, grp string); ``target``
@@ -194,22 +276,27 @@ def nearest(queries: DataFrame, donors: DataFrame, p: int, k: int, own: bool = F
     while True:
         placed = donors.withColumn("cell", _cell(F.col("x"), F.col("grp"), p, grid))
         box_rows = _boxes(placed, p).limit(MAX_CELLS + 1).collect()
-        if len(box_rows) <= MAX_CELLS:
+        few = len(box_rows) <= MAX_CELLS
+        if few or not grid:
             break
-        if not grid:
-            raise ValueError(f"more than {MAX_CELLS} groups and patterns of missing values; impute fewer columns at a time")
         grid = [(d, cuts[1::2]) for d, cuts in grid if len(cuts) > 1]
     if not box_rows:
         return queries.select("q", "target", "grp", F.col("q").alias("x"), F.lit(0.0).alias("dist"),
                               F.lit(0).cast("bigint").alias("weight")).where("false")
 
-    pairs = materialize(
-        queries.mapInPandas(_candidates(box_rows, p, k, own), "q array<double>, target int, grp string, cell string"), "knn-pairs")
-    boxes = local_table(queries.sparkSession, [{"cell": b["cell"], "vectors": b["vectors"]} for b in box_rows], "cell string, vectors bigint")
-    sizes = pairs.groupBy("cell").agg(F.count("*").alias("asked")).join(boxes, "cell")
-    blocks = F.broadcast(sizes.select(                          # at most MAX_CELLS rows
+    needed = k + (1 if own else 0)
+    if few:
+        found = queries.mapInPandas(_candidates(box_rows, p, needed), PAIRS)
+        boxes = local_table(queries.sparkSession, [{"cell": b["cell"], "vectors": b["vectors"]} for b in box_rows], "cell string, vectors bigint")
+    else:
+        boxes = materialize(_boxes(placed, p), "knn-boxes")
+        found = _candidates_by_block(materialize(queries, "knn-queries"), boxes, p, needed, block_boxes, block_queries)
+    pairs = materialize(found, "knn-pairs")
+    sizes = pairs.groupBy("cell").agg(F.count("*").alias("asked")).join(boxes.select("cell", "vectors"), "cell")
+    blocks = sizes.select(
         "cell", F.ceil(F.col("asked") / block_queries).cast("int").alias("q_blocks"),
-        F.ceil(F.col("vectors") / block_donors).cast("int").alias("d_blocks")))
+        F.ceil(F.col("vectors") / block_donors).cast("int").alias("d_blocks"))
+    blocks = F.broadcast(blocks) if few else materialize(blocks, "knn-blocks")      # at most MAX_CELLS rows are broadcast
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = (pairs.join(blocks, "cell")
             .withColumn("q_block", F.pmod(F.xxhash64("q", "target"), F.col("q_blocks")).cast("int"))
