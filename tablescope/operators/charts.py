@@ -79,15 +79,18 @@ def histogram(df: DataFrame, column: str, bins: int = 0, normalize: bool = False
     return bars, stats
 
 
-def scatter(df: DataFrame, x: str, y: str, key: list[str] | str, points: int = 2000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def scatter(df: DataFrame, x: str, y: str, key: list[str] | str, points: int | None = 2000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(points, stats). A sample of ``points`` rows in hash order of ``key`` when
-    there are more; correlation and ranges are those of the sample."""
+    there are more; correlation and ranges are those of the sample. All rows
+    with ``points=None``."""
     check_columns(df, "scatter", [x, y])
     _need_number(df, x, y)
     keys = [key] if isinstance(key, str) else list(key)
     tag = F.md5(F.concat_ws("|", F.lit(str(seed)), *[quoted(k).cast("string") for k in keys]).cast("binary"))
     clean = fold_nan(df).select(quoted(x).cast("double").alias("x"), quoted(y).cast("double").alias("y"), tag.alias("tag"))
-    chosen = clean.where("x is not null and y is not null").orderBy("tag", "x", "y").limit(points)      # TakeOrderedAndProject
+    chosen = clean.where("x is not null and y is not null")
+    if points is not None:
+        chosen = chosen.orderBy("tag", "x", "y").limit(points)      # TakeOrderedAndProject
     r = F.try_divide(F.covar_pop("x", "y"), F.sqrt(F.var_pop("x") * F.var_pop("y")))
     stats = chosen.agg(rounded(r, 4).alias("correlation"), F.count("*").alias("points"),
                        *[rounded(f(c), 4).alias(f"{c}_{n}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))])

@@ -16,7 +16,7 @@ def _both(make):
 _hist = _both(lambda s, d: C.histogram(read(s, d, "events"), "value"))
 _density = _both(lambda s, d: C.histogram(read(s, d, "documents"), "n_chars", bins=20, normalize=True))
 _hist_cat = _both(lambda s, d: C.histogram(read(s, d, "events"), "props"))
-_scatter = _both(lambda s, d: C.scatter(read(s, d, "documents"), "doc_id", "n_chars", "doc_id", points=1_000_000))
+_scatter = _both(lambda s, d: C.scatter(read(s, d, "documents"), "doc_id", "n_chars", "doc_id", points=None))
 _scatter_sample = _both(lambda s, d: C.scatter(read(s, d, "events"), "user_id", "value", "event_id"))
 _violin = _both(lambda s, d: C.violin(read(s, d, "events"), "value"))
 _pie = _both(lambda s, d: C.pie(read(s, d, "part"), "p_brand"))

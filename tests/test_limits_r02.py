@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescope.operators import missing as M
 from tablescope.operators import neighbours as N
+from tablescope.queries.charts import QUERIES
 
 from test_clean import _frame, _sorted, brute_knn
 
@@ -53,3 +54,13 @@ def test_many_classes_keep_to_themselves(spark, monkeypatch):
     want = run()
     monkeypatch.setattr(N, "MAX_CELLS", 2)
     assert run(block_boxes=1, block_queries=4) == want and run() == want
+
+
+def test_scatter_query_takes_all_documents(spark, tmp_path):
+    """One document more than a million, the last one far off; it must be a point, and count in the ranges."""
+    n = 1_000_001
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"),
+                          F.col("id").alias("n_chars")).write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["chart_scatter"][0](spark, str(tmp_path)).count() == n
+    stats = QUERIES["chart_scatter_stats"][0](spark, str(tmp_path)).first()
+    assert (stats["points"], stats["x_min"], stats["x_max"], stats["correlation"]) == (n, 0.0, n - 1.0, 1.0)
