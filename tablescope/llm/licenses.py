@@ -4,8 +4,8 @@ A text is brought to canonical form - lower case, copyright lines taken out, pun
 spellings to one of them - and its SHA-256 is looked up among the digests of known licence texts by a hash join. Whole texts
 are looked up, and every single line as a text of its own, so that one-line notices inside a document are found.
 
-Only texts that hold a word which every known licence has (``markers``, checked against the known texts; without such words all texts
-go on) are brought to canonical form. Defined results: null and empty texts match nothing; rows that repeat an id count together, a null id
+Only texts that hold a word which every known licence has (``markers``, checked against the canonical known texts; without such words all
+texts go on) are brought to canonical form. They must be single words: what is between two words may be anything that the form takes out. Defined results: null and empty texts match nothing; rows that repeat an id count together, a null id
 is an id; an empty table gives an empty result; equal digests of known texts go to the smaller name.
 """
 
@@ -83,7 +83,8 @@ SPELLINGS = [
     ("copyright owners", "copyright holders"), ("per cent", "percent"), ("acknowledgement", "acknowledgment"), ("favour", "favor"),
     ("modifications", "modification"), ("https", "http"), ("v2 0", "version 2 0"), ("v3", "version 3"), ("v 2 0", "version 2 0"),
 ]
-MARKERS = "licen[cs]e|permission|permitted|public domain|free software"
+MARKERS = "licen[cs]e|permission|permitted|domain|software"
+SQL_MARKERS = "licen[cs]e|permission|permitted|public domain|free software"
 COPYRIGHT_LINE = r"(^|\n)[^\n]*(copyright[ :]*([(]c[)]|\x{a9}|[0-9]{4})|([(]c[)]|\x{a9}) *[0-9]{4}|all rights reserved)[^\n]*"
 NO_WORD = r"[^\p{L}\p{N}]+"
 
@@ -112,7 +113,7 @@ def known_texts(spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", markers: str | None = MARKERS) -> DataFrame:
     """(id, license_id, scope, matches): scope ``text`` for whole texts, ``line`` for lines; ``known`` is (license_id, text)."""
     known = known_texts(docs.sparkSession) if known is None else known
-    if markers and known.where(~F.lower("text").rlike(markers)).limit(1).count():
+    if markers and known.where(~canonical(F.col("text")).rlike(markers)).limit(1).count():
         markers = None
     digests = known.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     rows = docs.select(quoted(id_col).alias("id"), quoted(text).alias("t")).where(F.length("t") > 0)
@@ -135,6 +136,6 @@ with known(license_id, t) as (values {values}),
                union all
                select doc_id, 'line', unnest(string_split(text, chr(10))) from documents where contains(text, chr(10)))
 select doc_id, license_id, scope, count(*) as matches
-from (select doc_id, scope, sha256({canonical_sql("unit")}) as digest from units where regexp_matches(lower(unit), '{MARKERS}')) join digests using (digest)
+from (select doc_id, scope, sha256({canonical_sql("unit")}) as digest from units where regexp_matches(lower(unit), '{SQL_MARKERS}')) join digests using (digest)
 group by doc_id, license_id, scope
 """

@@ -299,6 +299,19 @@ def test_licences(documents, odd):
     assert rows(got, "doc_id", "license_id", "scope", "matches") == [(40, "MIT", "text", 1), (41, "MIT", "text", 1), (42, "MIT", "line", 1)]
 
 
+def test_licences_by_canonical_form_only(spark, documents):
+    """No filter on the spelling of the raw text."""
+    text = next(t for n, t in licenses.KNOWN if n == "Unlicense")
+    between = ["\n", "  ", "\t", "-", "\nCopyright (c) 2020 Somebody\n"]
+    docs = [(i, text.replace("public domain", f"public{b}domain"), None, None) for i, b in enumerate(between)]
+    docs.append((9, "x\n" + text.replace("public domain", "public--domain") + "\ny", None, None))
+    got = licenses.scan(documents(docs))
+    assert rows(got, "doc_id", "license_id", "scope") == [*[(i, "Unlicense", "text") for i in range(len(between))], (9, "Unlicense", "line")]
+    known = spark.createDataFrame([("Own", "(c) 2020 Permission of Somebody\nThis is free software, as is")], "license_id string, text string")
+    docs = [(1, "This is free\nsoftware as is", None, None), (2, "this is FREE software: as is!", None, None)]
+    assert rows(licenses.scan(documents(docs), known), "doc_id", "license_id", "scope") == [(1, "Own", "text"), (2, "Own", "text")]
+
+
 # -- op8
 
 
