@@ -43,7 +43,9 @@ def baseline(df: DataFrame, target: str, task: str = "classification", key: list
     """Random forest on the complete rows; one row with the test score.
 
     Accuracy for classification, R² for regression. Text columns are indexed;
-    those with more than ``max_categories`` values are left out.
+    those with more than ``max_categories`` values by two independent hashes of
+    as many buckets, which together tell values apart. ``columns`` are the
+    columns the model used.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
@@ -56,19 +58,24 @@ def baseline(df: DataFrame, target: str, task: str = "classification", key: list
     df = fold_nan(df).na.drop("any")
     numeric = [f.name for f in df.schema.fields if is_numeric(f) and f.name != target]
     text = [f.name for f in df.schema.fields if is_text(f) and f.name != target]
+    many = []
     if text:
         few = {r["column"] for r in distinct_counts(df, text).collect() if r["unique_count"] <= max_categories}
-        text = [c for c in text if c in few]
-    names = {c: f"f{i}" for i, c in enumerate(numeric + text)}
+        many, text = [c for c in text if c not in few], [c for c in text if c in few]
+    names = {c: f"f{i}" for i, c in enumerate(numeric + text + many)}
     classify = task != "regression"
     label = quoted(target).cast("string") if classify else quoted(target).cast("double")
     keys = [key] if isinstance(key, str) else list(key) if key else df.columns
+    bucket = lambda c, n: F.pmod(F.xxhash64(F.lit(n), quoted(c)), F.lit(max_categories)).cast("string")
+    hashed = {f"{names[c]}_h{n}": bucket(c, n) for c in many for n in range(2)}
+    indexed = [names[c] for c in text] + list(hashed)
     data = assign_split(df, keys, seed=seed).select(
-        label.alias("target"), "split", *[quoted(c).cast("double").alias(names[c]) for c in numeric], *[quoted(c).alias(names[c]) for c in text])
+        label.alias("target"), "split", *[quoted(c).cast("double").alias(names[c]) for c in numeric], *[quoted(c).alias(names[c]) for c in text],
+        *[h.alias(n) for n, h in hashed.items()])
     stages = []
-    if text:
-        stages.append(StringIndexer(inputCols=[names[c] for c in text], outputCols=[names[c] + "_i" for c in text], handleInvalid="keep"))
-    inputs = [names[c] for c in numeric] + [names[c] + "_i" for c in text]
+    if indexed:
+        stages.append(StringIndexer(inputCols=indexed, outputCols=[c + "_i" for c in indexed], handleInvalid="keep"))
+    inputs = [names[c] for c in numeric] + [c + "_i" for c in indexed]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     common = dict(featuresCol="features", numTrees=trees, seed=seed, maxBins=max(32, max_categories + 2))
     if classify:
@@ -83,4 +90,5 @@ def baseline(df: DataFrame, target: str, task: str = "classification", key: list
     predicted = model.transform(test)
     score = judge.evaluate(predicted)
     return predicted.agg(F.count("*").alias("test_rows")).select(
-        F.lit(task).alias("task"), F.lit(metric).alias("metric"), F.round(F.lit(score), 4).alias("score"), "test_rows")
+        F.lit(task).alias("task"), F.lit(metric).alias("metric"), F.round(F.lit(score), 4).alias("score"), "test_rows",
+        F.array(*[F.lit(c) for c in numeric + text + many]).alias("columns"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescope.operators import missing as M
 from tablescope.operators import neighbours as N
+from tablescope.operators.split import baseline
 from tablescope.queries.charts import QUERIES
 
 from test_clean import _frame, _sorted, brute_knn
@@ -64,3 +65,11 @@ def test_scatter_query_takes_all_documents(spark, tmp_path):
     assert QUERIES["chart_scatter"][0](spark, str(tmp_path)).count() == n
     stats = QUERIES["chart_scatter_stats"][0](spark, str(tmp_path)).first()
     assert (stats["points"], stats["x_min"], stats["x_max"], stats["correlation"]) == (n, 0.0, n - 1.0, 1.0)
+
+
+@pytest.mark.parametrize("values", [100, 101, 400])
+def test_baseline_keeps_text_columns_of_many_values(make, values):
+    """Only the text tells the class; it must stay in the model however many values it has."""
+    df = make([(i, f"v{i % values}", int(i % values < values / 2)) for i in range(values * 8)], "k int, s string, y int")
+    row = baseline(df, "y", key="k", trees=20).first()
+    assert row["columns"] == ["k", "s"] and row["score"] > 0.7
