@@ -5,7 +5,8 @@ Confirmed toxic texts are the positives; any other text is unlabelled, not negat
 positives is taken off, and never more than there is. Features are the distinct words of a text and their
 first letters, hashed.
 
-The fit uses a bounded sample of ids (``positives`` and ``unlabelled`` rows, those with the smallest hash); the prior is a count over all
+The fit uses a bounded sample of ids (``positives`` and ``unlabelled`` of them, those with the smallest hash; of
+an id's rows one text stands for it); the prior is a count over all
 labels of the training part. Scores use every word of every text. Defined results: null and empty texts get the score of a text
 without known words; repeated rows score alike; null labels and null ids teach nothing; without a positive the score is the prior.
 """
@@ -119,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
         docs.sparkSession,
         lambda: mine.agg(F.avg((quoted(label) == 1).cast("double")), F.count(F.when(quoted(label) == 1, 1))).first(),
         lambda: {r[0] for r in sample(mine.where(quoted(label) == 1).dropDuplicates([id_col]), positives).collect()},
-        lambda: {r[0] for r in sample(docs.where(training).where(quoted(id_col).isNotNull()), unlabelled).collect()})
+        lambda: {r[0] for r in sample(docs.where(training).where(quoted(id_col).isNotNull()).select(quoted(id_col)).distinct(), unlabelled).collect()})
     prior = min(0.9, max(1e-4, prior or 0.0))
     if not count:
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
@@ -136,7 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("confirmed"), pa.array(lists, pa.list_(pa.int32()))],
                                              names=["id", "confirmed", "words"])
 
-    few = docs.select(quoted(id_col).alias("id"), quoted(text).alias("text")).join(F.broadcast(ids), "id")      # bounded by the sample
+    few = docs.select(quoted(id_col).alias("id"), quoted(text).alias("text")).join(F.broadcast(ids), "id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")      # a row for each sampled id, however many it has
+    few = few.groupBy("id", "confirmed").agg(one).select("id", "confirmed", "one.text")
     rows = few.mapInArrow(features, T.StructType().add("id", kind).add("confirmed", "boolean").add("words", T.ArrayType(T.IntegerType()))).toArrow()
     rows = rows.sort_by("id").combine_chunks()
     words = rows.column("words").combine_chunks()

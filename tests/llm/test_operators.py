@@ -394,6 +394,16 @@ def test_search_recall_and_rules(spark):
 # -- op10
 
 
+def test_toxicity_samples_ids_not_rows(spark, documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda offsets, words, confirmed, prior: seen.append((len(offsets) - 1, int(confirmed.sum()))))
+    docs = documents([(i, f"some text {i}", None, None) for i in range(60)] + [(i, f"copy {c}", None, None) for i in range(30) for c in range(40)])
+    labels = spark.createDataFrame([(i, int(i < 5)) for i in range(60)], "doc_id bigint, toxic int")
+    toxicity.fit(docs, labels, F.lit(True), positives=5, unlabelled=50)
+    toxicity.fit(docs, labels, F.lit(True), positives=5, unlabelled=60)
+    assert 50 <= seen[0][0] <= 55 and seen[0][1] == 5 and seen[1] == (60, 5)
+
+
 def test_toxicity_held_out(spark, documents, odd):
     docs = shared.read(spark, "/root/testdata/sf0.1", "documents")
     labels = shared.read(spark, "/root/testdata/sf0.1", "labels")
