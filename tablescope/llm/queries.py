@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, language, licenses, line_dedup, minhash, mixing, pii, toxicity
+from . import ann, bpe, exact_dedup, language, licenses, line_dedup, merkle, minhash, mixing, pii, repeats, resample, toxicity
 from .shared import read
 
 
@@ -72,6 +72,18 @@ def _toxicity(spark, sf_dir):
         "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _resample(spark, sf_dir):
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def _repeats(spark, sf_dir):
+    return repeats.cut_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
+def _merkle(spark, sf_dir):
+    return merkle.manifest(read(spark, sf_dir, "documents"), merkle.tampered())
+
+
 QUERIES = {
     "op1_pii": (_pii, None),
     "op2_source_mix": (_mix, None),
@@ -83,4 +95,7 @@ QUERIES = {
     "op8_minhash": (_minhash, None),
     "op9_kmeans_tree": (_ann, None),
     "op10_toxicity": (_toxicity, None),
+    "op11_resample": (_resample, resample.resample_sql()),
+    "op12_repeats": (_repeats, None),
+    "op13_merkle": (_merkle, merkle.manifest_sql()),
 }
