@@ -1,13 +1,20 @@
-"""Exact k-nearest-neighbour join with pruned, size-bounded blocks.
+"""Exact k-nearest-neighbour join over a distributed k-d partition tree.
 
 Rows enter as distinct numeric vectors with a count, so copies never multiply
-the work. Donor vectors are put into cells (group, pattern of nulls, a grid on
-the two widest features). A small table of cell boxes gives, for every query, a
-lower and an upper bound of its distance to each cell: cells whose lower bound
-exceeds the distance that already guarantees k neighbours are skipped, and that
-never loses a neighbour. The surviving (query, cell) pairs meet in co-grouped
-blocks; a cell or a query set of any size is cut into blocks of bounded size,
-each block keeps its k best per query, and the block results are merged.
+the work. Donor vectors of one group and one pattern of nulls are split at the
+median of their widest feature, again and again, until a cell holds few enough.
+A pass splits by up to three features of like width at once; it is two
+aggregates and a join with the medians, so the depth follows the row count and
+nothing is gathered.
+
+A query first visits its home, the nearest cells that hold enough donors. The
+k-th distance found there is its radius: after that it visits just the cells
+whose box is not farther. That loses no neighbour, and the number of cells
+within the radius does not grow with the table. Boxes are searched from the top:
+a bounded number of upper boxes sits in every task, and the cells below an upper
+box meet the queries that reach it in co-grouped blocks. A cell or a set of
+queries of any size is cut into blocks of bounded size, each block keeps its k
+best per query, and the block results are merged.
 
 Distances are NaN-Euclidean: squared differences over the features present on
 both sides, scaled by all / shared features.
@@ -15,18 +22,16 @@ both sides, scaled by all / shared features.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import local_table, materialize
+from ..session import materialize
 
-CELL_ROWS = 4_000           # wanted distinct donor vectors per cell
-MAX_BINS = 64               # grid bins per dimension
-MAX_CELLS = 20_000          # cell boxes held by a task; more of them are joined in blocks
+CELL_ROWS = 1_000           # distinct donor vectors of a cell at most
+AT_ONCE = 3                 # features split by one pass over the rows
+MAX_CELLS = 4_096           # upper boxes held by a task; more of them are joined in blocks
 BLOCK_BOXES = 4_096
 BLOCK_DONORS = 8_192
 BLOCK_QUERIES = 2_048
@@ -41,40 +46,65 @@ def _mask(v: Column, p: int) -> Column:
     return F.concat(*[F.when(F.get(v, F.lit(i)).isNull(), F.lit("0")).otherwise(F.lit("1")) for i in range(p)])
 
 
-def _grid(donors: DataFrame, p: int, cell_rows: int) -> list[tuple[int, list[float]]]:
-    """(feature, cut points) of the at most two widest features."""
-    aggs = [F.count("*").alias("n")] + [F.var_pop(F.get("x", F.lit(i))).alias(f"v{i}") for i in range(p)]
-    row = donors.agg(*aggs).first()
-    spread = sorted(((row[f"v{i}"] or 0.0, -i) for i in range(p)), reverse=True)
-    dims = [-i for v, i in spread[:2] if v > 0]
-    cells = row["n"] / cell_rows
-    if cells <= 1 or not dims:
-        return []
-    bins = min(MAX_BINS, math.ceil(cells ** (1 / len(dims))))
-    if bins < 2:
-        return []
-    at = [i / bins for i in range(1, bins)]
-    cut = donors.agg(*[F.percentile_approx(F.get("x", F.lit(d)), at, 1000).alias(f"d{d}") for d in dims]).first()
-    return [(d, sorted(set(cut[f"d{d}"]))) for d in dims if cut[f"d{d}"]]
-
-
-def _cell(v: Column, group: Column, p: int, grid: list[tuple[int, list[float]]]) -> Column:
-    parts = [group, _mask(v, p)]
-    for d, cuts in grid:
-        x = F.get(v, F.lit(d))
-        bin_ = sum((F.when(x >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-        parts.append(F.when(x.isNull(), F.lit("n")).otherwise(bin_.cast("string")))
-    return F.concat_ws("|", *parts)
-
-
-def _boxes(donors: DataFrame, p: int) -> DataFrame:
+def _boxes(placed: DataFrame, p: int, *more: str) -> DataFrame:
     at = lambda i: F.get("x", F.lit(i))
-    return donors.groupBy("cell", "grp").agg(
+    return placed.groupBy("cell", "grp", *more).agg(
         F.sum("cnt").alias("rows"), F.count("*").alias("vectors"),
         F.array(*[F.min(at(i)) for i in range(p)]).alias("lo"),
         F.array(*[F.max(at(i)) for i in range(p)]).alias("hi"))
 
 
+def _cell() -> Column:
+    return F.concat_ws("|", "path", "family")
+
+
+def _tree(donors: DataFrame, p: int, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``donors`` with their cell, and the boxes of the cells (cell, grp, family, path, rows, vectors, lo, hi).
+
+    A cell's name is its path through the splits and its family, the null pattern
+    and the group. A split sorts values below, at and above the median apart, so
+    one value that fills a feature becomes a part of its own and every split makes
+    parts that are smaller or narrower. Features less than half as wide as the widest wait for their turn.
+    """
+    placed = donors.withColumn("family", F.concat_ws("|", _mask(F.col("x"), p), F.col("grp"))).withColumn("path", F.lit("")).withColumn("cell", _cell())
+    while True:
+        boxes = materialize(_boxes(placed, p, "family", "path"), "knn-boxes")
+        widths = F.transform(F.arrays_zip("lo", "hi"), lambda b: F.coalesce(b["hi"] - b["lo"], F.lit(-1.0)))
+        widest = F.array_sort(F.transform(widths, lambda w, i: F.struct((-w).alias("w"), i.alias("i"))))
+        wanted = F.least(F.lit(AT_ONCE), F.ceil(F.log2(F.col("vectors") / cell_rows)).cast("int"))
+        dims = F.transform(F.filter(F.slice(widest, F.lit(1), wanted), lambda d: d["w"] * 2 <= F.get(widest, F.lit(0))["w"]), lambda d: d["i"])
+        full = boxes.where(F.col("vectors") > cell_rows).select(F.col("cell").alias("node"), dims.alias("dims"))
+        if not full.limit(1).count():
+            return placed, boxes
+        value = lambda i: F.get("x", F.get("dims", F.lit(i)))
+        middles = [F.percentile_approx(value(i), 0.5, 1000).alias(f"cut{i}") for i in range(AT_ONCE)]
+        cuts = materialize(placed.join(full, F.col("cell") == F.col("node")).groupBy("node", "dims").agg(*middles), "knn-cuts")
+        side = lambda i: F.coalesce((value(i) >= F.col(f"cut{i}")).cast("int") + (value(i) > F.col(f"cut{i}")).cast("int"), F.lit(0)) * 3 ** i
+        part = sum((side(i) for i in range(1, AT_ONCE)), side(0))
+        path = F.when(F.col("node").isNotNull(), F.concat("path", F.lit("."), part.cast("string"))).otherwise(F.col("path"))
+        placed = materialize(placed.join(cuts, F.col("cell") == F.col("node"), "left").withColumn("path", path).withColumn("cell", _cell())
+                             .select(*placed.columns), "knn-placed")
+
+
+def _uppers(boxes: DataFrame, p: int, most: int) -> tuple[DataFrame, list | None, DataFrame]:
+    """``boxes`` with their ``upper`` box, the uppers as rows (None where there are more than ``most``), and the uppers.
+
+    Uppers are the cells themselves if these are few, else their ancestors at the deepest level with few enough nodes.
+    """
+    depth = boxes.agg(F.max(F.size(F.split("path", r"\.")))).first()[0] or 1
+    while True:
+        upper = F.concat_ws("|", F.substring_index("path", ".", depth), "family")
+        with_upper = boxes.withColumn("upper", upper)
+        at = lambda side, i: F.get(side, F.lit(i))
+        uppers = with_upper.groupBy(F.col("upper").alias("cell"), "grp").agg(
+            F.sum("rows").alias("rows"), F.array(*[F.min(at("lo", i)) for i in range(p)]).alias("lo"),
+            F.array(*[F.max(at("hi", i)) for i in range(p)]).alias("hi"))
+        rows = uppers.limit(most + 1).collect()
+        if len(rows) <= most or depth == 1:
+            return with_upper, rows if len(rows) <= most else None, uppers
+        depth -= 1
+
+
 def _as_matrix(values, p: int) -> np.ndarray:
     if len(values) == 0:
         return np.empty((0, p))
@@ -133,38 +163,60 @@ class _Bounds:
         return order, np.cumsum(np.where(np.take_along_axis(usable, order, 1), self.rows[order], 0.0), axis=1)
 
     def within(self, part: pd.DataFrame, usable: np.ndarray, lower: np.ndarray, limit: np.ndarray) -> pd.DataFrame:
-        i, j = np.nonzero(usable & (lower <= limit * (1 + 1e-9) + 1e-300))
-        return pd.DataFrame({"q": part["q"].to_numpy(dtype=object)[i], "target": part["target"].to_numpy()[i],
-                             "grp": part["grp"].to_numpy(dtype=object)[i], "cell": self.names[j]})
+        return self.pairs(part, *np.nonzero(usable & (lower <= limit * (1 + 1e-9) + 1e-300)))
+
+    def pairs(self, part: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"q": part["q"].to_numpy(dtype=object)[i], "target": part["target"].to_numpy()[i], "grp": part["grp"].to_numpy(dtype=object)[i],
+                             "limit": part["limit"].to_numpy()[i], "cell": self.names[j]})
 
 
-PAIRS = "q array<double>, target int, grp string, cell string"
+PAIRS = "q array<double>, target int, grp string, limit double, cell string"
 
 
 def _some(pdf: pd.DataFrame):
     return (pdf.iloc[start:start + 64] for start in range(0, len(pdf), 64))
 
 
-def _candidates(boxes: list, p: int, needed: int):
-    """Row batches of queries to (query, cell) pairs that can hold a neighbour."""
+def _home(bounds: _Bounds, part: pd.DataFrame, needed: int) -> pd.DataFrame:
+    """The fewest boxes, by upper bound, that hold ``needed`` rows; all of them where there are fewer."""
+    usable, _, upper = bounds.of(part)
+    order, reach = bounds.nearest_first(usable, upper)
+    rows = np.where(np.take_along_axis(usable, order, 1), bounds.rows[order], 0.0)
+    i, j = np.nonzero((rows > 0) & (reach - rows < needed))
+    return bounds.pairs(part, i, order[i, j])
+
+
+def _reached(bounds: _Bounds, part: pd.DataFrame, needed: int) -> pd.DataFrame:
+    """The boxes within the radius of each query."""
+    usable, lower, _ = bounds.of(part)
+    return bounds.within(part, usable, lower, part["limit"].to_numpy()[:, None])
+
+
+def _among(boxes: list, p: int, needed: int, choose):
+    """Row batches of queries to the pairs that ``choose`` makes of them and a bounded number of boxes."""
     bounds = _Bounds(boxes, p)
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for part in _some(pdf):
-                usable, lower, upper = bounds.of(part)
-                order, reach = bounds.nearest_first(usable, upper)
-                enough = reach >= needed
-                at = np.where(enough.any(axis=1), enough.argmax(axis=1), len(bounds.names) - 1)
-                limit = np.take_along_axis(upper, np.take_along_axis(order, at[:, None], 1), 1)
-                out.append(bounds.within(part, usable, lower, np.where(enough.any(axis=1)[:, None], limit, np.inf)))
+            out = [choose(bounds, part, needed) for part in _some(pdf)]
             if out:
                 yield pd.concat(out, ignore_index=True)
 
     return run
 
 
+def _below(p: int, needed: int, choose):
+    """The same for one block of queries and the boxes of one block."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        frames = [_NO_PAIRS]
+        if len(left) and len(right):
+            bounds = _Bounds(right.to_dict("records"), p)
+            frames += [choose(bounds, part, needed) for part in _some(left)]
+        return pd.concat(frames[1:] or frames, ignore_index=True)
+
+    return run
+
+
 def _block_reach(p: int, needed: int):
     """The boxes of one block that a query needs, by upper bound, to be sure of ``needed`` rows."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -184,44 +236,50 @@ def _block_reach(p: int, needed: int):
     return run
 
 
+_NO_PAIRS = pd.DataFrame({"q": pd.Series(dtype=object), "target": pd.Series(dtype="int32"), "grp": pd.Series(dtype=object),
+                          "limit": pd.Series(dtype=float), "cell": pd.Series(dtype=object)})
 _NO_REACH = pd.DataFrame({"q": pd.Series(dtype=object), "target": pd.Series(dtype="int32"), "grp": pd.Series(dtype=object),
                           "upper": pd.Series(dtype=float), "rows": pd.Series(dtype="int64")})
 
 
-def _block_within(p: int):
-    """The (query, cell) pairs of one block within the limits of the queries."""
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        frames = [_NO_REACH[["q", "target", "grp"]].assign(cell=pd.Series(dtype=object))]
-        if len(left) and len(right):
-            bounds = _Bounds(right.to_dict("records"), p)
-            for part in _some(left):
-                usable, lower, _ = bounds.of(part)
-                frames.append(bounds.within(part, usable, lower, part["limit"].to_numpy()[:, None]))
-        return pd.concat(frames[1:] or frames, ignore_index=True)
-
-    return run
+class _Blocks:
+    """Queries and any number of boxes in bounded blocks of their group."""
 
+    def __init__(self, queries: DataFrame, boxes: DataFrame, p: int, block_boxes: int, block_queries: int):
+        self.boxes, self.p = boxes, p
+        sizes = (queries.groupBy("grp").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("q_blocks"))
+                 .join(boxes.groupBy("grp").agg(F.ceil(F.count("*") / block_boxes).cast("int").alias("b_blocks")), "grp"))
+        self.sizes = materialize(sizes, "knn-box-blocks")
 
-def _candidates_by_block(queries: DataFrame, boxes: DataFrame, p: int, needed: int, block_boxes: int, block_queries: int) -> DataFrame:
-    """The same pairs for any number of boxes: queries meet the boxes of their group in blocks, first for the limits, then for the pairs."""
-    sizes = (queries.groupBy("grp").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("q_blocks"))
-             .join(boxes.groupBy("grp").agg(F.ceil(F.count("*") / block_boxes).cast("int").alias("b_blocks")), "grp"))
-    sizes = materialize(sizes, "knn-box-blocks")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["grp", "b_block", "q_block"]
-
-    def met(asked: DataFrame, run, ddl: str) -> DataFrame:
-        left = (asked.join(sizes, "grp").withColumn("q_block", F.pmod(F.xxhash64("q", "target"), F.col("q_blocks")).cast("int"))
+    def met(self, asked: DataFrame, run, ddl: str) -> DataFrame:
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        keys = ["grp", "b_block", "q_block"]
+        left = (asked.join(self.sizes, "grp").withColumn("q_block", F.pmod(F.xxhash64("q", "target"), F.col("q_blocks")).cast("int"))
                 .withColumn("b_block", spread("b_blocks")).drop("q_blocks", "b_blocks"))
-        right = (boxes.join(sizes, "grp").withColumn("b_block", F.pmod(F.xxhash64("cell"), F.col("b_blocks")).cast("int"))
+        right = (self.boxes.join(self.sizes, "grp").withColumn("b_block", F.pmod(F.xxhash64("cell"), F.col("b_blocks")).cast("int"))
                  .withColumn("q_block", spread("q_blocks")).drop("q_blocks", "b_blocks"))
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, ddl)
 
-    reach = met(queries, _block_reach(p, needed), "q array<double>, target int, grp string, upper double, rows bigint")
-    so_far = F.sum("rows").over(Window.partitionBy("q", "target", "grp").orderBy("upper").rowsBetween(Window.unboundedPreceding, 0))
-    limits = (reach.withColumn("so_far", so_far).groupBy("q", "target", "grp")
-              .agg(F.coalesce(F.min(F.when(F.col("so_far") >= needed, F.col("upper"))), F.lit(float("inf"))).alias("limit")))
-    return met(materialize(limits, "knn-limits"), _block_within(p), PAIRS)
+    def radius(self, queries: DataFrame, needed: int) -> DataFrame:
+        """``queries`` plus ``limit``, the distance within which the boxes make ``needed`` rows certain."""
+        reach = self.met(queries, _block_reach(self.p, needed), "q array<double>, target int, grp string, upper double, rows bigint")
+        so_far = F.sum("rows").over(Window.partitionBy("q", "target", "grp").orderBy("upper").rowsBetween(Window.unboundedPreceding, 0))
+        return (reach.withColumn("so_far", so_far).groupBy("q", "target", "grp")
+                .agg(F.coalesce(F.min(F.when(F.col("so_far") >= needed, F.col("upper"))), F.lit(float("inf"))).alias("limit")))
+
+
+def meet(pairs: DataFrame, items: DataFrame, key: str, run, ddl: str, block_pairs: int, block_items: int, pair_by: Column, item_by: Column) -> DataFrame:
+    """``run`` on bounded blocks of the pairs and items that share ``key``: every pair meets every item, in blocks by the hashes given."""
+    sizes = pairs.groupBy(key).agg(F.count("*").alias("asked")).join(items.groupBy(key).agg(F.count("*").alias("held")), key)
+    blocks = materialize(sizes.select(key, F.ceil(F.col("asked") / block_pairs).cast("int").alias("q_blocks"),
+                                      F.ceil(F.col("held") / block_items).cast("int").alias("d_blocks")), "blocks")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = (pairs.join(blocks, key).withColumn("q_block", F.pmod(pair_by, F.col("q_blocks")).cast("int"))
+            .withColumn("d_block", spread("d_blocks")).drop("q_blocks", "d_blocks"))
+    right = (items.join(blocks, key).withColumn("d_block", F.pmod(item_by, F.col("d_blocks")).cast("int"))
+             .withColumn("q_block", spread("q_blocks")).drop("q_blocks", "d_blocks"))
+    keys = [key, "d_block", "q_block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, ddl)
 
 
 def _block_best(p: int, k: int, own: bool):
@@ -259,6 +317,56 @@ def _block_best(p: int, k: int, own: bool):
     return run
 
 
+class Search:
+    """A k-d tree over ``donors`` and what its searches need; ``home`` and ``reached`` give (query, cell) pairs."""
+
+    def __init__(self, donors: DataFrame, p: int, k: int, own: bool, cell_rows: int, block_donors: int, block_queries: int, block_boxes: int):
+        self.p, self.k, self.own, self.needed = p, k, own, k + (1 if own else 0)
+        self.block_donors, self.block_queries, self.block_boxes = block_donors, block_queries, block_boxes
+        self.placed, boxes = _tree(donors, p, cell_rows)
+        self.boxes, self.top, self.uppers = _uppers(boxes, p, MAX_CELLS)
+        self.deep = self.boxes.where("cell <> upper").limit(1).count() > 0
+        self.blocks: _Blocks | None = None
+
+    def _pairs(self, queries: DataFrame, choose) -> DataFrame:
+        if self.top is not None:
+            found = queries.mapInPandas(_among(self.top, self.p, self.needed, choose), PAIRS)
+        else:
+            found = self.blocks.met(queries, _below(self.p, self.needed, choose), PAIRS)
+        if not self.deep:
+            return materialize(found, "knn-pairs")
+        found = materialize(found.withColumnRenamed("cell", "upper"), "knn-uppers")
+        return materialize(meet(found, self.boxes, "upper", _below(self.p, self.needed, choose), PAIRS, self.block_queries, self.block_boxes,
+                                F.xxhash64("q", "target"), F.xxhash64("cell")), "knn-pairs")
+
+    def home(self, queries: DataFrame) -> DataFrame:
+        return self._pairs(queries.withColumn("limit", F.lit(float("inf"))), _home)
+
+    def reached(self, limits: DataFrame) -> DataFrame:
+        return self._pairs(limits, _reached)
+
+    def visit(self, pairs: DataFrame) -> DataFrame:
+        """(q, target, grp, x, dist, cnt): the best donors of each visited block; with ``own`` without the query's own copy."""
+        best = meet(pairs, self.placed.select("cell", "grp", "x", "cnt"), "cell", _block_best(self.p, self.k, self.own),
+                    "q array<double>, target int, grp string, x array<double>, dist double, cnt bigint", self.block_queries, self.block_donors,
+                    F.xxhash64("q", "target"), F.xxhash64("x"))
+        if self.own:
+            best = best.withColumn("cnt", F.when(F.col("q").eqNullSafe(F.col("x")), F.col("cnt") - 1).otherwise(F.col("cnt"))).where(F.col("cnt") > 0)
+        return best
+
+    def radius(self, queries: DataFrame) -> DataFrame:
+        """``queries`` plus ``limit``, the distance of the k-th donor at home, infinite where there are fewer. Where the families alone are
+        more than a task holds, it is the distance that their boxes prove."""
+        if self.top is None:
+            self.blocks = _Blocks(queries, self.uppers, self.p, self.block_boxes, self.block_queries)
+            return materialize(self.blocks.radius(queries, self.needed), "knn-radius")
+        seen = self.visit(self.home(queries)).select("q", "target", "grp", "dist", "cnt")
+        rows = seen.unionByName(queries.select("q", "target", "grp", F.lit(None).cast("double").alias("dist"), F.lit(0).cast("bigint").alias("cnt")))
+        upto = F.sum("cnt").over(Window.partitionBy("q", "target", "grp").orderBy("dist").rowsBetween(Window.unboundedPreceding, 0))   # k a block
+        return materialize(rows.withColumn("upto", upto).groupBy("q", "target", "grp").agg(
+            F.coalesce(F.min(F.when(F.col("upto") >= self.k, F.col("dist"))), F.lit(float("inf"))).alias("limit")), "knn-radius")
+
+
 def nearest(queries: DataFrame, donors: DataFrame, p: int, k: int, own: bool = False, cell_rows: int = CELL_ROWS,
             block_donors: int = BLOCK_DONORS, block_queries: int = BLOCK_QUERIES, block_boxes: int = BLOCK_BOXES) -> DataFrame:
     """(q, target, grp, x, dist, weight): the k nearest donor rows of each query.
@@ -271,46 +379,9 @@ def nearest(queries: DataFrame, donors: DataFrame, p: int, k: int, own: bool = F
     vector. With ``own`` the query is itself one of the donor rows and one copy
     of it is left out.
     """
-    donors = materialize(donors, "knn-donors")                  # read several times below
-    grid = _grid(donors, p, cell_rows)
-    while True:
-        placed = donors.withColumn("cell", _cell(F.col("x"), F.col("grp"), p, grid))
-        box_rows = _boxes(placed, p).limit(MAX_CELLS + 1).collect()
-        few = len(box_rows) <= MAX_CELLS
-        if few or not grid:
-            break
-        grid = [(d, cuts[1::2]) for d, cuts in grid if len(cuts) > 1]
-    if not box_rows:
-        return queries.select("q", "target", "grp", F.col("q").alias("x"), F.lit(0.0).alias("dist"),
-                              F.lit(0).cast("bigint").alias("weight")).where("false")
-
-    needed = k + (1 if own else 0)
-    if few:
-        found = queries.mapInPandas(_candidates(box_rows, p, needed), PAIRS)
-        boxes = local_table(queries.sparkSession, [{"cell": b["cell"], "vectors": b["vectors"]} for b in box_rows], "cell string, vectors bigint")
-    else:
-        boxes = materialize(_boxes(placed, p), "knn-boxes")
-        found = _candidates_by_block(materialize(queries, "knn-queries"), boxes, p, needed, block_boxes, block_queries)
-    pairs = materialize(found, "knn-pairs")
-    sizes = pairs.groupBy("cell").agg(F.count("*").alias("asked")).join(boxes.select("cell", "vectors"), "cell")
-    blocks = sizes.select(
-        "cell", F.ceil(F.col("asked") / block_queries).cast("int").alias("q_blocks"),
-        F.ceil(F.col("vectors") / block_donors).cast("int").alias("d_blocks"))
-    blocks = F.broadcast(blocks) if few else materialize(blocks, "knn-blocks")      # at most MAX_CELLS rows are broadcast
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = (pairs.join(blocks, "cell")
-            .withColumn("q_block", F.pmod(F.xxhash64("q", "target"), F.col("q_blocks")).cast("int"))
-            .withColumn("d_block", spread("d_blocks")).drop("q_blocks", "d_blocks"))
-    right = (placed.join(blocks, "cell")
-             .withColumn("d_block", F.pmod(F.xxhash64("x"), F.col("d_blocks")).cast("int"))
-             .withColumn("q_block", spread("q_blocks")).drop("q_blocks", "d_blocks"))
-    keys = ["cell", "d_block", "q_block"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        _block_best(p, k, own), "q array<double>, target int, grp string, x array<double>, dist double, cnt bigint")
-
-    if own:
-        same = F.col("q").eqNullSafe(F.col("x"))
-        best = best.withColumn("cnt", F.when(same, F.col("cnt") - 1).otherwise(F.col("cnt"))).where(F.col("cnt") > 0)
+    queries, donors = materialize(queries, "knn-queries"), materialize(donors, "knn-donors")      # both are read several times
+    tree = Search(donors, p, k, own, cell_rows, block_donors, block_queries, block_boxes)
+    best = tree.visit(tree.reached(tree.radius(queries)))
     value = F.when(F.col("target") >= 0, F.get("x", F.when(F.col("target") >= 0, F.col("target"))))
     order = Window.partitionBy("q", "target", "grp").orderBy("dist", value, "x")   # k rows per visited block
     before = F.coalesce(F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
