@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import fold_nan, numeric_columns, quoted, text_columns
 from ..session import materialize
@@ -46,38 +49,30 @@ def class_distribution(df: DataFrame, target: str) -> DataFrame:
             .groupBy("value").agg(F.count("*").alias("count")))
 
 
-def numbered(df: DataFrame, group: Column, seed: int, key: list[str] | None = None) -> DataFrame:
-    """Adds ``slot``: a 0-based number per group in hash order, without gathering
-    a group in one task. Groups are cut into hash buckets of about 50,000 rows
-    whose sizes become offsets. The hash is over ``key``, or over the frozen
-    position of a row, which also breaks ties."""
-    tagged = materialize(df.withColumn("grp_key", group).withColumn("row_no", F.monotonically_increasing_id()), "numbered")
-    h = F.xxhash64(F.lit(seed), *([quoted(k) for k in key] if key else [F.col("row_no")]))
-    rows = tagged.count()
-    buckets = max(1, min(1_000_000, rows // 50_000 + 1))
-    tagged = tagged.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
-    sizes = tagged.groupBy("grp_key", "bucket").agg(F.count("*").alias("size"))
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("size").over(
-        Window.partitionBy("grp_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
-    inside = Window.partitionBy("grp_key", "bucket").orderBy("h", "row_no")
-    return (tagged.withColumn("inside", F.row_number().over(inside) - 1)
-            .join(offsets.withColumnRenamed("grp_key", "off_key").withColumnRenamed("bucket", "off_bucket"),
-                  F.col("grp_key").eqNullSafe(F.col("off_key")) & (F.col("bucket") == F.col("off_bucket")))
-            .withColumn("slot", (F.col("offset") + F.col("inside")).cast("bigint"))
-            .drop("inside", "offset", "off_key", "off_bucket", "bucket", "h", "row_no"))
-
-
 CHUNK = 10_000      # draws that one row is spread into at a time
-
-
-def _spread_draws(classes: DataFrame) -> DataFrame:
-    """(grp, slot, copy) for each draw of ``classes`` (grp, size, draws): the slots of a class in turn, so that the first
-    ``draws % size`` get one copy more. No row holds more than CHUNK draws, and chunks are dealt out to all tasks."""
+BUCKET = 20_000     # distinct rows of a hash bucket, on average
+FAN = 256           # parts of one binomial split
+
+
+def _places(rows: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """``rows`` (distinct, with ``grp`` and a count ``cnt``) plus ``start``, how many rows of the group stand before in the order of a hash
+    of ``key``. Only bucket sums are ordered beyond a bucket, and a row of any count is one row."""
+    n = max(1, min(1_000_000, rows.count() // BUCKET + 1))
+    hashed = rows.withColumn("h", F.xxhash64(F.lit(seed), *map(quoted, key))).withColumn("bucket", F.pmod("h", F.lit(n)).cast("int"))
+    sums = hashed.groupBy("grp", "bucket").agg(F.sum("cnt").alias("held"))
+    before = Window.partitionBy("grp").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(sums.select(F.col("grp").alias("g"), F.col("bucket").alias("b"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset")), "offsets")
+    inside = Window.partitionBy("grp", "bucket").orderBy("h", *key).rowsBetween(Window.unboundedPreceding, -1)
+    placed = hashed.withColumn("inside", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
+    return (placed.join(offsets, F.col("grp").eqNullSafe(F.col("g")) & (F.col("bucket") == F.col("b")))
+            .withColumn("start", F.col("offset") + F.col("inside")).drop("g", "b", "offset", "inside", "h", "bucket"))
+
+
+def _copies(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` as often as their column ``draws`` says, numbered by ``copy`` from 1. No row holds more than CHUNK copies, and chunks are dealt out to all tasks."""
     number = lambda a, b: F.explode(F.sequence(a.cast("bigint"), b.cast("bigint")))     # noqa: E731
-    last = F.floor((F.col("draws") - 1) / CHUNK)
-    chunks = classes.where("draws > 0").select("grp", "size", "draws", number(F.lit(0), last).alias("chunk")).repartition("grp", "chunk")
-    draws = chunks.select("grp", "size", number(F.col("chunk") * CHUNK, F.least(F.col("draws"), (F.col("chunk") + 1) * CHUNK) - 1).alias("d"))
-    return draws.select("grp", (F.col("d") % F.col("size")).alias("slot"), (F.floor(F.col("d") / F.col("size")) + 1).alias("copy"))
+    chunks = rows.where("draws > 0").withColumn("chunk", number(F.lit(0), F.floor((F.col("draws") - 1) / CHUNK))).repartition(*by, "chunk")
+    return chunks.withColumn("copy", number(F.col("chunk") * CHUNK + 1, F.least(F.col("draws"), (F.col("chunk") + 1) * CHUNK))).drop("chunk")
 
 
 def smote(df: DataFrame, target: str, k: int = 5, seed: int = 42, **block_sizes) -> DataFrame:
@@ -108,22 +103,22 @@ def smote(df: DataFrame, target: str, k: int = 5, seed: int = 42, **block_sizes)
     small = sizes.where(F.col("size") < ends["top"])
     v = vector([quoted(c) for c in features])
     keyed = base.select(v.alias("x"), label.cast("string").alias("grp"), label.alias("label"))
-    minority = keyed.join(small, "grp")
-    slots = numbered(minority, F.col("grp"), seed)
-    draws = _spread_draws(small.select("grp", "size", (F.lit(ends["top"]) - F.col("size")).alias("draws")))
-    pool = minority.groupBy("x", "grp").agg(F.count("*").alias("cnt"))
+    # Equal rows are one vector with a count: its places in the class say how many of the draws are its own.
+    pool = materialize(keyed.join(small.select("grp"), "grp").groupBy("x", "grp").agg(F.count("*").alias("cnt"), F.min("label").alias("label")), "pool")
     asked = pool.select(F.col("x").alias("q"), F.lit(-1).alias("target"), "grp")
-    found = nearest(asked, pool, len(features), k, own=True, **block_sizes)
+    found = nearest(asked, pool.select("x", "grp", "cnt"), len(features), k, own=True, **block_sizes)
     ring = found.groupBy("q", "grp").agg(F.flatten(F.transform(
         F.array_sort(F.collect_list(F.struct("dist", "x", "weight"))),                      # at most k neighbours
         lambda s: F.array_repeat(s["x"], s["weight"].cast("int")))).alias("ring"))
-    # Neighbours go to the base rows, of which there are few; only then are the copies made.
-    ready = slots.select("x", "grp", "label", "slot").join(ring.withColumnRenamed("q", "x"), ["x", "grp"])
-    drawn = draws.join(ready, ["grp", "slot"])
-    pick = F.floor(_unit(F.lit(seed), "grp", "slot", "copy", F.lit("n")) * F.size("ring")).cast("int")
-    step = _unit(F.lit(seed), "grp", "slot", "copy", F.lit("u"))
+    draws = F.lit(ends["top"]) - F.col("size")
+    more = F.greatest(F.lit(0), F.least(draws % F.col("size") - F.col("start"), F.col("cnt")))
+    ready = (_places(pool, ["x"], seed).join(small, "grp").withColumn("draws", F.col("cnt") * F.floor(draws / F.col("size")) + more)
+             .select("x", "grp", "label", "draws").join(ring.withColumnRenamed("q", "x"), ["x", "grp"]))
+    drawn = _copies(ready, ["grp", "x"])
+    unit = lambda what: _unit(F.lit(seed), "grp", "x", "copy", F.lit(what))      # noqa: E731
+    pick = F.floor(unit("n") * F.size("ring")).cast("int")
     made = drawn.select("label", F.zip_with("x", F.get("ring", pick), lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("ends"),
-                        step.alias("u")).select(
+                        unit("u").alias("u")).select(
         "label", F.transform("ends", lambda e: e["a"] + F.col("u") * (e["b"] - e["a"])).alias("point"))
     top = modes(df, others) if others else {}
     unknown = lambda c: "Unknown" if c in text_columns(df) else None
@@ -139,11 +134,37 @@ def rows_to_add(n: int) -> int:
     return min(max(2 * n, 1000) - n, 4 * n)
 
 
+def _shared_out(sizes: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(bucket, draws): ``draws`` dealt to the buckets (bucket, held) in proportion to what they hold, as drawing one by one would.
+
+    Buckets are the leaves of a tree; every node splits its draws among at most FAN children by binomial splits, seeded by the node. So a bucket's
+    number depends on sums only, and no draw has a number among all.
+    """
+    levels = [sizes.select("bucket", "held")]
+    while levels[-1].limit(2).count() > 1:
+        levels.append(materialize(levels[-1].groupBy(F.floor(F.col("bucket") / FAN).alias("bucket")).agg(F.sum("held").alias("held")), "nodes"))
+    given = levels.pop().withColumn("draws", F.lit(draws).cast("bigint"))
+    depth = len(levels)
+    while levels:
+        below, at = levels.pop(), len(levels)
+        children = below.join(given.select(F.col("bucket").alias("parent"), "draws"), F.floor(F.col("bucket") / FAN) == F.col("parent"))
+
+        def split(table: pa.Table, level=depth - at) -> pa.Table:
+            table = table.sort_by("bucket")
+            held, left = table.column("held").to_numpy().astype(float), int(table.column("draws")[0].as_py())
+            random = np.random.default_rng([seed, level, int(table.column("parent")[0].as_py())])
+            return pa.table({"bucket": table.column("bucket"), "held": table.column("held"), "draws": random.multinomial(left, held / held.sum())})
+
+        given = materialize(children.groupBy("parent").applyInArrow(split, "bucket bigint, held bigint, draws bigint"), "given")
+    return given.select("bucket", "draws")
+
+
 def bootstrap_noise(df: DataFrame, scale: float = 0.05, seed: int = 42) -> DataFrame:
     """Add resampled rows with normal noise of ``scale`` sample deviations on numbers.
 
-    Each drawn slot is a hash of the draw number, so the draws are a Spark range
-    joined to the numbered rows. Integer columns come back as doubles.
+    Rows are dealt to buckets by a hash of their content, equal rows as one with
+    a count. Each bucket knows how many draws are its own (``_shared_out``) and makes
+    them from the rows it holds, so the result does not depend on how the table is partitioned. Integer columns come back as doubles.
     """
     df = fold_nan(df)
     numeric = numeric_columns(df)
@@ -152,13 +173,32 @@ def bootstrap_noise(df: DataFrame, scale: float = 0.05, seed: int = 42) -> DataF
     if n == 0:
         return df
     wide = df.select([quoted(c).cast("double").alias(c) if c in numeric else quoted(c) for c in df.columns])
-    slots = numbered(wide, F.lit(""), seed)
-    draw = df.sparkSession.range(rows_to_add(n)).select(
-        F.col("id").alias("draw"), F.floor(_unit(F.lit(seed), "id") * n).cast("bigint").alias("slot"))
-    drawn = draw.join(slots, "slot")
-    noise = lambda c: _normal(F.lit(seed), F.lit(c), F.col("draw")) * F.lit(stats.get(c, "std") * scale)
+    names = [f"c{i}" for i in range(len(df.columns))]
+    plain = wide.toDF(*names)
+    maps = [f.name for f in plain.schema.fields if isinstance(f.dataType, T.MapType)]      # neither grouped nor hashed by Spark
+    key = [c for c in names if c not in maps]
+    counted = plain.withColumn("cnt", F.lit(1).cast("bigint")) if maps else plain.groupBy(*names).agg(F.count("*").alias("cnt"))
+    h = F.xxhash64(F.lit(seed), *key)
+    buckets = n // BUCKET + 1
+    dealt = materialize(counted.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(buckets))), "dealt")
+    given = _shared_out(dealt.groupBy("bucket").agg(F.sum("cnt").alias("held")), rows_to_add(n), seed)
+    given = materialize(given.select(F.col("bucket").alias("b"), "draws"), "draws")
+
+    def draw(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Rows of one bucket, and the draws it was given."""
+        left = left.sort_by([("h", "ascending"), *[(c, "ascending") for c in key if not pa.types.is_nested(left.schema.field(c).type)]])
+        upto = np.cumsum(left.column("cnt").to_numpy())
+        wanted, bucket = (int(right.column(c)[0].as_py()) if right.num_rows else 0 for c in ("draws", "b"))
+        random = np.random.default_rng([seed, 1 << 20, bucket])
+        place = np.searchsorted(upto, random.integers(0, max(1, int(upto[-1]) if len(upto) else 1), wanted), "right")
+        out = left.select(names).take(pa.array(place))
+        return out.append_column("draw", pa.array(np.arange(wanted))).append_column("part", pa.array(np.full(wanted, bucket)))
+
+    schema = T.StructType([*plain.schema.fields, T.StructField("draw", T.LongType()), T.StructField("part", T.LongType())])
+    drawn = dealt.groupBy("bucket").cogroup(given.groupBy("b")).applyInArrow(draw, schema)
+    noise = lambda i, c: _normal(F.lit(seed), F.lit(c), F.col("part"), F.col("draw")) * F.lit(stats.get(c, "std") * scale)
     noisy = {c for c in numeric if (stats.get(c, "std") or 0.0) > 0}
-    new = drawn.select([(quoted(c) + noise(c)).alias(c) if c in noisy else quoted(c) for c in df.columns])
+    new = drawn.select([(F.col(names[i]) + noise(i, c) if c in noisy else F.col(names[i])).alias(c) for i, c in enumerate(df.columns)])
     return wide.unionByName(new)
 
 

@@ -1,10 +1,14 @@
 """Chained-equation imputation from sufficient statistics.
 
 Every column update is a Bayesian ridge regression, which needs only counts,
-sums and cross-products. Each update is one pass over the table: a task replays
-the updates learnt so far on its Arrow batches (numpy), adds up the p x p
-statistics, and the driver solves a p x p system. No intermediate table is
-written and no lineage grows - the state is the short list of regressions.
+sums and cross-products. In rows that lack the same columns a filled value is an
+affine function of the known ones, so the moments of all rows after any number of
+updates follow from the moments of the known values by pattern of gaps. One
+pass over the table collects these; complete rows are one pattern, counted once and for all.
+
+A round then works on the patterns: a small matrix product each, on the driver
+if they are few, else in tasks. Only the largest change of a row needs rows again: one
+pass for each round over the rows with gaps, which replays the affine maps of the rounds.
 """
 
 from __future__ import annotations
@@ -15,8 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import fold_nan, numeric_columns, quoted, replace_columns
+from ..session import materialize
 from .stats import column_stats
 
+MOST_PATTERNS = 2_000      # patterns of gaps whose moments the driver works on; more stay in a table
+
 
 def _matrix(batch) -> np.ndarray:
     return np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
@@ -33,22 +40,98 @@ def _replay(raw: np.ndarray, means: np.ndarray, updates: list) -> np.ndarray:
     return x
 
 
-def _sum_rows(data: DataFrame, make, size: int) -> np.ndarray:
+def _sums(rows: DataFrame, make, size: int) -> np.ndarray:
     """Sum a vector of ``size`` figures over all batches, one partial per task."""
     def run(batches):
         total = np.zeros(size)
         for b in batches:
             if b.num_rows:
-                total += make(_matrix(b))
+                total += make(b)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype="int32")), pa.array(total)], names=["i", "v"])
 
-    rows = data.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(size)
-    for r in rows:
+    for r in rows.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
         out[r["i"]] = r["v"]
     return out
 
 
+def _pattern_moments(data: DataFrame, means: np.ndarray) -> DataFrame:
+    """(gaps, n, sums, cross): per pattern of gaps the moments of the known values about the means. A task adds up what it sees of each."""
+    p = len(means)
+
+    def run(batches):
+        held: dict[bytes, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            raw = _matrix(b)
+            gap = np.isnan(raw)
+            u = np.where(gap, 0.0, raw - means)
+            packed = np.packbits(gap, axis=1)
+            patterns, own = np.unique(packed, axis=0, return_inverse=True)
+            order = np.argsort(own.ravel(), kind="stable")
+            ends = np.searchsorted(own.ravel()[order], np.arange(len(patterns) + 1))
+            for i, key in enumerate(patterns):
+                z = u[order[ends[i]:ends[i + 1]]]
+                add = np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z).ravel()])
+                old = held.get(key.tobytes())
+                held[key.tobytes()] = add if old is None else old + add
+            if len(held) > 4 * MOST_PATTERNS:
+                yield pack(held)
+                held = {}
+        if held:
+            yield pack(held)
+
+    def pack(held):
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))],
+                                          names=["gaps", "moments"])
+
+    each = data.mapInArrow(run, "gaps binary, moments array<double>")
+    # Equal places of the arrays are added; a pattern is a row for each task at most.
+    at = lambda i: F.sum(F.get("moments", F.lit(i)))     # noqa: E731
+    return each.groupBy("gaps").agg(F.array(*[at(i) for i in range(1 + p + p * p)]).alias("moments"))
+
+
+def _affine(gaps: np.ndarray, means: np.ndarray, updates: list) -> tuple[np.ndarray, np.ndarray]:
+    """(T, c): rows with these gaps are ``T u + c`` after the updates, about the means, with ``u`` their known values."""
+    t, c = np.diag((~gaps).astype(float)), np.zeros(len(gaps))
+    for target, others, weights, base in updates:
+        if gaps[target]:
+            t[target] = weights @ t[others]
+            c[target] = weights @ c[others] + means[others] @ weights + base - means[target]
+    return t, c
+
+
+def _filled(moments: np.ndarray, gaps: np.ndarray, means: np.ndarray, updates: list) -> np.ndarray:
+    """The moments (n, sums, cross-products about the means) of a pattern's rows after the updates."""
+    p = len(gaps)
+    n, s, cross = moments[0], moments[1:1 + p], moments[1 + p:].reshape(p, p)
+    t, c = _affine(gaps, means, updates)
+    ts = t @ s
+    return np.concatenate([[n], ts + n * c, (t @ cross @ t.T + np.outer(ts, c) + np.outer(c, ts) + n * np.outer(c, c)).ravel()])
+
+
+class _Patterns:
+    """Moments of all rows in which a column is known, after some updates."""
+
+    def __init__(self, table: DataFrame, means: np.ndarray):
+        self.means, self.p = means, len(means)
+        self.table = materialize(table, "gap-patterns")
+        few = self.table.limit(MOST_PATTERNS + 1).toArrow()
+        self.few = list(self._rows(few)) if few.num_rows <= MOST_PATTERNS else None
+
+    def _rows(self, batch):
+        for gaps, moments in zip(batch.column("gaps").to_pylist(), batch.column("moments").to_pylist()):
+            yield np.unpackbits(np.frombuffer(gaps, np.uint8))[:self.p].astype(bool), np.array(moments)
+
+    def where_known(self, target: int, updates: list) -> np.ndarray:
+        if self.few is not None:
+            return sum((_filled(m, g, self.means, updates) for g, m in self.few if not g[target]), np.zeros(1 + self.p + self.p ** 2))
+        rows, means = self._rows, self.means
+        add = lambda b: sum((_filled(m, g, means, updates) for g, m in rows(b) if not g[target]), np.zeros(1 + len(means) + len(means) ** 2))
+        return _sums(self.table, add, 1 + self.p + self.p ** 2)
+
+
 def _largest(data: DataFrame, make) -> float:
     def run(batches):
         top = 0.0
@@ -108,26 +191,24 @@ def impute_chained(df: DataFrame, columns: list[str] | None = None, max_iter: in
     data = df.select([quoted(c).alias(f"x{i}") for i, c in enumerate(columns)])
     updates: list = []
     if p > 1:
+        patterns = _Patterns(_pattern_moments(data, means), means)
+        some = F.lit(False)
+        for i in gaps:
+            some = some | F.col(f"x{i}").isNull()
+        open_rows = materialize(data.where(some), "rows-with-gaps")
         for _ in range(max_iter):
             start = len(updates)
             for target in gaps:
                 others = [i for i in range(p) if i != target]
-                known = updates[:]
-
-                def moments(raw, target=target, others=others, known=known):
-                    rows = ~np.isnan(raw[:, target])
-                    x = _replay(raw, means, known)[rows] - means
-                    z = x[:, others + [target]]
-                    return np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z).ravel()])
-
-                got = _sum_rows(data, moments, 1 + p + p * p)
-                n, s, cross = got[0], got[1:1 + p], got[1 + p:].reshape(p, p)
+                got = patterns.where_known(target, updates)
+                order = others + [target]
+                n, s, cross = got[0], got[1:1 + p][order], got[1 + p:].reshape(p, p)[np.ix_(order, order)]
                 centred = cross - np.outer(s, s) / n
-                mean = s / n + means[others + [target]]
+                mean = s / n + means[order]
                 weights, base = bayesian_ridge(n, mean[:-1], mean[-1], centred[:-1, :-1], centred[:-1, -1], centred[-1, -1])
                 updates.append((target, others, weights, base))
             before, after = updates[:start], updates[:]
-            moved = _largest(data, lambda raw: float(np.abs(_replay(raw, means, after) - _replay(raw, means, before)).sum(axis=1).max()))
+            moved = _largest(open_rows, lambda raw: float(np.abs(_replay(raw, means, after) - _replay(raw, means, before)).sum(axis=1).max()))
             if moved < tol * largest:
                 break
 

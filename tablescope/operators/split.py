@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import fold_nan, is_numeric, is_text, quoted
-from .augment import numbered
+from ..session import materialize
 
 
 def _share(key: list[str], seed: int) -> Column:
@@ -15,21 +15,53 @@ def _share(key: list[str], seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+BITS, WHOLE = 12, 60        # hash bits of one histogram, and of the whole hash
+
+
+def _thresholds(rows: DataFrame, test: float) -> DataFrame:
+    """(cls, cut): of each class of ``rows`` (cls, h) the share ``test`` has hashes below ``cut``.
+
+    A class's rows are counted by hash bucket, the bucket in which its share ends is found, and only that bucket is counted again by finer
+    buckets, until the share ends between two of them or a bucket holds one hash. Rows that share a key and so a hash stay together.
+    """
+    sizes = rows.groupBy("cls").agg(F.count("*").alias("n")).withColumn("want", F.round(F.col("n") * test).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    state = materialize(sizes.select("cls", "want", zero.alias("prefix"), zero.alias("taken"), F.when(F.col("want") == 0, zero).alias("cut")), "cuts")
+    for level in range(1, WHOLE // BITS + 1):
+        left = WHOLE - BITS * level
+        going = state.where("cut is null").select(F.col("cls").alias("c"), "want", "prefix", "taken")
+        if not going.limit(1).count():
+            break
+        inside = rows.join(going, F.col("cls").eqNullSafe(F.col("c"))).where(F.shiftright("h", left + BITS) == F.col("prefix"))
+        counts = inside.groupBy("cls", "want", "taken", F.shiftright("h", left).alias("bucket")).agg(
+            F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+        upto = F.col("taken") + F.sum("n").over(Window.partitionBy("cls").orderBy("bucket"))       # 4,096 rows a class at most
+        ends = (counts.withColumn("upto", upto).where(F.col("upto") >= F.col("want")).groupBy(F.col("cls").alias("c"))
+                .agg(F.min(F.struct("bucket", "upto", "n", "low", "high")).alias("e")))
+        before, upto = F.col("e.upto") - F.col("e.n"), F.col("e.upto")
+        nearer = F.when(upto - F.col("want") <= F.col("want") - before, F.col("e.high") + 1).otherwise(F.col("e.low"))
+        cut = F.coalesce("cut", F.when(upto == F.col("want"), F.col("e.high") + 1).when(F.col("e.low") == F.col("e.high"), nearer))
+        state = materialize(state.join(ends, F.col("cls").eqNullSafe(F.col("c")), "left").select(
+            "cls", "want", F.coalesce("e.bucket", "prefix").alias("prefix"), F.coalesce(before, "taken").alias("taken"), cut.alias("cut")), "cuts")
+    return state.select("cls", "cut")
+
+
 def assign_split(df: DataFrame, key: list[str] | str, test: float = 0.2, seed: int = 42, stratify: str | None = None) -> DataFrame:
     """Adds ``split`` = train or test from a hash of the row key: no shuffle, and
     a row always lands on the same side.
 
-    With ``stratify`` exactly the share ``test`` of every class is set aside:
-    the rows of a class are numbered in hash order and the first ones taken.
+    With ``stratify`` exactly the share ``test`` of every class is set aside, the rows
+    whose hashes are below the class's threshold. Rows that repeat a key stay together, so a class with such rows can miss its share by as many.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if stratify is None:
         return df.withColumn("split", F.when(_share(keys, seed) < test, "test").otherwise("train"))
-    slots = numbered(df, quoted(stratify).cast("string"), seed, keys)
-    sizes = slots.groupBy("grp_key").agg(F.count("*").alias("grp_rows")).withColumnRenamed("grp_key", "grp_name")
-    joined = slots.join(sizes, F.col("grp_key").eqNullSafe(F.col("grp_name")))
-    side = F.when(F.col("slot") < F.round(F.col("grp_rows") * test), "test").otherwise("train")
-    return joined.select(*[quoted(c) for c in df.columns], side.alias("split"))
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[quoted(k) for k in keys]), 64 - WHOLE)
+    cuts = _thresholds(materialize(df.select(quoted(stratify).cast("string").alias("cls"), h.alias("h")), "hashes"), test)
+    names = {c: f"_{c}_of_split" for c in cuts.columns}
+    cuts = cuts.select(*[F.col(c).alias(n) for c, n in names.items()])      # one row a class: Spark broadcasts it when its size allows
+    joined = df.join(cuts, quoted(stratify).cast("string").eqNullSafe(F.col(names["cls"])))
+    return joined.select(*[quoted(c) for c in df.columns], F.when(h < F.col(names["cut"]), "test").otherwise("train").alias("split"))
 
 
 def train_test_split(df: DataFrame, key: list[str] | str, test: float = 0.2, seed: int = 42,

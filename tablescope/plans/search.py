@@ -9,14 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
 from ..functions.query_text import intent_score, query_expand, query_intent, text_keywords, text_sanitize
 from ..functions.text import age_days
 from ..functions.vectors import cosine, literal_vector
-from ..operators.neighbours import BLOCK_DONORS, BLOCK_QUERIES
+from ..operators.similarity import top_k
 from ..session import local_table
 
 MB, GB = 1024 ** 2, 1024 ** 3
@@ -234,39 +234,5 @@ def similarity_topk(docs: DataFrame, query_vector, k: int, vector_col: str = "em
 
 
 def similarity_topk_batch(queries: DataFrame, docs: DataFrame, k: int, query_id: str, doc_id: str, vector_col: str = "embedding") -> DataFrame:
-    """(query id, doc id, similarity, rank) for a table of queries.
-
-    Both sides are cut into blocks of bounded size that meet in co-grouped
-    tasks; a task multiplies two matrices and keeps k rows per query, so pairs
-    are never emitted. Ids must be integers.
-    """
-    import numpy as np
-    import pandas as pd
-
-    q_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    d_blocks = max(1, -(-docs.count() // BLOCK_DONORS))
-    side = lambda df, i, n: df.select(F.col(i).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"),
-                                      F.pmod(F.xxhash64(i), F.lit(n)).cast("int").alias("own"))
-    left = side(queries, query_id, q_blocks).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))))
-    right = side(docs, doc_id, d_blocks).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    left = left.select("id", "v", F.col("own").alias("qb"), F.col("other").alias("db"))
-    right = right.select("id", "v", F.col("other").alias("qb"), F.col("own").alias("db"))
-
-    def unit(vectors):
-        m = np.array(vectors.tolist(), dtype=float)
-        size = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(size == 0, 1.0, size)
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "did": pd.Series(dtype="int64"), "sim": pd.Series(dtype=float)})
-        b = b.sort_values("id")
-        sims = unit(a["v"]) @ unit(b["v"]).T
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"qid": np.repeat(a["id"].to_numpy(), top.shape[1]), "did": b["id"].to_numpy()[top].ravel(),
-                             "sim": np.take_along_axis(sims, top, 1).ravel()})
-
-    parts = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(best, "qid bigint, did bigint, sim double")
-    order = Window.partitionBy("qid").orderBy(F.desc("sim"), "did")        # k rows per block of documents
-    return (parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select(F.col("qid").alias(query_id), F.col("did").alias(doc_id), F.col("sim").alias("similarity"), "rank"))
+    """(query id, doc id, similarity, rank) for a table of queries, by the exact pruned search of ``operators.similarity``."""
+    return top_k(queries, docs, k, query_id, doc_id, vector_col)

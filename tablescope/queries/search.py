@@ -140,7 +140,38 @@ def _topk(s, d):
 def _batch(s, d):
     emb = read(s, d, "embeddings")
     out = P.similarity_topk_batch(emb.withColumnRenamed("vec_id", "query_id"), emb, 5, "query_id", "vec_id")
-    return tidy(out.withColumn("similarity", rounded(F.col("similarity"), 5)).drop("vec_id"))
+    return tidy(out.withColumn("similarity", rounded(F.col("similarity"), 5)))
+
+
+def _pruned(s, d):
+    """Ids as text on both sides; every vector asks."""
+    emb = read(s, d, "embeddings")
+    named = emb.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), "embedding")
+    out = P.similarity_topk_batch(emb.select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query"), "embedding"), named, 10, "query", "name")
+    return tidy(out.withColumn("similarity", rounded(F.col("similarity"), 5)))
+
+
+def _batch_sql(query: str, doc: str, k: int, names: str) -> str:
+    """All pairs; similarities that agree in nine digits are ties."""
+    return f"""with e as (select *, cast(embedding as double[]) as v from embeddings),
+      s as (select {query} as a, {doc} as b, list_cosine_similarity(a.v, b.v) as x from e a, e b),
+      k as (select *, row_number() over (partition by a order by round(x, 9) desc, b) as rank from s) select a as {names.split()[0]}, b as {names.split()[1]}, {r('x', 5)} as similarity, rank from k where rank <= {k}"""
+
+
+# Queries of every page: words of catalogue titles with verbs, markup, other scripts, nothing at all.
+SEARCHES = """
+select page_id as qid, case page_id % 7 when 0 then concat('Predict patient records from ', url) when 1 then 'weather forecast' when 2 then substr(html, 1, 60)
+  when 3 then 'Compare sales by wiki source, classify them' when 4 then concat('sales forecast ', cast(page_id % 10 as {text})) when 5 then case when page_id % 2 = 0 then '' else 'ß' end
+  else concat('best ', substr(html, 100, 30)) end as q from {pages}"""
+
+
+def _search_batch(s, d):
+    from ..plans.search_index import build_index, search_batch
+
+    index = build_index(_catalog(s, d), AS_OF, "arrival")
+    asked = derived(s, d, SEARCHES.replace("{text}", "string"))
+    return tidy(search_batch(index, asked, "qid", "q", limit=10, page=2, filters={"formats": ["csv"], "size": "small"}, as_of=AS_OF).select(
+        "qid", "rank", "id", "keyword", "metadata", "intent", "relevance", "quality"))
 
 
 def _semantic_search(s, d):
@@ -168,9 +199,17 @@ QUERIES = {
     "cosine_scores": (lambda s, d: read(s, d, "embeddings").select("vec_id", rounded(cosine(F.col("embedding"), F.array(*[F.lit((-1.0) ** i * (i + 1)) for i in range(64)])), 5).alias("similarity")),
                       f"select vec_id, {r('list_cosine_similarity(' + _V + ', cast([' + ', '.join(str((-1.0) ** i * (i + 1)) for i in range(64)) + '] as double[]))', 5)} as similarity from embeddings e"),
     "similarity_topk": (_topk, f"with s as (select vec_id, list_cosine_similarity({_V}, {_FIRST}) as x from embeddings e) select vec_id, {r('x', 5)} as similarity from s order by x desc, vec_id limit 25"),
-    "similarity_topk_batch": (_batch, f"""with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
-      s as (select a.vec_id as query_id, list_cosine_similarity(a.v, b.v) as x, b.vec_id from e a, e b),
-      k as (select *, row_number() over (partition by query_id order by x desc, vec_id) as rank from s) select query_id, {r('x', 5)} as similarity, rank from k where rank <= 5"""),
+    "similarity_topk_batch": (_batch, _batch_sql("a.vec_id", "b.vec_id", 5, "query_id vec_id")),
+    "similarity_topk_pruned": (_pruned, _batch_sql("'q' || a.vec_id", "'v' || b.vec_id", 10, "query name")),
+    "search_batch": (_search_batch, f"""with {_CAT}, {_DEDUP}, fl as (select * from dd where format in ('csv') and (size_bytes = 0 or size_bytes < 10485760)),
+      qs as (select qid, q, {_keywords('q')} as kw, {_INTENT.format(x='q')} as wants from ({duck(SEARCHES.replace("{text}", "varchar"))}) t),
+      sc as (select qid, id, title, {_META} as metadata, {_intent_score(_EVERY, 'wants')} as intent, contains(lower(title), lower(trim(q))) as hit,
+        case when len(kw) = 0 then 50.0 else least(100.0, (cast(contains(lower(title), lower(q)) as int) * 40 + list_sum(list_transform(kw, lambda w: cast(contains(lower(title), w) as int) * 15
+          + cast(contains(lower(array_to_string(tags, ' ')), w) as int) * 12 + cast(contains(lower(description), w) as int) * 5))) / (40 + len(kw) * 32) * 100) end as keyword from fl, qs),
+      rv as (select *, {r('least(100.0, greatest(case when hit then 35.0 when keyword > 0 then 20.0 else 12.0 end, keyword * 0.25 + metadata * 0.15 + intent * 0.10))', 1)} as relevance from sc),
+      rk as (select *, row_number() over (partition by qid order by relevance desc, id) as rank from rv)
+      select qid, rank, id, {r('keyword', 6)} as keyword, metadata, {r('intent', 6)} as intent, relevance,
+        case when relevance >= 75 then 'high' when relevance >= 45 then 'medium' else 'low' end as quality from rk where rank between 11 and 20"""),
     "keyword_score": (lambda s, d: tidy(_catalog(s, d).select("id", P.keyword_score(P.query_facts(s, QUERY)).alias("score"))),
                       f"with {_CAT} select id, {r(_keyword_score(QUERY), 6)} as score from cat"),
     "metadata_score": (lambda s, d: _catalog(s, d).select("id", P.metadata_score(AS_OF).alias("score")), f"with {_CAT} select id, {_META} as score from cat"),

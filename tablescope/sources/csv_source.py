@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import quoted
+from .csv_blocks import records
 
 # Separators that are tried, and texts that stand for a missing value.
 SEPARATORS = [",", ";", "\t", "|"]
@@ -63,12 +64,22 @@ def _literal(path: str) -> str:
     return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(path))
 
 
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
 def _texts(spark: SparkSession, paths: list[str] | str, names: list[str], sep: str, encoding: str, multi_line: bool) -> DataFrame:
     """The records of files of one layout as texts, plus _EXTRA: whether a record has more fields than its header.
     Short records keep their fields and get nulls for the rest."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RAW]])
-    parsed = spark.read.schema(schema).options(header=True, sep=sep, encoding=encoding, quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE",
-                                               enforceSchema=True, columnPruning=False, columnNameOfCorruptRecord=_RAW).csv(paths)
+    how = dict(sep=sep, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=_RAW)
+    if multi_line:
+        ddl = ", ".join(f"{_name(n)} string" for n in schema.names)
+        # Each record is parsed from its text; a blank line within a file is no record, as for the reader of plain files.
+        found = records(spark, paths, sep, encoding).where("not (block = 0 and no = 0)")
+        parsed = found.select(F.from_csv("text", ddl, how).alias("r")).select("r.*")
+    else:
+        parsed = spark.read.schema(schema).options(header=True, encoding=encoding, enforceSchema=True, columnPruning=False, **how).csv(paths)
     # Spark keeps the record where its fields are more or fewer than the columns; its fields are counted. It refuses a query that
     # needs the kept record alone, so nothing of the first column is put in front.
     s = re.escape(sep)
@@ -133,8 +144,6 @@ def read_csv(spark: SparkSession, path: str, max_rows: int | None = None, order_
         else:
             names = _fields(f["header"], f["sep"])
         groups.setdefault((tuple(_unique(names)), f["sep"], encoding, broken), []).append(_literal(f["path"]))
-    if multi_line is None and any(key[3] for key in groups):
-        warnings.append("Quoted fields hold line breaks; such files are read by one task each.")
     tables = [_texts(spark, path if len(groups) == 1 else paths, list(names), *how) for (names, *how), paths in groups.items()]
     texts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
     texts = texts.select(*[quoted(c) for c in texts.columns if c != _EXTRA], _EXTRA)

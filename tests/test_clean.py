@@ -9,7 +9,6 @@ from tablescope.operators import augment as A
 from tablescope.operators import cleaning as C
 from tablescope.operators import encode as E
 from tablescope.operators import missing as M
-from tablescope.operators import neighbours as N
 from tablescope.operators.chained import bayesian_ridge, impute_chained
 from tablescope.operators.power import best_exponents, handle_skewness
 from tablescope.operators.split import assign_split, baseline, train_test_split
@@ -67,13 +66,6 @@ def test_knn_without_comparable_rows_uses_the_mean(make):
     assert sorted(got["a"]) == [1.0, 3.0, 3.0, 5.0] and sorted(got["b"]) == [2.0, 3.0, 3.0, 4.0]
 
 
-def test_too_many_patterns_are_refused(make, monkeypatch):
-    monkeypatch.setattr(N, "MAX_CELLS", 2)
-    data = pd.DataFrame({"a": [1, np.nan, 3, 4], "b": [1, 2, np.nan, 4], "c": [np.nan, 2, 3, 4.0]})
-    with pytest.raises(ValueError):
-        M.impute_knn(_frame(make, data))
-
-
 def test_chained_follows_the_full_matrix(make):
     """The sufficient-statistics rounds equal the same rounds on the whole matrix."""
     rng = np.random.default_rng(4)
@@ -279,12 +271,38 @@ def test_bootstrap(make):
     assert len(noise) == 200
 
 
-def test_numbered_is_dense_per_group(make):
-    df = make([("a" if i % 3 else "b",) for i in range(90)], "g string")
-    rows = A.numbered(df, F.col("g"), 1).collect()
+def test_places_are_dense_per_group(make, monkeypatch):
+    monkeypatch.setattr(A, "BUCKET", 7)
+    df = make([("a" if i % 3 else "b", i, i % 4 + 1) for i in range(90)], "grp string, v int, cnt bigint")
+    rows = A._places(df, ["v"], 1).collect()
+    assert sorted(rows) == sorted(A._places(df.repartition(5), ["v"], 1).collect())
     for g in "ab":
-        slots = sorted(r["slot"] for r in rows if r["g"] == g)
-        assert slots == list(range(len(slots)))
+        at = 0
+        for start, cnt in sorted((r["start"], r["cnt"]) for r in rows if r["grp"] == g):
+            assert start == at
+            at += cnt
+
+
+@pytest.mark.parametrize("bucket", [20_000, 10])
+def test_bootstrap_and_smote_do_not_depend_on_partitions(make, monkeypatch, bucket):
+    """One, four and sixteen partitions in another order: the same rows; with small buckets draws go down two levels of splits."""
+    monkeypatch.setattr(A, "BUCKET", bucket)
+    monkeypatch.setattr(A, "FAN", 4)
+    rng = np.random.default_rng(9)
+    rows = [(float(a), float(b), "xy"[int(i % 9 == 0)], [1, i]) for i, (a, b) in enumerate(np.round(rng.normal(size=(300, 2)), 2))] + [(1.0, 2.0, "x", [0, 0])] * 100
+    df = make(rows, "a double, b double, y string, l array<int>")
+    for run in (lambda t: A.bootstrap_noise(t), lambda t: A.smote(t, "y")):
+        first = sorted(map(str, run(df.repartition(1)).collect()))
+        assert len(first) in (1000, 2 * sum(r[2] == "x" for r in rows))
+        assert all(sorted(map(str, run(df.repartition(n, "a")).collect())) == first for n in (4, 16))
+
+
+def test_bootstrap_draws_every_row_alike(make):
+    """200 rows, one of them 100 times: it gets about half of the 800 draws."""
+    df = make([(0.0, "hot")] * 100 + [(float(i), "s") for i in range(1, 101)], "x double, s string")
+    out = A.bootstrap_noise(df)
+    drawn = {r["s"]: r["count"] for r in out.groupBy("s").count().collect()}
+    assert out.count() == 1000 and 300 < drawn["hot"] - 100 < 500
 
 
 def test_split(make):
@@ -294,6 +312,21 @@ def test_split(make):
     assert assign_split(df, "k").exceptAll(assign_split(df.repartition(5), "k")).count() == 0
     counts = {(r["y"], r["split"]): r["count"] for r in assign_split(df, "k", stratify="y").groupBy("y", "split").count().collect()}
     assert counts[("a", "test")] == 20 and counts[("b", "test")] == 180
+    both = assign_split(df, "k", stratify="y")
+    assert both.exceptAll(assign_split(df.repartition(7), "k", stratify="y")).count() == 0
+    assert "Exchange hashpartitioning" not in both._jdf.queryExecution().executedPlan().toString()      # no row is shuffled
+
+
+def test_stratified_split_of_odd_classes(make):
+    """Null and single-row classes, a key that fills a class, shares at both ends."""
+    df = make([(i, None if i < 10 else "one" if i == 10 else "same" if i < 50 else "big") for i in range(5000)], "k int, y string").withColumn(
+        "k", F.when(F.col("y") == "same", 7).otherwise(F.col("k")))
+    for share in (0.0, 0.2, 0.5, 1.0):
+        got = {r["y"]: (r["n"], r["t"]) for r in assign_split(df, "k", share, stratify="y").groupBy("y").agg(
+            F.count("*").alias("n"), F.count(F.when(F.col("split") == "test", 1)).alias("t")).collect()}
+        for y in (None, "big", "one"):
+            assert got[y][1] == int(got[y][0] * share + 0.5)
+        assert got["same"] == (39, 39 if share >= 0.5 else 0)
 
 
 @pytest.mark.parametrize("task, metric", [("classification", "accuracy"), ("regression", "r2")])

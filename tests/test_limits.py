@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tablescope.functions.numeric import rounded_value
 from tablescope.functions.text import format_number
-from tablescope.operators.augment import _spread_draws, smote
+from tablescope.operators.augment import _copies, smote
 from tablescope.operators.charts import ChartError, boxplot, heatmap, histogram
 from tablescope.operators.encode import encode_label
 from tablescope.operators.profile import profile
@@ -57,6 +57,6 @@ def test_few_rows_against_many(spark):
     out = smote(many.unionByName(few), "y")
     got = out.where("y = 'few'")
     assert got.count() == 200_000 and got.where("a between 1 and 3 and b between 1 and 5").count() == 200_000
-    draws = _spread_draws(spark.createDataFrame([("g", 3, 25_001), ("h", 4, 0)], "grp string, size bigint, draws bigint"))
-    assert {r["slot"]: r["count"] for r in draws.groupBy("slot").count().collect()} == {0: 8334, 1: 8334, 2: 8333}
-    assert draws.distinct().count() == 25_001
+    draws = _copies(spark.createDataFrame([("g", 25_001), ("h", 0), ("i", 1)], "grp string, draws bigint"), ["grp"])
+    assert {r["grp"]: r["count"] for r in draws.groupBy("grp").count().collect()} == {"g": 25_001, "i": 1}
+    assert draws.distinct().count() == 25_002 and draws.where("copy between 1 and draws").count() == 25_002
