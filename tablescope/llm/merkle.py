@@ -157,8 +157,8 @@ def manifest(docs: DataFrame, altered: tuple[Column, dict[str, Column]] | None =
     above = None
     for story in reversed(last[:-1]):
         above = _paths(story, above, fan, depth)
-    top = last[-1].select(F.col("node").alias("root"))      # one row
-    ends = subroots.join(top, F.lit(True))
+    top = last[-1].first()      # one row, none of an empty table
+    ends = subroots.withColumn("root", F.lit(top and top["node"]).cast("string"))
     if above is not None:
         ends = ends.join(above.select((F.col("pos") + 1).alias("at"), "path"), F.col("g") == F.col("at")).drop("at")
     else:
