@@ -8,8 +8,9 @@ day-first date whose pseudonym has a day up to 12 is read month-first). A value
 it ("1234 4111 1111 1111 1111"); only such overlapping numbers may turn back wrongly, when the pseudonym makes the failed one valid.
 
 Kinds: payment cards, IBANs, phone numbers, US social security numbers, IPv4 addresses, dates, e-mail addresses (their local part), and
-hexadecimal secrets behind a word such as password or token. Each text is worked on whole, by itself; nothing is shuffled. Defined
-results: null stays null; texts without such values stay as they are; repeated rows come out alike; an empty table gives an empty result.
+secrets behind a word such as password or token (12 or more hexadecimal digits, or letters mixed with digits). Each text is worked on whole, by
+itself, in time that grows with its length; nothing is shuffled. Names and tokens over 256 characters are permuted in parts. A column called
+n_found or found makes the output columns take underscores. Defined results: null stays null; texts without such values stay as they are; repeated rows come out alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 from .shared import free_name
 
 ROUNDS = 8
+PART = 256      # characters of a long name or token that are one number; its parts are permuted one by one
+HEXADECIMAL = re.compile(r"[0-9a-f]{12,}|[0-9A-F]{12,}")
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 
 
@@ -73,6 +76,10 @@ def _refill(shape: str, new: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in shape)
 
 
+def _parts(s: str) -> list[str]:
+    return [s[i:i + PART] for i in range(0, len(s), PART)]
+
+
 def luhn(digits: str) -> int:
     """The check digit that ``digits`` need."""
     total = 0
@@ -193,15 +200,19 @@ class Pseudonyms:
 
     def email(self, s: str) -> str | None:
         local, _, host = s.rpartition("@")
-        return f"{self.mixed(local, 'email')}@{host}"
+        return "".join(self.mixed(x, f"email{i or ''}") for i, x in enumerate(_parts(local))) + "@" + host
 
     def secret(self, s: str) -> str | None:
+        if len(s) > PART or not HEXADECIMAL.fullmatch(s):       # what is hexadecimal stays so, what is not does not become it
+            other = (lambda x: not HEXADECIMAL.fullmatch(x)) if len(s) <= PART else None
+            return "".join(self.mixed(x, f"token{i}", other) for i, x in enumerate(_parts(s)))
         size = 16 ** len(s)
         body = f"{self._p(int(s, 16), f'secret{len(s)}', size):0{len(s)}x}"
         return body if s == s.lower() else body.upper() if s == s.upper() else None
 
 
-NUMBERS = re.compile(r"""(?<![\w.])(?:
+#: A number may stand after a full stop or an underscore, but not after a letter, a digit, or a digit and a full stop.
+NUMBERS = re.compile(r"""(?<![^\W_])(?<!\d\.)(?:
     (?P<address>\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
   | (?P<date>\d{4}-\d\d-\d\d(?=[Tt]\d)|(?:\d{4}-\d\d-\d\d|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]))
   | (?P<social>\d{3}-\d\d-\d{4}(?![\w-]))
@@ -218,8 +229,9 @@ IBAN_LENGTHS = {country: n for n, countries in {
     32: "LC", 33: "RU"}.items() for country in countries.split()}
 IBANS = {n: re.compile(rf"(?P<iban>[A-Z]{{2}}\d\d(?:[ ]?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf"[ ]?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r")\b")
          for n in set(IBAN_LENGTHS.values())}
-EMAIL = re.compile(r"(?P<email>[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
-SECRET = re.compile(r"""(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b["']?\s*[:=]\s*["']?)(?P<secret>[0-9a-f]{12,}|[0-9A-F]{12,})(?![\w])""")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-.")
+HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+SECRET = re.compile(r"""(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b["']?\s*[:=]\s*["']?)(?P<secret>(?:[0-9a-f]{12,}|[0-9A-F]{12,})(?![\w+/=-])|(?=[A-Za-z_+/=-]*+\d)(?=[\d_+/=-]*+[A-Za-z])[\w+/-]{12,}+=*+)(?!\w)""", re.A)
 KINDS = ["card", "iban", "phone", "social", "address", "date", "email", "secret"]
 
 
@@ -266,11 +278,26 @@ def _ibans(text: str, names: Pseudonyms):
         at = hit[1] if hit else m.start() + 1
 
 
+def _emails(text: str, names: Pseudonyms):
+    """Addresses, from each @ outwards: to the left over the dotted words of the name, to the right over the host."""
+    at, end = text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        name = text[start:at]
+        name = name[name.rfind("..") + 2 if ".." in name else 0:].lstrip(".")
+        host = HOST.match(text, at + 1) if name and not name.endswith(".") else None
+        if host:
+            end = host.end()
+            yield at - len(name), end, "email", names.email(name + "@" + host[0])
+        at = text.find("@", max(at + 1, end))
+
+
 def replace(text: str, names: Pseudonyms, found: dict[str, int] | None = None) -> str:
-    hits = [*_numbers(text, names), *_ibans(text, names)]
-    for sign, pattern in (("@", EMAIL), ("=", SECRET), (":", SECRET)):
-        if sign in text:
-            hits += filter(None, (_checked(m, names) for m in pattern.finditer(text)))
+    hits = [*_numbers(text, names), *_ibans(text, names), *_emails(text, names)]
+    if "=" in text or ":" in text:
+        hits += filter(None, (_checked(m, names) for m in SECRET.finditer(text)))
     out, at = [], 0
     for start, end, kind, new in sorted(hits, key=lambda h: (h[0], -h[1])):
         if start < at:
