@@ -8,7 +8,9 @@ first letters, hashed.
 The fit uses a bounded sample of ids (``positives`` and ``unlabelled`` of them, those with the smallest hash; of
 an id's rows one text stands for it); the prior is a count over all
 labels of the training part. Scores use every word of every text. Defined results: null and empty texts get the score of a text
-without known words; repeated rows score alike; null labels and null ids teach nothing; without a positive the score is the prior.
+without known words; repeated rows score alike; null labels and null ids teach nothing; without a positive the
+score is the prior; very long texts are scored whole, in one array of words; empty tables give empty results; a column called score makes the
+output column take underscores.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..session import in_parallel
 from .kernel import chunks, mix, spans, word_hashes
-from .shared import quoted
+from .shared import free_name, quoted
 
 BITS = 18
 STEM = 5
@@ -149,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score", keep_text: bool = False) -> DataFrame:
-    """``docs`` (without its text unless ``keep_text``) plus ``name``, from 0 to 1."""
+    """``docs`` (without its text unless ``keep_text``) plus ``name``, from 0 to 1; where ``docs`` has such a column, with underscores in front."""
+    name = free_name(docs, name)
     kept = [c for c in docs.columns if keep_text or c != text]
     schema = T.StructType([docs.schema[c] for c in kept]).add(name, "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)       # 1 MB

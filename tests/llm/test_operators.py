@@ -412,8 +412,8 @@ def test_toxicity_held_out(spark, documents, odd):
     got = toxicity.scored(docs.where(held), model).join(labels, "doc_id").select("score", "toxic").toPandas()
     hit = (got.score >= 0.5) & (got.toxic == 1)
     assert hit.sum() / (got.toxic == 1).sum() > 0.8 and hit.sum() / (got.score >= 0.5).sum() > 0.8
-    out = toxicity.scored(documents(odd), model, name="s")
-    assert out.count() == len(odd) and out.where("s between 0 and 1").count() == len(odd)
+    out = toxicity.scored(documents(odd), model)
+    assert out.count() == len(odd) and out.where("_score between 0 and 1 and score = 'x'").count() == len(odd)
     none = toxicity.fit(docs, labels.where("toxic = 0"), ~held)
     assert toxicity.scored(documents(odd), none, name="s").select("s").distinct().count() == 1
 
