@@ -5,7 +5,8 @@ text hashed (SHA-256). The keys that survive a level travel as a bitmap of bound
 
 Texts are equal when identical after lower-casing A-Z. Defined results: a null text counts as empty; of equal texts the row with
 the largest id stays, and rows that repeat that id stay with it, as they are one document; null ids lose to any id, and a group of
-null ids only keeps all of them; an empty table gives an empty result.
+null ids only keeps all of them; an empty table gives an empty result; very long texts are hashed where they are read; only the id and text
+columns are read, so further columns change nothing, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     alone = hashed.where(~F.col("_together")).select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
                                                      F.lit(True).alias("kept"), *last)
     groups = hashed.where("_together").groupBy(F.col("_digest").alias("_d")).agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
-    # A single row per text on the right; adaptive execution splits the rows of a hot text on the left.
+    # A single row per text on the right, written before the join: only then is a hot text on the left split by adaptive execution.
+    groups = materialize(groups, "groups")
     several = hashed.where("_together").join(groups, F.col("_digest") == F.col("_d")).select(
         "_id", "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), *last)
     out = alone.unionByName(several).withColumnRenamed("_id", id_col)
