@@ -84,7 +84,6 @@ SPELLINGS = [
     ("modifications", "modification"), ("https", "http"), ("v2 0", "version 2 0"), ("v3", "version 3"), ("v 2 0", "version 2 0"),
 ]
 MARKERS = "licen[cs]e|permission|permitted|domain|software"
-SQL_MARKERS = "licen[cs]e|permission|permitted|public domain|free software"
 COPYRIGHT_LINE = r"(^|\n)[^\n]*(copyright[ :]*([(]c[)]|\x{a9}|[0-9]{4})|([(]c[)]|\x{a9}) *[0-9]{4}|all rights reserved)[^\n]*"
 NO_WORD = r"[^\p{L}\p{N}]+"
 
@@ -136,6 +135,6 @@ with known(license_id, t) as (values {values}),
                union all
                select doc_id, 'line', unnest(string_split(text, chr(10))) from documents where contains(text, chr(10)))
 select doc_id, license_id, scope, count(*) as matches
-from (select doc_id, scope, sha256({canonical_sql("unit")}) as digest from units where regexp_matches(lower(unit), '{SQL_MARKERS}')) join digests using (digest)
+from (select doc_id, scope, sha256({canonical_sql("unit")}) as digest from units) join digests using (digest)
 group by doc_id, license_id, scope
 """
