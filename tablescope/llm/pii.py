@@ -231,7 +231,7 @@ IBANS = {n: re.compile(rf"(?P<iban>[A-Z]{{2}}\d\d(?:[ ]?[A-Z0-9]{{4}}){{{n // 4
          for n in set(IBAN_LENGTHS.values())}
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-.")
 HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-SECRET = re.compile(r"""(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b["']?\s*[:=]\s*["']?)(?P<secret>(?:[0-9a-f]{12,}|[0-9A-F]{12,})(?![\w+/=-])|(?=[A-Za-z_+/=-]*+\d)(?=[\d_+/=-]*+[A-Za-z])[\w+/-]{12,}+=*+)(?!\w)""", re.A)
+SECRET = re.compile(r"""(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b["']?\s*[:=]\s*["']?)(?P<secret>(?:[0-9a-f]{12,}|[0-9A-F]{12,})(?![\w+/=-])|(?=[A-Za-z_+/-]*+\d)(?=[\d_+/-]*+[A-Za-z])[\w+/-]{12,}+=*+)(?!\w)""", re.A)
 KINDS = ["card", "iban", "phone", "social", "address", "date", "email", "secret"]
 
 

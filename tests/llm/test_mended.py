@@ -9,10 +9,11 @@ from tablescope.llm import pii
 
 @pytest.mark.parametrize("word", ["a", "a.", "7", "AA11 ", "9.", "a-", "token=", "4111 ", "+1"])
 def test_long_words_take_linear_time(word):
-    text = word * (10_000_000 // len(word)) + " x@y.com token=" + "ab12" * 3
+    size = 10_000_000 if word in ("a", "a.", "7") else 500_000
+    text = word * (size // len(word)) + " x@y.com token=" + "ab12" * 3
     began = time.time()
-    new = pii.replace(text if word != "4111 " else text[:1_000_000], pii.Pseudonyms(b"k"))
-    assert time.time() - began < 60 and len(new) <= len(text)
+    new = pii.replace(text, pii.Pseudonyms(b"k"))
+    assert time.time() - began < 20 and len(new) == len(text) and "x@y.com" not in new
 
 
 def test_a_long_name_turns_back():
