@@ -134,6 +134,18 @@ def rows_to_add(n: int) -> int:
     return min(max(2 * n, 1000) - n, 4 * n)
 
 
+def _split(seed: int, level: int):
+    """The draws of one node dealt to its children, at most FAN of them."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        held = table.column("held").to_numpy().astype(float)
+        random = np.random.default_rng([seed, level, int(table.column("parent")[0].as_py())])
+        return pa.table({"bucket": table.column("bucket"), "held": table.column("held"),
+                         "draws": random.multinomial(int(table.column("draws")[0].as_py()), held / held.sum())})
+
+    return run
+
+
 def _shared_out(sizes: DataFrame, draws: int, seed: int) -> DataFrame:
     """(bucket, draws): ``draws`` dealt to the buckets (bucket, held) in proportion to what they hold, as drawing one by one would.
 
@@ -149,13 +161,7 @@ def _shared_out(sizes: DataFrame, draws: int, seed: int) -> DataFrame:
         below, at = levels.pop(), len(levels)
         children = below.join(given.select(F.col("bucket").alias("parent"), "draws"), F.floor(F.col("bucket") / FAN) == F.col("parent"))
 
-        def split(table: pa.Table, level=depth - at) -> pa.Table:
-            table = table.sort_by("bucket")
-            held, left = table.column("held").to_numpy().astype(float), int(table.column("draws")[0].as_py())
-            random = np.random.default_rng([seed, level, int(table.column("parent")[0].as_py())])
-            return pa.table({"bucket": table.column("bucket"), "held": table.column("held"), "draws": random.multinomial(left, held / held.sum())})
-
-        given = materialize(children.groupBy("parent").applyInArrow(split, "bucket bigint, held bigint, draws bigint"), "given")
+        given = materialize(children.groupBy("parent").applyInArrow(_split(seed, depth - at), "bucket bigint, held bigint, draws bigint"), "given")
     return given.select("bucket", "draws")
 
 
