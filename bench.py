@@ -9,6 +9,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 from tablescope.queries import REGISTRY
@@ -35,7 +36,8 @@ HEADLINES = {
         "duplicate_pct", "column_profile", "value_ranks", "exact_quantiles", "pair_correlations", "numeric_distributions", "bias_figures",
         "missing_median", "missing_mode", "missing_iterative", "missing_smart_dirty", "remove_duplicates", "scale_robust", "outliers_iqr", "encode_label",
         "skew_yeojohnson", "prep_steps", "smote", "bootstrap_noise", "chart_histogram", "chart_area", "chart_heatmap", "chart_boxplot",
-        "search", "similarity_topk", "search_semantic", "read_csv_resilient", "baseline_model")},
+        "search", "similarity_topk", "search_semantic", "read_csv_resilient", "baseline_model", "missing_knn_customer", "similarity_topk_batch",
+        "missing_iterative_single", "stratified_split", "read_csv_multiline")},
 }
 
 
@@ -43,7 +45,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     spark = get_spark("bench", f"local[{cpus}]", spark__sql__shuffle__partitions=str(cpus), spark__ui__enabled="false",
-                      spark__ui__showConsoleProgress="false", spark__driver__memory=os.environ.get("BENCH_MEMORY", "8g"))
+                      spark__ui__showConsoleProgress="false", spark__driver__memory=os.environ.get("BENCH_MEMORY", "8g"), spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"))
     spark.sparkContext.setLogLevel("ERROR")
     table(spark, sf_dir, "nation").count()      # session start is not part of any query
     only = sys.argv[1:]

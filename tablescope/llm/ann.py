@@ -8,6 +8,7 @@ rows, and the visits are widened until the leaves visited hold the wanted share
 Vectors that are null, empty, zero, hold null or non-finite components, or have another dimension than most, take no part. Of rows
 that repeat a query's id the smallest vector is the query, and none of them is its neighbour. Ties go to the smaller id. An empty
 table gives an empty result; queries with fewer candidates than wanted get all.
+Only the id and vector columns are read, so further columns change nothing, whatever their names.
 """
 
 from __future__ import annotations

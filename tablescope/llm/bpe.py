@@ -5,7 +5,8 @@ token for each prefix is enough: the ids are read off backwards, bytes appended
 table is recomputed from the edit until it agrees again with the old one over the longest token's length.
 
 Spark deals out the texts; a task encodes whole texts with these functions. Defined results: a null text counts as empty, an empty
-text has no ids; repeated rows are encoded each; any length of text is encoded whole; an empty table gives an empty result.
+text has no ids; repeated rows are encoded each; any length of text is encoded whole; an empty table gives an empty result; columns
+that have the names of output columns make these take underscores.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ is its share of the letters.
 
 Counts come from every training row (a task adds up its rows, Spark sums by language and feature); the model, at most 2^BITS
 numbers a language, is broadcast. Defined results: a text that is null or has no letter is ``und`` with score 0; ties go to the
-smaller label; without training rows every text is ``und``; repeated rows are labelled alike; whole texts of any length count.
+smaller label; without training rows every text is ``und``; repeated rows are labelled alike; whole texts of any length count; an empty
+table gives an empty result; columns called lang_pred, score or spans make the output columns take underscores.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ are looked up, and every single line as a text of its own, so that one-line noti
 
 Only texts that hold a word which every known licence has (``markers``, checked against the canonical known texts; without such words all
 texts go on) are brought to canonical form. They must be single words: what is between two words may be anything that the form takes out. Defined results: null and empty texts match nothing; rows that repeat an id count together, a null id
-is an id; an empty table gives an empty result; equal digests of known texts go to the smaller name.
+is an id; an empty table gives an empty result; equal digests of known texts go to the smaller name; very long texts are brought to
+canonical form whole; only the id and text columns are read, so further columns change nothing.
 """
 
 from __future__ import annotations

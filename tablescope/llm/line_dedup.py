@@ -11,7 +11,8 @@ stop at the lines that a shortest run has, at most log2(min_words) rounds.
 
 Earlier means: smaller id (null last), then text hash, then line. Blank lines are no part of a run; one that follows a deleted line goes
 with it. Defined results: null texts stay null; empty texts stay; rows with equal id and text are one document and are treated alike;
-runs may overlap themselves (of a line said over and over, the first stays); an empty table gives an empty result.
+runs may overlap themselves (of a line said over and over, the first stays); an empty table gives an empty result; very long texts are
+lines like others, a document's at once in a task; columns called n_lines or n_deleted make the output columns take underscores.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ runs out is found from those sums, and only that bucket is split further, until
 ``hash <= threshold`` - no sort, and the same rows at every rerun.
 
 Defined results: null or empty texts have size 0 and take 0; a null source is a source of its own, ordered last; rows that
-agree in id and text share a hash and are taken or left together; an empty table gives an empty result. Budgets are nested: a
+agree in id and text share a hash and are taken or left together; an empty table gives an empty result; very long texts are counted whole; columns that
+have the names of output columns make these take underscores. Budgets are nested: a
 smaller budget takes a subset of what a larger one takes. A whole row is taken or left, so a source misses its target by
 at most half the size of the row (or of the equal rows) at its threshold.
 """

@@ -30,6 +30,7 @@ class AugmentReport:
     rows_after: int = 0
     rows_added: int = 0
     summary: str = ""
+    classes: DataFrame | None = None        # (value, before, after) of a classification target
 
 
 def _unit(*parts: Column) -> Column:
@@ -221,8 +222,12 @@ def augment(df: DataFrame, target: str, task: str = "classification", method: st
         out = smote(df, target, seed=seed) if method == "smote" else bootstrap_noise(df, seed=seed)
     except ValueError as problem:
         return None, AugmentReport(False, method, before, before, 0, str(problem))
-    after = out.count()
-    return out, AugmentReport(True, method, before, after, after - before, f"{after - before} rows added by {method}")
+    after, classes = out.count(), None
+    if task == "classification":
+        counts = class_distribution(df, target).select("value", F.col("count").alias("before"), F.lit(0).cast("bigint").alias("after")).unionByName(
+            class_distribution(out, target).select("value", F.lit(0).cast("bigint").alias("before"), F.col("count").alias("after")))
+        classes = counts.groupBy("value").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
+    return out, AugmentReport(True, method, before, after, after - before, f"{after - before} rows added by {method}", classes)
 
 
 def augment_gate(metrics: DataFrame, bias: DataFrame, recommendation: DataFrame) -> DataFrame:

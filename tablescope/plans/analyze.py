@@ -6,8 +6,9 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from ..operators.profile import Profile, drop_empty, profile
+from ..operators.profile import Profile, drop_empty, preview, profile
 from ..session import in_parallel
 from .bias import bias_warnings, numeric_figures
 from .insights import insights
@@ -30,6 +31,12 @@ class Analysis:
     next_steps: DataFrame
 
 
+def previews(tables: dict[str, DataFrame], n: int = 20) -> dict[str, DataFrame]:
+    """The first rows of every analysed table, in the order of their columns, ready for JSON."""
+    kept = {name: drop_empty(df) for name, df in tables.items()}
+    return {name: preview(df, n, [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]) for name, df in kept.items()}
+
+
 def analyze(tables: dict[str, DataFrame], approx: bool = False) -> Analysis:
     """Every judgement of every table, keyed by ``dataset_id``.
 

@@ -49,6 +49,8 @@ QUERIES = {
       select 'quality' as target, true as success, 'smote' as method, n as rows_before, cast(full_size as bigint) as rows_after, cast(full_size - n as bigint) as rows_added from n, k
       union all select 'n_chars', true, 'bootstrap', n, n + least(greatest(2 * n, 1000) - n, 4 * n), least(greatest(2 * n, 1000) - n, 4 * n) from n
       union all select 'no_such_column', false, '', 0, 0, 0"""),
+    "augment_classes": (lambda s, d: augment(_labeled(s, d), "quality")[1].classes,
+                        f"with c as (select cast(quality as varchar) as value, count(*) as before from {_L} t group by 1) select value, before, (select max(before) from c) as after from c"),
     "smote": (lambda s, d: tidy(smote(_labeled(s, d), "quality")), None),
     "smote_classes": (lambda s, d: class_distribution(smote(_labeled(s, d), "quality"), "quality"),
                       f"with c as (select cast(quality as varchar) as value, count(*) as k from {_L} t group by 1) select value, (select max(k) from c) as count from c"),

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import json_safe
 from ..operators.profile import preview, row_cap
+from ..plans.analyze import analyze
 from ..session import scratch_path
 from ..sources import catalog as G
 from ..sources.csv_source import read_csv
 from ..sources.files import discover_files
-from ..sources.store import load_profile, profile_once, save_profile, write
+from ..sources.store import load_analysis, load_profile, profile_once, save_analysis, save_profile, write
+from . import judge as J
 from . import sqlprofile as S
-from .base import derived, r, read, tidy
+from .base import JUDGED, derived, r, read, table, tidy
 from .profiling import profile_of
 
 # ---- CSV ---------------------------------------------------------------------------
@@ -100,6 +102,16 @@ def _store_once(s, d):
     return tidy(profile_once(read(s, d, "labels"), "labels", root).columns)
 
 
+def _analysis_stored(s, d):
+    """Whole analyses, one of them stored twice: only its last version counts."""
+    root = scratch_path(s, "analyses")
+    whole = analyze({name: table(s, d, name) for name in JUDGED})
+    save_analysis(whole, root)
+    save_analysis(analyze({"labels": table(s, d, "labels")}), root)
+    back = load_analysis(s, root)
+    return back.score.select("dataset_id", "score", "quality")
+
+
 # ---- catalogue records: one raw JSON record per document, page or conversation turn -------
 
 
@@ -162,6 +174,7 @@ def _union(s, d):
 _EV = f"select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when microsecond(ts) % 1000000 = 0 then '' else '.' || lpad(cast(microsecond(ts) % 1000000 as varchar), 6, '0') end as ts, user_id, event_type, {r('value', 4)} as value, props from events"
 
 QUERIES = {
+    "analysis_stored": (_analysis_stored, J.QUERIES["quality_overall"][1]),
     "read_csv_resilient": (_csv, "select c_custkey, 'Zoë ' || c_name as c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, c_mktsegment from customer"),
     "read_csv_plain": (_csv_plain, f"select o_orderkey, o_orderstatus, {r('o_totalprice', 6)} as o_totalprice, o_totalprice > 300000 as is_large, o_orderpriority, cast(null as varchar) as note from orders"),
     "read_csv_multiline": (_csv_multiline, "select o_orderkey, concat(o_orderstatus, chr(10), '\"', o_orderpriority, '\", x') as note, cast(o_custkey as bigint) as o_custkey from orders"),

@@ -13,11 +13,11 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tablescope.session import get_spark
 
     session = get_spark("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
-                        spark__ui__showConsoleProgress="false", spark__driver__memory="4g")
+                        spark__ui__showConsoleProgress="false", spark__driver__memory="4g", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
