@@ -2,40 +2,62 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
+_WHOLE = 1 << 50        # bytes of a split, and the cost of opening a file: every file is a partition of its own
+_LOOK = 64              # characters of a line that tell a web page
+_FIRST = "path string, length bigint, line string"
+
+
+def _first_line(batches):
+    """The first line with text of the one file in this partition; the rest of the file is not asked for."""
+    seen = None
+    for batch in batches:
+        for path, length, line in zip(*(c.to_pylist() for c in batch.columns)):
+            seen = (path, length, line)
+            if line.strip():
+                break
+        else:
+            continue
+        break
+    if seen:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(seen, (pa.string(), pa.int64(), pa.string()))], names=["path", "length", "line"])
 
-def _is_page(spark: SparkSession, path: str) -> bool:
-    """Whether the first line with text opens a web page; no more of the file is read than it takes to find it."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    return bool(first) and first[0][0].lstrip()[:50].lower().startswith(("<!doctype", "<html"))
+
+def first_lines(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+    """(path, length, line) of every file under ``root`` that is not empty: the start of its first line with text.
+
+    One job with a short task per file, whatever the number of folders. A session of its own carries the settings
+    that keep files whole and batches small, so that a task stops reading after the first lines.
+    """
+    own = spark.newSession()
+    for name, value in (("spark.sql.files.maxPartitionBytes", _WHOLE), ("spark.sql.files.openCostInBytes", _WHOLE),
+                        ("spark.sql.files.maxPartitionNum", (1 << 31) - 1), ("spark.sql.execution.arrow.maxRecordsPerBatch", 16)):
+        own.conf.set(name, str(value))
+    lines = own.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(root)
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))      # the path is a URI, in which a plus sign stands for itself
+    start = lines.where("_metadata.file_size > 0").select(name.alias("path"), F.col("_metadata.file_size").alias("length"),
+                                                          F.substring(F.ltrim("value"), 1, _LOOK).alias("line"))
+    path = scratch_path(spark, "first-lines")
+    start.mapInArrow(_first_line, _FIRST).write.parquet(path)
+    return spark.read.schema(_FIRST).parquet(path)
 
 
 def discover_files(spark: SparkSession, root: str, max_bytes: int | None = None, pattern: str = "*.csv") -> DataFrame:
-    """(dataset, path, length): the largest usable file per first-level folder.
+    """(dataset, path, length): the largest usable file per first-level folder, the first by path on ties.
 
-    Empty files, saved HTML pages and, with ``max_bytes``, larger files are passed over. Sizes come from the listing alone; only the
-    first line is read, of the largest file of each folder, and of the next one when that turns out to be a web page.
+    Empty files, saved HTML pages and, with ``max_bytes``, larger files are passed over. Neither paths nor lines
+    come to the driver, and the number of jobs does not depend on the number of folders.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("/")[-1]
-    listing = (files.select("path", "length", F.regexp_extract("path", f"/{base}/([^/]+)/", 1).alias("dataset"))
-               .where(F.col("length") > 0))
+    line = F.lower(F.regexp_replace("line", r"^\s+", ""))
+    usable = first_lines(spark, root, pattern).where(~(line.startswith("<!doctype") | line.startswith("<html")))
     if max_bytes is not None:
-        listing = listing.where(F.col("length") <= max_bytes)
-    order = Window.partitionBy("dataset").orderBy(F.desc("length"), "path")      # files of one folder
-    pages: list[str] = []
-    while True:
-        best = (listing.where(~F.col("path").isin(pages)) if pages else listing).withColumn(
-            "rn", F.row_number().over(order)).where("rn = 1").select("dataset", "path", "length")
-        paths = [r["path"] for r in best.collect()]                              # one per dataset
-        if not paths:
-            return best
-        with ThreadPoolExecutor(max_workers=16) as pool:
-            found = [p for p, page in zip(paths, pool.map(lambda p: _is_page(spark, p), paths)) if page]
-        if not found:
-            return best
-        pages += found
+        usable = usable.where(F.col("length") <= max_bytes)
+    dataset = F.regexp_extract("path", rf"/\Q{base}\E/([^/]+)/", 1)
+    best = usable.groupBy(dataset.alias("dataset")).agg(F.min(F.struct((-F.col("length")).alias("less"), "path")).alias("best"))
+    return best.select("dataset", "best.path", (-F.col("best.less")).alias("length"))

@@ -9,7 +9,7 @@ from tablescope.plans import search as S
 from tablescope.session import scratch_path
 from tablescope.sources import catalog as G
 from tablescope.sources.csv_source import UnreadableFileError, read_csv
-from tablescope.sources.files import discover_files
+from tablescope.sources.files import discover_files, first_lines
 from tablescope.sources.store import load_profile, profile_once, save_profile, write
 
 AS_OF = "2024-06-30 00:00:00"
@@ -173,6 +173,29 @@ def test_discovery(spark, tmp_path):
     assert got == {"one": "large.csv", "two": "fine.csv"}
 
 
+def test_discovery_takes_no_job_per_folder(spark, tmp_path):
+    def jobs(folders, label):
+        for i in range(folders):
+            _file(tmp_path, f"{label}/set {i}/page.csv", b"\n \n\t<HTML>" + b"\nx" * 500)
+            _file(tmp_path, f"{label}/set {i}/a.csv", b"a\n" + b"1\n" * (i + 1))
+            _file(tmp_path, f"{label}/set {i}/b.csv", b"a\n" + b"1\n" * (i + 1))
+        spark.sparkContext.setJobGroup(label, label)
+        try:
+            found = {r["dataset"]: (r["path"].split("/")[-1], r["length"]) for r in discover_files(spark, str(tmp_path / label)).collect()}
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert found == {f"set {i}": ("a.csv", 2 * i + 4) for i in range(folders)}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(label))
+
+    assert jobs(60, "many+") <= jobs(12, "few") + 1
+
+
+def test_discovery_reads_only_the_start_of_a_file(spark, tmp_path):
+    _file(tmp_path, "big/one/a.csv", b"a,b\n" + b"1,2\n" * 3_000_000)
+    first = first_lines(spark, str(tmp_path / "big"))
+    assert [tuple(r)[1:] for r in first.collect()] == [(12_000_004, "a,b")]
+
+
 def test_catalogue_records(make):
     raw = make([('{"ref": "me/set", "title": "T", "totalBytes": 2048}',), ('{"ref": "x", "totalBytes": 999999999999}',)], "record string")
     assert G.normalize_kaggle(raw).count() == 2       # no limit on sizes unless one is given
