@@ -16,7 +16,7 @@ from ..session import in_parallel, local_table
 from .correlations import correlations
 from .histograms import Bins, histogram_counts, log_bins, top_values
 from .stats import ColumnStats, column_stats
-from .value_counts import distinct_counts, families, short_key
+from .value_counts import counted, distinct_counts, families
 
 METRICS = "dataset_id string, rows bigint, columns int, missing_pct double, duplicate_pct double"
 COLUMNS = "dataset_id string, position int, name string, type string, null_count bigint, unique_count bigint"
@@ -122,8 +122,8 @@ def _simple_type(f: T.StructField) -> str | None:
     return None     # text: depends on the values
 
 
-def _types_and_uniques(df: DataFrame, approx: bool, formats: list[str] | None) -> DataFrame:
-    """(column, unique_count, all_dates) - dates are tested on distinct values only."""
+def _types_and_uniques(df: DataFrame, approx: bool, formats: list[str] | None, digest: bool) -> DataFrame:
+    """(column, unique_count, all_dates) - dates are tested on distinct values only, on all where texts are counted by digest."""
     text = text_columns(df)
     other = [c for c in df.columns if c not in text]
     parts = []
@@ -131,19 +131,19 @@ def _types_and_uniques(df: DataFrame, approx: bool, formats: list[str] | None) -
         parts.append(distinct_counts(df, other, approx).withColumn("all_dates", F.lit(False)))
     if text:
         [(_, long)] = families(df, text)
-        dated = looks_like_date(F.col("value"), formats)
+        dated, dated_key = looks_like_date(F.col("value"), formats), looks_like_date(F.col("key"), formats)
         if approx:
             parts.append(long.groupBy("column").agg(F.approx_count_distinct("value").alias("unique_count"),
                                                     F.bool_and(dated).alias("all_dates")))
         else:
-            # A fingerprint of a long text never reads as a date, nor would the text.
-            keys = long.groupBy("column", short_key(F.col("value")).alias("value")).agg(F.lit(1))
-            parts.append(keys.groupBy("column").agg(F.count("*").alias("unique_count"), F.bool_and(dated).alias("all_dates")))
+            keys = long.groupBy("column", counted(F.col("value"), "string", digest).alias("key"))
+            keys = keys.agg(F.bool_and(dated).alias("dated")) if digest else keys.agg(F.lit(1)).select("column", dated_key.alias("dated"))
+            parts.append(keys.groupBy("column").agg(F.count("*").alias("unique_count"), F.bool_and("dated").alias("all_dates")))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _column_rows(df: DataFrame, approx: bool, formats: list[str] | None, stats: ColumnStats) -> list[dict]:
-    found = {r["column"]: r for r in _types_and_uniques(df, approx, formats).collect()}   # one row per column
+def _column_rows(df: DataFrame, approx: bool, formats: list[str] | None, stats: ColumnStats, digest: bool = False) -> list[dict]:
+    found = {r["column"]: r for r in _types_and_uniques(df, approx, formats, digest).collect()}   # one row per column
     rows = []
     for i, f in enumerate(df.schema.fields):
         got = found.get(f.name)
@@ -161,10 +161,10 @@ def column_types(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
                        "name string, type string")
 
 
-def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
-    """(position, name, type, null_count, unique_count)."""
+def column_profile(df: DataFrame, approx: bool = False, digest: bool = False) -> DataFrame:
+    """(position, name, type, null_count, unique_count). Texts are told apart by themselves, with ``digest`` by their SHA-256."""
     df = fold_nan(df)
-    rows = _column_rows(df, approx, None, column_stats(df, [], ()))
+    rows = _column_rows(df, approx, None, column_stats(df, [], ()), digest)
     return local_table(df.sparkSession, rows, COLUMNS.split(", ", 1)[1])
 
 
@@ -218,12 +218,13 @@ def distributions(df: DataFrame, max_numeric: int = 8, max_categorical: int = 4)
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def profile(df: DataFrame, dataset_id: str, approx: bool = False, warnings: list[str] | None = None) -> Profile:
+def profile(df: DataFrame, dataset_id: str, approx: bool = False, warnings: list[str] | None = None, digest: bool = False) -> Profile:
     """Profile one table into small tables keyed by ``dataset_id``.
 
     Five column-pruned scans whatever the number of columns: first counts and
     moments, then side by side row hashes, typed value counts, correlation sums
-    and histogram bins. Only per-column results reach the driver; rows never do.
+    and histogram bins. Only per-column results reach the driver; rows never do. With ``digest``
+    texts are counted by their SHA-256, so that long ones are not shuffled.
     """
     spark = df.sparkSession
     df = fold_nan(df)
@@ -242,7 +243,7 @@ def profile(df: DataFrame, dataset_id: str, approx: bool = False, warnings: list
     collected = lambda part: part.collect() if part is not None else []         # at most 8 x 10 + 4 x 11 rows
 
     def columns_and_categories():
-        columns = _column_rows(df, approx, None, stats)
+        columns = _column_rows(df, approx, None, stats, digest)
         uniques = {r["name"]: r["unique_count"] for r in columns}
         return columns, collected(categorical_distributions(df, uniques))
 

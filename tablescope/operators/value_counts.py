@@ -49,14 +49,10 @@ def typed_counts(df: DataFrame, columns: list[str] | None = None) -> list[tuple[
             for kind, long in families(df, columns)]
 
 
-LONG_TEXT = 64      # longer texts are counted by a 128-bit fingerprint
-
-
-def short_key(value: Column) -> Column:
-    """The text itself, or for a long one two independent 64-bit hashes: counting
-    distinct documents then shuffles a few bytes per document, not the documents."""
-    marked = F.concat_ws("#", F.lit(""), F.hex(F.xxhash64(value)), F.hex(F.xxhash64(F.lit("second"), value)))
-    return F.when(F.length(value) <= LONG_TEXT, value).otherwise(marked)
+def counted(value: Column, kind: str, digest: bool) -> Column:
+    """What tells values apart: the value itself, or with ``digest`` the SHA-256 of a text, of every length. Counting distinct
+    documents by digest shuffles 64 characters per document, not the documents."""
+    return F.sha2(value, 256) if digest and kind == "string" else value
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -66,14 +62,13 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """(column, unique_count) of non-null values."""
+def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: bool = False, digest: bool = False) -> DataFrame:
+    """(column, unique_count) of non-null values: exact, of texts by their digests, or estimated."""
     if approx:
         parts = [long.groupBy("column").agg(F.approx_count_distinct("value").alias("unique_count"))
                  for _, long in families(df, columns)]
     else:
-        key = lambda kind: short_key(F.col("value")) if kind == "string" else F.col("value")
-        parts = [long.groupBy("column", key(kind).alias("key")).agg(F.lit(1)).groupBy("column").agg(F.count("*").alias("unique_count"))
+        parts = [long.groupBy("column", counted(F.col("value"), kind, digest).alias("key")).agg(F.lit(1)).groupBy("column").agg(F.count("*").alias("unique_count"))
                  for kind, long in families(df, columns)]
     return reduce(DataFrame.unionByName, parts)
 

@@ -37,16 +37,17 @@ def previews(tables: dict[str, DataFrame], n: int = 20) -> dict[str, DataFrame]:
     return {name: preview(df, n, [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]) for name, df in kept.items()}
 
 
-def analyze(tables: dict[str, DataFrame], approx: bool = False) -> Analysis:
+def analyze(tables: dict[str, DataFrame], approx: bool = False, digest: bool = False) -> Analysis:
     """Every judgement of every table, keyed by ``dataset_id``.
 
     One set of rules runs over the union of the small profile tables, however
-    many tables are given.
+    many tables are given. With ``digest`` texts are counted by their SHA-256, so that long ones are not shuffled.
     """
     def one(dataset_id: str, df: DataFrame) -> tuple[Profile, DataFrame, DataFrame]:
         df = drop_empty(df)
         found, figures, facts = in_parallel(
-            df.sparkSession, lambda: profile(df, dataset_id, approx), lambda: numeric_figures(df), lambda: text_facts(df))
+            df.sparkSession, lambda: profile(df, dataset_id, approx, digest=digest), lambda: numeric_figures(df),
+            lambda: text_facts(df, digest))
         uniques = {r["name"]: r["unique_count"] for r in found.columns.collect()}       # one row per column
         roles = column_roles(df, dataset_id, uniques, found.metrics.first()["rows"], facts)
         target = recommend(roles).first()["target"]

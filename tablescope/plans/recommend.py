@@ -10,35 +10,36 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import fold_nan, is_numeric, is_text, quoted, rounded_value
 from ..operators.profile import DATE_FORMATS
-from ..operators.value_counts import distinct_counts, families, short_key
+from ..operators.value_counts import counted, distinct_counts, families
 from ..session import local_table
 from .rules import DEFAULT_USE_CASES, DOMAIN_PARTS, MODELS, TARGET_PARTS, USE_CASES
 
 ROLES = ("dataset_id string, position int, name string, role string, unique_count bigint, avg_length double, rows bigint")
 
 
-def _text_facts(df: DataFrame, text: list[str]) -> dict[str, dict]:
-    """Per text column: distinct values, mean length, and whether one single date
-    layout reads every value (the layouts are tried on distinct values only)."""
+def _text_facts(df: DataFrame, text: list[str], digest: bool) -> dict[str, dict]:
+    """Per text column: distinct values, mean length, and whether one single date layout reads every value (the
+    layouts are tried on distinct values only; on all where texts are counted by digest)."""
     [(_, long)] = families(df, text)
-    one_layout = [F.bool_and(F.col("value").try_cast("timestamp").isNotNull())]
-    one_layout += [F.bool_and(F.try_to_timestamp("value", F.lit(f)).isNotNull()) for f in DATE_FORMATS]
-    rows = (
-        long.groupBy("column", short_key(F.col("value")).alias("value"))
-        .agg(F.count("*").alias("count"), F.sum(F.length("value").cast("bigint")).alias("length"))
-        .groupBy("column").agg(
-            F.count("*").alias("unique_count"),
-            (F.sum("length") / F.sum("count").cast("double")).alias("avg_length"),
-            reduce(lambda a, b: a | b, one_layout).alias("dated"))
-    )
+    layouts = [F.col("value").try_cast("timestamp").isNotNull(), *[F.try_to_timestamp("value", F.lit(f)).isNotNull() for f in DATE_FORMATS]]
+    totals = [F.count("*").alias("count"), F.sum(F.length("value").cast("bigint")).alias("length")]
+    if digest:
+        tried = [F.bool_and(c).alias(f"d{i}") for i, c in enumerate(layouts)]
+        keys = long.groupBy("column", counted(F.col("value"), "string", True).alias("key")).agg(*totals, *tried)
+        layouts = [F.col(f"d{i}") for i in range(len(layouts))]
+    else:
+        keys = long.groupBy("column", "value").agg(*totals)
+    rows = keys.groupBy("column").agg(
+        F.count("*").alias("unique_count"), (F.sum("length") / F.sum("count").cast("double")).alias("avg_length"),
+        reduce(lambda a, b: a | b, [F.bool_and(c) for c in layouts]).alias("dated"))
     return {r["column"]: r.asDict() for r in rows.collect()}      # one row per column
 
 
-def text_facts(df: DataFrame) -> dict[str, dict]:
+def text_facts(df: DataFrame, digest: bool = False) -> dict[str, dict]:
     """Facts of all text columns, learnt in one job."""
     df = fold_nan(df)
     text = [f.name for f in df.schema.fields if is_text(f)]
-    return _text_facts(df, text) if text else {}
+    return _text_facts(df, text, digest) if text else {}
 
 
 def column_roles(df: DataFrame, dataset_id: str = "table", uniques: dict[str, int] | None = None, rows: int | None = None,

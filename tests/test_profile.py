@@ -150,6 +150,14 @@ def test_long_texts_are_counted_once_each(make):
     assert distinct_counts(df).first()["unique_count"] == 3
 
 
+def test_texts_by_digest_give_the_same_profile(make):
+    df = make([("x" * 500, "2024-01-02", "a"), ("x" * 500, "2024-01-03", ""), ("x" * 64, None, "A"), (None, "2024-01-02", "a")], "s string, d string, t string")
+    rows = lambda **kw: P.column_profile(df, **kw).orderBy("position").collect()
+    assert rows(digest=True) == rows() and [(r["type"], r["unique_count"]) for r in rows()] == [("string", 2), ("date", 2), ("string", 3)]
+    from tablescope.plans.recommend import text_facts
+    assert text_facts(df, digest=True) == text_facts(df)
+
+
 def test_top_values_other(make):
     df = make([(str(i % 13),) for i in range(100)] + [(None,)], "s string")
     rows = top_values(df, ["s"], 10).orderBy("bin").collect()
