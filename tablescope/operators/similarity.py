@@ -60,7 +60,9 @@ def _distances(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
 class SimilarityIndex:
     """Documents in rings around centres; ``first`` and ``reached`` give the (query, ring) pairs of the two rounds."""
 
-    def __init__(self, docs: DataFrame, id_col: str, vector_col: str, centres: int | None = None, ring: int = RING):
+    def __init__(self, docs: DataFrame, id_col: str, vector_col: str, centres: int | None = None, ring: int = RING,
+                 block_queries: int = BLOCK_QUERIES, block_vectors: int = BLOCK_VECTORS):
+        self.block_queries, self.block_vectors = block_queries, block_vectors
         self.dim = docs.agg(F.mode(F.size(quoted(vector_col)))).first()[0] or 0
         self.kind = docs.schema[id_col].dataType.simpleString()
         units = _unit(docs, id_col, vector_col, self.dim)
@@ -158,7 +160,7 @@ class SimilarityIndex:
             return pd.concat(out, ignore_index=True)
 
         return meet(pairs, self.placed.select("id", "v", "ring"), "ring", best, f"qid {kind}, id {self.kind}, similarity double",
-                    BLOCK_QUERIES, BLOCK_VECTORS, F.xxhash64("qid"), F.xxhash64("id"))
+                    self.block_queries, self.block_vectors, F.xxhash64("qid"), F.xxhash64("id"))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

@@ -16,10 +16,11 @@ from ..functions.numeric import rounded
 from ..functions.query_text import intent_score, query_expand, query_intent, text_keywords, text_sanitize
 from ..functions.text import age_days
 from ..functions.vectors import cosine, literal_vector
-from ..operators.similarity import top_k
+from ..operators.similarity import SimilarityIndex, top_k
 from ..session import local_table
 
 MB, GB = 1024 ** 2, 1024 ** 3
+BLOCK_DONORS, BLOCK_QUERIES = 8_192, 1_024      # vectors and queries of one block of the similarity search
 FRESH_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
 
 
@@ -235,4 +236,5 @@ def similarity_topk(docs: DataFrame, query_vector, k: int, vector_col: str = "em
 
 def similarity_topk_batch(queries: DataFrame, docs: DataFrame, k: int, query_id: str, doc_id: str, vector_col: str = "embedding") -> DataFrame:
     """(query id, doc id, similarity, rank) for a table of queries, by the exact pruned search of ``operators.similarity``."""
-    return top_k(queries, docs, k, query_id, doc_id, vector_col)
+    index = SimilarityIndex(docs, doc_id, vector_col, block_queries=BLOCK_QUERIES, block_vectors=BLOCK_DONORS)
+    return top_k(queries, docs, k, query_id, doc_id, vector_col, index)

@@ -135,6 +135,9 @@ def read_csv(spark: SparkSession, path: str, max_rows: int | None = None, order_
     if latin:
         warnings.append(f"{latin} of {len(files)} files are not UTF-8 and were read as ISO-8859-1.")
     groups: dict[tuple, list[str]] = {}
+    split = sum(f["open_quotes"] if multi_line is None else multi_line for f in files)
+    if split:
+        warnings.append(f"{split} of {len(files)} files have line breaks inside quotes and were read twice to find their records.")
     for f in files:
         broken = f["open_quotes"] if multi_line is None else multi_line
         encoding = "UTF-8" if f["utf8"] else "ISO-8859-1"

@@ -51,7 +51,7 @@ def test_read_csv_of_a_cut_file(spark, tmp_path, small_ranges):
     (tmp_path / "b.csv").write_text(written([[1000, 'one\n"two"', 2.5]]))
     out, warnings = read_csv(spark, str(tmp_path))
     got = sorted(map(tuple, out.collect()))
-    assert got == sorted([(i, a, b) for i, a, b in rows] + [(1000, 'one\n"two"', 2.5)]) and warnings == []
+    assert got == sorted([(i, a, b) for i, a, b in rows] + [(1000, 'one\n"two"', 2.5)]) and len(warnings) == 1
     assert dict(out.dtypes) == {"id": "bigint", "first": "string", "second": "double"}
 
 
@@ -61,7 +61,7 @@ def test_a_record_over_many_ranges_and_an_open_end(spark, tmp_path, small_ranges
     (tmp_path / "t.csv").write_bytes(f'id,note\n1,"{long}"\n2,caf\xe9\n3,"x",4\n5,"never\nclosed'.encode("latin-1"))
     out, warnings = read_csv(spark, str(tmp_path / "t.csv"))
     got = {r["id"]: r["note"] for r in out.collect()}
-    assert got[1] == long and got[2] == "café" and 3 not in got and len(warnings) == 2
+    assert got[1] == long and got[2] == "café" and 3 not in got and len(warnings) == 3
 
 
 @pytest.mark.parametrize("line,outside,inside", [
