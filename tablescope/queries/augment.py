@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators.augment import augment, augment_gate, bootstrap_noise, class_distribution, smote
 from ..operators.split import assign_split, baseline
+from ..operators.tree import BINS, baseline_tree
 from ..plans.bias import class_imbalance
 from ..plans.recommend import recommend
-from .base import LABELED, derived, duck, read, tidy
+from .base import LABELED, derived, duck, r, read, tidy
 from . import judge as J
 
 _L = f"({duck(LABELED)})"
@@ -42,6 +43,52 @@ def _stratified(s, d):
     return tidy(split.groupBy("quality", "split").agg(F.count("*").alias("row_count")))
 
 
+def _share_sql(keys: list[str]) -> str:
+    return f"cast(('0x' || substr(md5('42|' || {" || '|' || ".join(f'cast({k} as varchar)' for k in keys)}), 1, 8)) as bigint) / 4294967296.0"
+
+
+def _tree_sql(rel: str, target: str, keys: list[str], columns: dict[str, str], classify: bool, depth: int, least: int) -> str:
+    """The tree level by level: bins, counts by node and bin, the best split of each node, and the rows' next nodes."""
+    numbers, places = [c for c, t in columns.items() if t == "number"], {c: i for i, c in enumerate(columns)}
+    texts = ", ".join(str(places[c]) for c, t in columns.items() if t == "text") or "-1"
+    bins = [f"cast(('0x' || substr(md5({c}), 1, 4)) as int) % {BINS} as b{i}" if t == "text" else
+            f"case when hi{i} > lo{i} then greatest(0, least({BINS - 1}, cast(floor((cast({c} as double) - lo{i}) / (hi{i} - lo{i}) * {BINS}) as int))) else 0 end as b{i}"
+            for i, (c, t) in enumerate(columns.items())]
+    ends = ", ".join(f"cast(min({c}) as double) as lo{places[c]}, cast(max({c}) as double) as hi{places[c]}" for c in numbers)
+    filled = " and ".join(f"{c} is not null" for c in [target, *columns])
+    cls, weight = (f"cast({target} as varchar)", "cast(1 as double)") if classify else ("''", f"cast({target} as double)")
+    out = f"""with src as materialized (select *, {_share_sql(keys)} >= 0.2 as train from ({rel}) t where {filled}), lim as (select {ends} from src where train),
+d0 as materialized (select train, {cls} as cls, {weight} as w, 1 as node, {", ".join(bins)} from src, lim)"""
+    for i in range(depth):
+        long = " union all ".join(f"select node, {f} as f, b{f} as b, cls, count(*) as k, sum(w) as s from d{i} where train group by 1, 2, 3, 4" for f in range(len(columns)))
+        side = lambda c: f"case when c.f in ({texts}) then coalesce(l.{c}, 0) else sum(coalesce(l.{c}, 0)) over (partition by c.node, c.f, c.cls order by c.b) end"
+        out += f""",
+l{i} as materialized ({long}), t{i} as (select node, f, cls, sum(k) as ak, sum(s) as as_ from l{i} group by 1, 2, 3),
+c{i} as (select x.node, x.f, x.b, t.cls, ak, as_ from (select distinct node, f, b from l{i}) x join t{i} t on x.node = t.node and x.f = t.f),
+g{i} as (select c.*, {side('k')} as lk, {side('s')} as ls from c{i} c left join l{i} l on c.node = l.node and c.f = l.f and c.b = l.b and c.cls = l.cls),
+s{i} as (select node, f, b, sum(lk) as nl, sum(ak - lk) as nr, sum(ls * ls) as ql, sum((as_ - ls) * (as_ - ls)) as qr, sum(as_ * as_) as q from g{i} group by 1, 2, 3),
+v{i} as (select node, f, b, {r('(ql / nl + qr / nr) - q / (nl + nr)', 6)} as gain from s{i} where nl >= {least} and nr >= {least}),
+p{i} as materialized (select node as pn, f as pf, b as pb from (select *, row_number() over (partition by node order by gain desc, f, b) as rn from v{i} where gain > 0) where rn = 1),
+d{i + 1} as materialized (select d.* replace (case when pn is null then node else 2 * node + case when case when pf in ({texts}) then {_at(len(columns))} = pb else {_at(len(columns))} <= pb end
+  then 0 else 1 end end as node) from d{i} d left join p{i} on node = pn)"""
+    last = f"d{depth}"
+    if classify:
+        leaf = f"select node, sum(k) as n, arg_min(cls, (-k, cls)) as prediction from (select node, cls, count(*) as k from {last} where train group by 1, 2) group by 1"
+        tested = f"select d.node, count(*) as tn, sum(case when d.cls = e.prediction then 1 else 0 end) as x from {last} d join e on d.node = e.node where not train group by 1"
+        shown = "prediction, cast(coalesce(tn, 0) as bigint) as test_rows, cast(coalesce(x, 0) as bigint) as test_hits"
+    else:
+        leaf = f"select node, count(*) as n, sum(w) / count(*) as prediction from {last} where train group by 1"
+        tested = f"select d.node, count(*) as tn, sum(abs(w - prediction)) as x from {last} d join e on d.node = e.node where not train group by 1"
+        shown = f"{r('prediction', 3)} as prediction, cast(coalesce(tn, 0) as bigint) as test_rows, {r('coalesce(x, 0)', 3)} as test_error"
+    return f"{out}, e as materialized ({leaf}), h as ({tested}) select cast(e.node as bigint) as node, cast(n as bigint) as \"rows\", {shown} from e left join h on e.node = h.node"
+
+
+def _at(columns: int) -> str:
+    return "case pf " + " ".join(f"when {i} then b{i}" for i in range(columns)) + " end"
+
+
+_TREE_COLUMNS = {"toxic": "number", "n_chars": "number", "text_length": "number", "lang": "text"}
+_PRICE_COLUMNS = {"l_quantity": "number", "l_discount": "number", "l_tax": "number", "l_returnflag": "text", "l_linenumber": "number"}
 _MD5_SHARE = "cast(('0x' || substr(md5('42|' || cast(l_orderkey as varchar) || '|' || cast(l_linenumber as varchar)), 1, 8)) as bigint) / 4294967296.0"
 
 QUERIES = {
@@ -66,5 +113,9 @@ QUERIES = {
     "stratified_split": (_stratified, f"""with c as (select cast(quality as bigint) as quality, count(*) as n, cast(round(count(*) * 0.2) as bigint) as k from {_L} t group by 1)
       select quality, 'test' as split, k as row_count from c union all select quality, 'train', n - k from c"""),
     "baseline_model": (lambda s, d: baseline(_labeled(s, d), "quality", "classification", key="doc_id"), None),
+    "baseline_tree": (lambda s, d: tidy(baseline_tree(_labeled(s, d), "quality", "doc_id", columns=list(_TREE_COLUMNS))),
+                      _tree_sql(duck(LABELED), "quality", ["doc_id"], _TREE_COLUMNS, True, 3, 5)),
+    "baseline_tree_regression": (lambda s, d: tidy(baseline_tree(read(s, d, "lineitem"), "l_extendedprice", ["l_orderkey", "l_linenumber"], classify=False, columns=list(_PRICE_COLUMNS)), 3),
+                                 _tree_sql("select * from lineitem", "l_extendedprice", ["l_orderkey", "l_linenumber"], _PRICE_COLUMNS, False, 3, 5)),
     "baseline_regression": (lambda s, d: baseline(_labeled(s, d), "n_chars", "regression", key="doc_id"), None),
 }
