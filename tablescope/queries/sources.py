@@ -12,6 +12,7 @@ from ..session import scratch_path
 from ..sources import catalog as G
 from ..sources.csv_source import read_csv
 from ..sources.files import discover_files
+from ..sources.growing import profile_growing, update
 from ..sources.store import load_analysis, load_profile, profile_once, save_analysis, save_profile, write
 from . import judge as J
 from . import sqlprofile as S
@@ -102,6 +103,21 @@ def _store_once(s, d):
     return tidy(profile_once(read(s, d, "labels"), "labels", root).columns)
 
 
+def _growing(s, d):
+    """The table in two parts; the first has its states before the second arrives."""
+    data, root, whole = scratch_path(s, "grown"), scratch_path(s, "states"), table(s, d, "duped")
+    early = F.col("l_orderkey") % 3 == 0
+    whole.where(early).write.parquet(data)
+    update(s, data, root)
+    whole.where(~early).write.mode("append").parquet(data)
+    return profile_growing(s, data, root, "duped")
+
+
+def _growing_profile(s, d):
+    g = _growing(s, d)
+    return tidy(g.metrics.join(g.columns, "dataset_id"))
+
+
 def _analysis_stored(s, d):
     """Whole analyses, one of them stored twice: only its last version counts."""
     root = scratch_path(s, "analyses")
@@ -194,5 +210,8 @@ QUERIES = {
                     f"select p_partkey, p_name, p_brand, p_type, cast(p_size as bigint) as p_size, {r('p_retailprice', 6)} as p_retailprice from part"),
     "analysis_store": (_store, f"with {S.profile_ctes(['duped'], ('m', 'c'))} select m.dataset_id, \"rows\", columns, missing_pct, duplicate_pct, position, name, type, null_count, "
                                "unique_count from m join c on m.dataset_id = c.dataset_id"),
+    "profile_growing": (_growing_profile, f"with {S.profile_ctes(['duped'], ('m', 'c'))} select m.dataset_id, \"rows\", columns, missing_pct, duplicate_pct, position, name, type, null_count, "
+                                          "unique_count from m join c on m.dataset_id = c.dataset_id"),
+    "profile_growing_correlations": (lambda s, d: tidy(_growing(s, d).correlations), S.correlations("duped")),
     "analysis_store_cached": (_store_once, S.columns("labels")),
 }
