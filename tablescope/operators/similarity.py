@@ -5,6 +5,11 @@ distance a of a centre no vector of a ring from r to R is nearer than a - R or r
 nearest centre; the k-th similarity found there is its threshold, and only rings that the bound does not exclude are visited then. Centres are
 fitted to a bounded sample, which decides how much is skipped and nothing else.
 
+The second visit goes by cells, some neighbouring centres with about 1/BLOCKS of the vectors: a query is sent once to each cell that it reaches,
+not once to each ring, and the task that holds the cell looks at the reached rings only. Of queries and cells of at most MOST_BLOCK
+vectors a task holds one block each. So queries that reach everything cost BLOCKS copies of the tables, up to BLOCKS * MOST_BLOCK
+vectors; beyond, where blocks stay as large, the copies grow with the table.
+
 A vector without direction (null, of length zero, with a null or non-finite component, or of another dimension than most) has similarity 0 to
 every other. Similarities that agree in nine digits are ties and go to the smaller id.
 """
@@ -18,13 +23,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import quoted
-from ..session import materialize
+from ..session import local_table, materialize
 from .neighbours import meet
 
 MOST_CENTRES = 4_096
 SAMPLE_PER_CENTRE = 10          # 40,960 sampled vectors at most
 RING = 512                      # vectors of a ring, on average
 BLOCK_VECTORS, BLOCK_QUERIES = 8_192, 1_024
+BLOCKS = 12                     # blocks of vectors and of queries in the second visit, while none is above MOST_BLOCK
+LEAST_BLOCK, MOST_BLOCK = 1_024, 65_536     # 33 MB with 64 dimensions
+AT_ONCE = 1 << 21               # similarities or hits held at once, 16 MB
 SLACK = 1e-8
 
 
@@ -57,11 +65,67 @@ def _distances(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
+def _cells(centres: np.ndarray, held: np.ndarray, most: int) -> np.ndarray:
+    """The cell of each centre: neighbours together, ``most`` vectors in a cell unless one centre has more."""
+    order, todo = [], [np.arange(len(centres))]
+    while todo:                 # halves along the widest dimension, nearest first
+        part = todo.pop()
+        if len(part) < 3:
+            order += part.tolist()
+            continue
+        widest = np.argmax(np.ptp(centres[part], axis=0))
+        part = part[np.argsort(centres[part, widest], kind="stable")]
+        todo += [part[len(part) // 2:], part[:len(part) // 2]]
+    cells, cell, size = np.zeros(len(centres), np.int32), 0, 0
+    for c in order:
+        if size and size + held[c] > most:
+            cell, size = cell + 1, 0
+        cells[c], size = cell, size + held[c]
+    return cells
+
+
+class _Best:
+    """The ``k`` best (query, vector) of a block so far: hits gather until there are AT_ONCE, then only the best stay and ``floor`` rises."""
+
+    def __init__(self, q: np.ndarray, x: np.ndarray, place: np.ndarray, k: int, floor: np.ndarray):
+        self.q, self.x, self.place, self.k, self.floor = q, x, place, k, floor
+        self.hits, self.n = [], 0
+        self.i = self.j = np.zeros(0, np.int64)
+        self.exact = np.zeros(0)
+
+    def add(self, i: np.ndarray, j: np.ndarray, rough: np.ndarray) -> None:
+        self.hits.append((i, j, rough))
+        self.n += len(i)
+        if self.n >= AT_ONCE:
+            self.settle()
+
+    def settle(self) -> None:
+        i, j, rough = (np.concatenate([own, *more]) for own, *more in zip((self.i, self.j, self.exact), *self.hits))
+        order = np.lexsort((-rough, i))
+        i, j, rough = i[order], j[order], rough[order]
+        start = np.searchsorted(i, i)
+        last = start + self.k - 1                   # the k-th of each query, where it has as many
+        last = np.where((last < len(i)) & (i[np.minimum(last, len(i) - 1)] == i), last, -1)
+        near = (last < 0) | (rough >= rough[last] - SLACK)
+        i, j = i[near], j[near]
+        exact = np.zeros(len(i))
+        for f in range(self.q.shape[1]):            # in one order, so that equal vectors have equal similarities
+            exact += self.q[i, f] * self.x[j, f]
+        exact = np.round(exact, 9)
+        order = np.lexsort((self.place[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        full = rank == self.k - 1
+        self.floor[i[full]] = np.maximum(self.floor[i[full]], exact[full])
+        self.i, self.j, self.exact = i[rank < self.k], j[rank < self.k], exact[rank < self.k]
+        self.hits, self.n = [], 0
+
+
 class SimilarityIndex:
     """Documents in rings around centres; ``first`` and ``reached`` give the (query, ring) pairs of the two rounds."""
 
     def __init__(self, docs: DataFrame, id_col: str, vector_col: str, centres: int | None = None, ring: int = RING,
-                 block_queries: int = BLOCK_QUERIES, block_vectors: int = BLOCK_VECTORS):
+                 block_queries: int = BLOCK_QUERIES, block_vectors: int = BLOCK_VECTORS, block: int | None = None):
         self.block_queries, self.block_vectors = block_queries, block_vectors
         self.dim = docs.agg(F.mode(F.size(quoted(vector_col)))).first()[0] or 0
         self.kind = docs.schema[id_col].dataType.simpleString()
@@ -92,6 +156,8 @@ class SimilarityIndex:
                                   .select("id", "v", "ring", "centre", "away"), "rings")
         self.rings = materialize(self.placed.groupBy("ring", "centre").agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high")), "ring-spans")
         self.spans = {r["centre"]: (r["n"], r["low"], r["high"]) for r in spans.collect()}      # MOST_CENTRES rows at most
+        self.block = block or max(LEAST_BLOCK, min(MOST_BLOCK, -(-n // BLOCKS)))
+        self.cells = _cells(self.centres, np.array([self.spans.get(i, (0, 0, 0))[0] for i in range(len(self.centres))], np.int64), self.block)
 
     def _centres(self, queries: DataFrame, choose) -> DataFrame:
         """(qid, v, reach, centre, apart) for the centres that ``choose`` (distances, reach -> mask) picks."""
@@ -162,6 +228,53 @@ class SimilarityIndex:
         return meet(pairs, self.placed.select("id", "v", "ring"), "ring", best, f"qid {kind}, id {self.kind}, similarity double",
                     self.block_queries, self.block_vectors, F.xxhash64("qid"), F.xxhash64("id"))
 
+    def sweep(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, id, similarity): of all rings that the threshold of a query does not exclude, the ``k`` best of each block of vectors."""
+        spark, kind, dim = queries.sparkSession, queries.schema["qid"].dataType.simpleString(), self.dim
+        centres = spark.sparkContext.broadcast(self.centres)
+        low = np.array([self.spans.get(i, (0, np.inf, -np.inf))[1] for i in range(len(self.centres))])
+        high = np.array([self.spans.get(i, (0, np.inf, -np.inf))[2] for i in range(len(self.centres))])
+        by_cell = np.argsort(self.cells, kind="stable")
+        names, starts = np.unique(self.cells[by_cell], return_index=True)
+
+        def send(batches):
+            for whole in batches:
+                for start in range(0, whole.num_rows, 256):
+                    b = whole.slice(start, 256)
+                    d = _distances(_matrix(b.column("v"), dim), centres.value)
+                    near = np.maximum(d - high, low - d) <= np.asarray(b.column("reach"))[:, None] + SLACK
+                    i, cell = np.nonzero(np.logical_or.reduceat(near[:, by_cell], starts, axis=1))
+                    rows = pa.array(i)
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(rows) for c in ("qid", "v", "reach")], pa.array(names[cell])], names=["qid", "v", "reach", "cell"])
+
+        def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if a.empty or b.empty:
+                return pd.DataFrame({"qid": a["qid"][:0], "id": b["id"][:0], "similarity": pd.Series(dtype=float)})
+            b = b.sort_values("ring", kind="stable")
+            q, x, ids, away = np.array(a["v"].tolist(), float), np.array(b["v"].tolist(), float), b["id"].reset_index(drop=True), b["away"].to_numpy()
+            place = np.empty(len(b), np.int64)
+            place[ids.sort_values(kind="stable").index] = np.arange(len(b))         # of ties the smaller id
+            reach, which = a["reach"].to_numpy(), b["centre"].to_numpy()
+            found = _Best(q, x, place, k, 1 - reach ** 2 / 2)
+            rings = b["ring"].to_numpy()
+            first = np.concatenate([[0], np.flatnonzero(rings[1:] != rings[:-1]) + 1, [len(b)]])
+            for at, end in zip(first[:-1].tolist(), first[1:].tolist()):
+                apart = np.sqrt(((q - centres.value[which[at]]) ** 2).sum(1))
+                who = np.flatnonzero(np.maximum(apart - away[at:end].max(), away[at:end].min() - apart) <= reach + SLACK)
+                step = max(1, AT_ONCE // (end - at))
+                for some in (who[s:s + step] for s in range(0, len(who), step)):
+                    rough = q[some] @ x[at:end].T
+                    i, j = np.nonzero(rough >= found.floor[some][:, None] - SLACK)
+                    found.add(some[i], at + j, rough[i, j])
+            if found.n:
+                found.settle()
+            return pd.DataFrame({"qid": a["qid"].to_numpy()[found.i], "id": ids.to_numpy()[found.j], "similarity": found.exact})
+
+        sent = materialize(queries.select("qid", "v", "reach").mapInArrow(send, f"qid {kind}, v array<double>, reach double, cell int"), "sent")
+        cells = local_table(spark, [{"c": i, "cell": int(c)} for i, c in enumerate(self.cells)], "c int, cell int")      # MOST_CENTRES rows at most
+        held = self.placed.join(F.broadcast(cells), F.col("centre") == F.col("c")).select("id", "v", "ring", "centre", "away", "cell")
+        return meet(sent, held, "cell", best, f"qid {kind}, id {self.kind}, similarity double", self.block, self.block, F.xxhash64("qid"), F.xxhash64("id"))
+
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")       # k rows a visited block
@@ -177,7 +290,7 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, query_id: str, doc_id: st
     # A vector without direction is at similarity 0 to all, so k of them bound every threshold too.
     reach = seen.where(F.col("rank") == k).select(F.col("qid").alias("r"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity"))).alias("reach"))
     limits = aimed.join(materialize(reach, "thresholds"), F.col("qid") == F.col("r"), "left").select("qid", "v", F.coalesce("reach", F.lit(2.0)).alias("reach"))
-    found = index.visit(materialize(index.reached(limits), "reached"), k)
+    found = index.sweep(limits, k)
     first_ids = lambda df: [r["id"] for r in df.orderBy("id").limit(k).collect()]      # noqa: E731
 
     def zeros(who: DataFrame, ids: list) -> DataFrame:

@@ -91,3 +91,32 @@ def test_similarity_skips_blocks(spark):
     assert index.rings.count() >= 40 and pairs.agg(F.sum("n")).first()[0] < 0.15 * 4000 * 40
     small = docs.where("id < 3")
     assert S.top_k(small.withColumnRenamed("id", "q"), small, 5, "q", "id").count() == 9
+
+
+def test_a_query_is_sent_once_to_a_cell(spark, monkeypatch):
+    """Vectors in all directions, which no bound excludes, with copies: what is sent follows the blocks, not the rings."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(2400, 12)), np.repeat(rng.normal(size=(1, 12)), 300, axis=0)])
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, embedding array<double>").repartition(4)
+    asked = docs.where("id % 9 = 0 or id = 2500").select(F.col("id").alias("q"), "embedding")
+    sent, meet = [], S.meet
+    monkeypatch.setattr(S, "meet", lambda pairs, *more: sent.append(pairs.count()) or meet(pairs, *more))
+    index = S.SimilarityIndex(docs, "id", "embedding", ring=20)
+    rows = S.top_k(asked, docs, 6, "q", "id", index=index).orderBy("q", "rank").collect()
+    ids = [r["q"] for r in asked.orderBy("q").collect()]
+    assert index.rings.count() > 100 and sent[-1] <= 4 * len(ids)
+    want = brute(x[ids], x, 6, list(range(len(x))))
+    assert [[r["id"] for r in rows[6 * n:6 * n + 6]] for n in range(len(ids))] == [[i for _, i in w] for w in want]
+
+
+def test_best_hits_settle_in_parts():
+    rng = np.random.default_rng(2)
+    q, x = rng.normal(size=(7, 4)), np.repeat(rng.normal(size=(30, 4)), 3, axis=0)
+    best = S._Best(q, x, np.arange(90)[::-1], 5, np.full(7, -np.inf))
+    for at in range(0, 90, 10):
+        i, j = (c.ravel() for c in np.meshgrid(np.arange(7), np.arange(at, at + 10), indexing="ij"))
+        some = (q @ x.T)[i, j] >= best.floor[i] - S.SLACK
+        best.add(i[some], j[some], (q @ x.T)[i, j][some])
+        best.settle()
+    for i in range(7):
+        assert best.j[best.i == i].tolist() == sorted(range(90), key=lambda j: (-round(float(q[i] @ x[j]), 9), -j))[:5]
