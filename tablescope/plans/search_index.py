@@ -29,6 +29,8 @@ from .search import _moment, _tags, composite, dedup, filter_catalog, metadata_s
 #: Points of a keyword by field, and the most that an entry can have of one keyword and of the whole query if its best field is this one.
 FIELDS = {"title": (15, 32, 40), "tags": (12, 17, 0), "description": (5, 5, 0)}
 TERM = "[a-z0-9-]+"
+MOST_HITS = 200_000     # (keyword, term) rows that every task may hold
+QUERIES_AT_ONCE = 2_000 # of a task that puts the terms of queries together
 
 
 def _fields() -> dict[str, Column]:
@@ -106,8 +108,14 @@ def _others(entries: DataFrame, depth: int) -> DataFrame:
 
 def _candidates(index: SearchIndex, asked: DataFrame, k: int | None) -> DataFrame:
     """(qid, entry): entries that share a term with a query, without those that ``k`` others certainly surpass (None: all)."""
-    hits = keyword_terms(asked, index.grams)
     words = asked.select("qid", "intent", F.lower("q").alias("low"), F.size("keywords").alias("n_words"), F.explode("keywords").alias("keyword"))
+    hits = materialize(keyword_terms(asked, index.grams), "keyword-terms")
+    # The words of the queries are spread over the tasks, however few files the terms come from, and the terms of a query stay in one place.
+    if hits.count() <= MOST_HITS:
+        hits = F.broadcast(hits)
+        words = words.repartition(max(asked.sparkSession.sparkContext.defaultParallelism, -(-asked.count() // QUERIES_AT_ONCE)), "qid")
+    else:
+        hits = hits.hint("merge")
     # Where the query is the keyword itself, a title with the keyword holds the whole query.
     read = materialize(words.join(hits, "keyword").groupBy("qid", "intent", "n_words", "term").agg(F.max(F.col("low") == F.col("keyword")).alias("whole")), "query-terms")
     blocks = read.join(index.blocks, "term")

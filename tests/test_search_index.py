@@ -120,3 +120,21 @@ def test_best_hits_settle_in_parts():
         best.settle()
     for i in range(7):
         assert best.j[best.i == i].tolist() == sorted(range(90), key=lambda j: (-round(float(q[i] @ x[j]), 9), -j))[:5]
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_words_of_queries_are_not_sent_to_every_task(spark, monkeypatch, most):
+    """Few terms in one file, many queries: the terms go to the queries, of which a task has a bounded number."""
+    rows = [(f"e{i}", f"common title {i}", "a text with words", ["t"], "kaggle", "csv", 5, "2024-06-10T08:30:00Z", "x", "mit") for i in range(20)]
+    catalog = spark.createDataFrame(rows, "id string, title string, description string, tags array<string>, source string, format string, size_bytes bigint, "
+                                          "last_updated string, author string, license string")
+    index = X.build_index(catalog, AS_OF)
+    asked = X.materialize(X._asked(spark.range(300).select(F.col("id").alias("qid"), F.lit("common words").alias("q")), "qid", "q"), "asked")
+    plans, keep = [], X.materialize
+    monkeypatch.setattr(X, "MOST_HITS", most)
+    monkeypatch.setattr(X, "QUERIES_AT_ONCE", 10)
+    monkeypatch.setattr(X, "materialize", lambda df, label: label == "query-terms" and plans.append((df, df._jdf.queryExecution().executedPlan().toString())) or keep(df, label))
+    assert X._candidates(index, asked, None).count() == 300 * 20
+    [(df, plan)] = plans
+    assert not most or df.rdd.getNumPartitions() == 30
+    assert ("SortMergeJoin" in plan) == (most == 0) and ("hashpartitioning(qid" in plan)
