@@ -78,13 +78,19 @@ def _write(s, d, fmt):
     return s.read.format(fmt).load(path)
 
 
+FILE_ROWS = 1_000_000       # of the larger table of a folder in one file
+
+
 def _files(s, d):
+    """Tables as files; those of one folder have as many files each, so that the largest file belongs to the largest table."""
     root = scratch_path(s, "files")
-    for t in ("customer", "orders"):
-        write(read(s, d, t).coalesce(1), f"{root}/shop/{t}", "csv")
-    write(read(s, d, "part").coalesce(1), f"{root}/goods/part", "csv")
+    for folder, tables in (("shop", ("customer", "orders")), ("goods", ("part",))):
+        frames = {t: read(s, d, t) for t in tables}
+        files = max(1, *[-(-x.count() // FILE_ROWS) for x in frames.values()])
+        for t, x in frames.items():
+            write(x.repartition(files) if files > 1 else x.coalesce(1), f"{root}/{folder}/{t}", "csv")
     page = F.concat(F.lit("<html>"), F.regexp_replace("html", "[\\r\\n\\t,\"]", " "))        # nothing the writer would quote
-    read(s, d, "pages").select(F.trim(page).alias("html")).coalesce(1).write.csv(f"{root}/goods/pages")
+    read(s, d, "pages").select(F.trim(page).alias("html")).write.csv(f"{root}/goods/pages")
     return discover_files(s, root).select("dataset", F.regexp_extract("path", "/([^/]+)/[^/]+$", 1).alias("table_name"))
 
 

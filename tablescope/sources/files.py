@@ -2,49 +2,27 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-
-_WHOLE = 1 << 50        # bytes of a split, and the cost of opening a file: every file is a partition of its own
 _LOOK = 64              # characters of a line that tell a web page
-_FIRST = "path string, length bigint, line string"
-
-
-def _first_line(batches):
-    """The first line with text of the one file in this partition; the rest of the file is not asked for."""
-    seen = None
-    for batch in batches:
-        for path, length, line in zip(*(c.to_pylist() for c in batch.columns)):
-            seen = (path, length, line)
-            if line.strip():
-                break
-        else:
-            continue
-        break
-    if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(seen, (pa.string(), pa.int64(), pa.string()))], names=["path", "length", "line"])
+_TEXT = r"(?U)[^\s\x1c-\x1f]"
 
 
 def first_lines(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
     """(path, length, line) of every file under ``root`` that is not empty: the start of its first line with text.
 
-    One job with a short task per file, whatever the number of folders. A session of its own carries the settings
-    that keep files whole and batches small, so that a task stops reading after the first lines.
+    One job, whatever the number of folders. Files are read in splits of bounded size, each split gives its first line with text, and
+    the first split of a file that has one counts; so no task reads a whole large file.
     """
-    own = spark.newSession()
-    for name, value in (("spark.sql.files.maxPartitionBytes", _WHOLE), ("spark.sql.files.openCostInBytes", _WHOLE),
-                        ("spark.sql.files.maxPartitionNum", (1 << 31) - 1), ("spark.sql.execution.arrow.maxRecordsPerBatch", 16)):
-        own.conf.set(name, str(value))
-    lines = own.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(root)
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(root)
     name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))      # the path is a URI, in which a plus sign stands for itself
-    start = lines.where("_metadata.file_size > 0").select(name.alias("path"), F.col("_metadata.file_size").alias("length"),
-                                                          F.substring(F.ltrim("value"), 1, _LOOK).alias("line"))
-    path = scratch_path(spark, "first-lines")
-    start.mapInArrow(_first_line, _FIRST).write.parquet(path)
-    return spark.read.schema(_FIRST).parquet(path)
+    start = lines.select(name.alias("path"), F.col("_metadata.file_size").alias("length"),
+                         F.col("_metadata.file_block_start").alias("at"), F.substring(F.ltrim("value"), 1, _LOOK).alias("line"), F.monotonically_increasing_id().alias("no")).where("length > 0")
+    # A split is one task's, which numbers its lines in order.
+    splits = start.groupBy("path", "length", "at").agg(F.min_by("line", F.when(F.col("line").rlike(_TEXT), F.col("no"))).alias("line"))
+    first = F.min_by("line", F.when(F.col("line").isNotNull(), F.col("at")))
+    return splits.groupBy("path", "length").agg(F.coalesce(first, F.lit("")).alias("line"))
 
 
 def discover_files(spark: SparkSession, root: str, max_bytes: int | None = None, pattern: str = "*.csv") -> DataFrame:

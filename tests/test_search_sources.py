@@ -226,3 +226,23 @@ def test_write_formats(spark, make):
         path = write(df, scratch_path(spark, "write-test"), fmt)
         back = read_csv(spark, path)[0] if fmt == "csv" else spark.read.parquet(path)
         assert sorted((r["k"], r["s"]) for r in back.collect()) == [(1, "a,b"), (2, 'q"x')]
+
+
+def test_large_files_are_read_in_splits(spark, tmp_path):
+    """The first line with text is found behind blank lines of several splits, and no partition is a whole file."""
+    from tablescope.sources.files import discover_files, first_lines
+
+    for name, text in (("a/page.csv", "\n \t\n" * 40000 + "<HTML>\n" + "x,y\n" * 40000), ("a/data.csv", "  k,v\n" + "1,2\n" * 20000), ("b/blank.csv", "\n\n")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = {r["path"].rsplit("/", 1)[1]: r["line"] for r in first_lines(spark, str(tmp_path)).collect()}
+        best = {r["dataset"]: r["path"].rsplit("/", 1)[1] for r in discover_files(spark, str(tmp_path)).collect()}
+        parts = spark.read.option("recursiveFileLookup", "true").text(str(tmp_path)).rdd.getNumPartitions()
+        plan = first_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found == {"page.csv": "<HTML>", "data.csv": "k,v", "blank.csv": ""} and best == {"a": "data.csv", "b": "blank.csv"}
+    assert parts > 10 and "FileScan text" in plan
