@@ -100,6 +100,12 @@ def duplicate_pct(df: DataFrame, with_nulls: list[str] | None = None) -> DataFra
         rounded(F.coalesce(F.try_divide((rows - F.count("*")) * 100.0, rows), F.lit(0.0)), 2).alias("duplicate_pct"))
 
 
+def maybe_date(value):
+    """Whether text can read as a date or time at all: all known layouts have a digit at the start, after a sign, or
+    after the name of a month. Spares most texts the parsers, which are slow on what they refuse."""
+    return value.rlike(r"^[\x00-\x20\x7F]*[^0-9]{0,12}[0-9]")
+
+
 def looks_like_date(value, formats: list[str] | None = None):
     """True for text that reads as a date or time in any known layout."""
     tests = [value.try_cast("timestamp").isNotNull()]
@@ -107,7 +113,7 @@ def looks_like_date(value, formats: list[str] | None = None):
     out = tests[0]
     for t in tests[1:]:
         out = out | t
-    return out
+    return F.coalesce(maybe_date(value), F.lit(False)) & out if formats is None else out
 
 
 def _simple_type(f: T.StructField) -> str | None:

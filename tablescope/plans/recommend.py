@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import fold_nan, is_numeric, is_text, quoted, rounded_value
-from ..operators.profile import DATE_FORMATS
+from ..operators.profile import DATE_FORMATS, maybe_date
 from ..operators.value_counts import counted, distinct_counts, families
 from ..session import local_table
 from .rules import DEFAULT_USE_CASES, DOMAIN_PARTS, MODELS, TARGET_PARTS, USE_CASES
@@ -21,14 +21,15 @@ def _text_facts(df: DataFrame, text: list[str], digest: bool) -> dict[str, dict]
     """Per text column: distinct values, mean length, and whether one single date layout reads every value (the
     layouts are tried on distinct values only; on all where texts are counted by digest)."""
     [(_, long)] = families(df, text)
-    layouts = [F.col("value").try_cast("timestamp").isNotNull(), *[F.try_to_timestamp("value", F.lit(f)).isNotNull() for f in DATE_FORMATS]]
+    layouts = [F.col("maybe").try_cast("timestamp").isNotNull(), *[F.try_to_timestamp("maybe", F.lit(f)).isNotNull() for f in DATE_FORMATS]]
+    maybe = F.when(maybe_date(F.col("value")), F.col("value"))
     totals = [F.count("*").alias("count"), F.sum(F.length("value").cast("bigint")).alias("length")]
     if digest:
         tried = [F.bool_and(c).alias(f"d{i}") for i, c in enumerate(layouts)]
-        keys = long.groupBy("column", counted(F.col("value"), "string", True).alias("key")).agg(*totals, *tried)
+        keys = long.withColumn("maybe", maybe).groupBy("column", counted(F.col("value"), "string", True).alias("key")).agg(*totals, *tried)
         layouts = [F.col(f"d{i}") for i in range(len(layouts))]
     else:
-        keys = long.groupBy("column", "value").agg(*totals)
+        keys = long.groupBy("column", "value").agg(*totals).withColumn("maybe", maybe)
     rows = keys.groupBy("column").agg(
         F.count("*").alias("unique_count"), (F.sum("length") / F.sum("count").cast("double")).alias("avg_length"),
         reduce(lambda a, b: a | b, [F.bool_and(c) for c in layouts]).alias("dated"))

@@ -33,8 +33,17 @@ def _cached(spark, d, what, make):
     return _CACHE[key]
 
 
-def roles(spark, d):
-    return _cached(spark, d, "roles", lambda: reduce(lambda a, b: a.unionByName(b), [column_roles(table(spark, d, n), n) for n in JUDGED]))
+def roles(spark, d, p: Profile | None = None):
+    """Column roles; distinct counts that the profiles ``p`` already hold are not taken again."""
+    def make():
+        known = {n: None for n in JUDGED}
+        if p is not None:
+            known = {n: {} for n in JUDGED}
+            for r in p.columns.select("dataset_id", "name", "unique_count").collect():      # one row per column
+                known[r["dataset_id"]][r["name"]] = r["unique_count"]
+        return reduce(lambda a, b: a.unionByName(b), [column_roles(table(spark, d, n), n, known[n]) for n in JUDGED])
+
+    return _cached(spark, d, "roles", make)
 
 
 def warnings(spark, d):
@@ -340,7 +349,8 @@ def _recommended(spark, d):
 
 
 def _summary(spark, d):
-    return dataset_summary(profiles(spark, d), _recommended(spark, d))
+    p = profiles(spark, d)
+    return dataset_summary(p, recommend(roles(spark, d, p)))
 
 
 def _pairs(spark):
