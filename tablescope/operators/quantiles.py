@@ -1,11 +1,11 @@
 """Exact quantiles without sorting the table or holding a column in one task.
 
-1. A bounded sketch (``percentile_approx``) brackets every wanted order
-   statistic between two values.
+1. A bounded sketch (KLL) brackets every wanted order statistic between two
+   values.
 2. One aggregate counts the rows below and inside each bracket. If the bracket
    missed, it is widened; a bracket of one repeated value is already solved.
 3. Only the values inside unsolved brackets are grouped and ranked - about two
-   ten-thousandths of the column. A bracket that still holds too many distinct
+   thousandths of the column. A bracket that still holds too many distinct
    values is sketched again inside its bounds first.
 
 The answer is linear interpolation between the two neighbouring order
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from ..functions.numeric import quoted
 from ..session import in_parallel
 
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 10_000        # of the sketches inside a bracket
+KLL_K = 8192                    # of the first one: ranks within 0.0004 of the rows in 99 of 100 cases
+KLL_SLACK = 0.0008
 MAX_BRACKET_ROWS = 2_000_000
 COLUMNS_PER_JOB = 8
 BRACKETS_PER_JOB = 24
@@ -61,13 +63,13 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]],
                 result.update(got)
         return result
     data = df.select([quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(wanted)])
-    slack = 2.0 / SKETCH_ACCURACY
     aggs = []
     for i, (_, probs) in enumerate(wanted.items()):
-        points = [b for p in probs for b in (max(0.0, p - slack), min(1.0, p + slack))]
+        points = [b for p in probs for b in (max(0.0, p - KLL_SLACK), min(1.0, p + KLL_SLACK))]
         x = F.col(f"c{i}")
+        sketch = F.kll_sketch_agg_double(F.when(F.isnan(x), float("inf")).otherwise(x), F.lit(KLL_K))      # it leaves out NaN
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.percentile_approx(x, [float(p) for p in points], SKETCH_ACCURACY).alias(f"q{i}")]
+                 F.when(F.count(x) > 0, F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(float(p)) for p in points]))).alias(f"q{i}")]
     row = data.agg(*aggs).first()
 
     brackets: list[_Bracket] = []
