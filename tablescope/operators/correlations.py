@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import numeric_columns, quoted, rounded
+from ..session import local_table
 from .stats import ColumnStats, column_stats
 
 MAX_JVM_COLUMNS = 12
@@ -51,27 +52,29 @@ _SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
 
 
 def _by_aggregate(data: DataFrame, full: list[bool]) -> DataFrame:
-    """Sums per pair in one aggregate; columns without gaps share theirs."""
-    p = len(full)
-    aggs = [F.count("*").cast("double").alias("rows")]
-    aggs += [e for i in range(p) if full[i] for e in (F.sum(f"x{i}").alias(f"s{i}"), F.sum(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"q{i}"))]
-    out = []
-    for i in range(p):
-        for j in range(i + 1, p):
-            a, b, k = F.col(f"x{i}"), F.col(f"x{j}"), f"{i}_{j}"
-            aggs.append(F.sum(a * b).alias("ab" + k))
-            if full[i] and full[j]:
-                got = ["rows", f"s{i}", f"s{j}", f"q{i}", f"q{j}"]
-            else:
-                both = a.isNotNull() & b.isNotNull()
-                only_a, only_b = F.when(both, a), F.when(both, b)
-                aggs += [F.count(F.when(both, True)).cast("double").alias("n" + k), F.sum(only_a).alias("a" + k), F.sum(only_b).alias("b" + k),
-                         F.sum(only_a * only_a).alias("aa" + k), F.sum(only_b * only_b).alias("bb" + k)]
-                got = [x + k for x in ("n", "a", "b", "aa", "bb")]
-            out.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *[F.col(g).alias(s) for g, s in zip(got + ["ab" + k], _SUMS)]))
-    if not out:
-        return data.sparkSession.sql("select 0 as i, 0 as j, 0D as n, 0D as sa, 0D as sb, 0D as saa, 0D as sbb, 0D as sab where false")
-    return data.agg(*aggs).select(F.explode(F.array(*out)).alias("p")).select("p.*")
+    """Sums per pattern of gaps in one aggregate, from which those of each pair follow.
+
+    A row's pattern says which of the columns with gaps are null. Within a pattern every pair has the same rows,
+    so columns share their sums, and the aggregate stays narrow enough for generated code.
+    """
+    p, spark = len(full), data.sparkSession
+    pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
+    if not pairs:
+        return spark.sql("select 0 as i, 0 as j, 0D as n, 0D as sa, 0D as sb, 0D as saa, 0D as sbb, 0D as sab where false")
+    bit = {i: 1 << k for k, i in enumerate(i for i in range(p) if not full[i])}
+    gaps = sum((F.when(F.col(f"x{i}").isNull(), b).otherwise(0) for i, b in bit.items()), F.lit(0))
+    data = data.select(gaps.alias("gaps"), *[F.coalesce(f"x{i}", F.lit(0.0)).alias(f"x{i}") if i in bit else F.col(f"x{i}") for i in range(p)])
+    sums = data.groupBy("gaps").agg(
+        F.count("*").cast("double").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(p)],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)])
+    both = lambda i, j: F.col("gaps").bitwiseAND(bit.get(i, 0) | bit.get(j, 0)) == 0
+    of = lambda i, j: F.when(both(i, j), F.struct(
+        F.lit(i).alias("i"), F.lit(j).alias("j"),
+        *[F.col(c).alias(a) for a, c in zip(_SUMS, ("n", f"s{i}", f"s{j}", f"s{i}_{i}", f"s{j}_{j}", f"s{i}_{j}"))]))
+    found = sums.select(F.explode(F.array_compact(F.array(*[of(i, j) for i, j in pairs]))).alias("p")).select("p.*")
+    none = local_table(spark, [{"i": i, "j": j, "n": 0.0} for i, j in pairs],       # pairs without a shared row
+                       "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS))
+    return found.unionByName(none).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
 
 
 def _by_matrix(data: DataFrame, p: int) -> DataFrame:
