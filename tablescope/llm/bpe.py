@@ -15,7 +15,7 @@ import base64
 import ctypes
 import hashlib
 import re
-from itertools import islice
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ FITS = 1 << 15              # answers of fits() that a worker remembers
 SIDE_BY_SIDE = 64           # bytes up to which pieces are encoded together, and remembered
 GROUP_BYTES = 1 << 17       # bytes of the pieces that are encoded together
 SLOTS = 1 << 20             # answers about pairs of tokens that a worker remembers
+EDGES = 1 << 18             # hashes of the edges of the tree of tokens
+DECODED = 1 << 13           # ids that are decoded together
 PORTION = 100_000           # pieces that are looked at together
 SLICE_BYTES = 1 << 21       # texts that a task holds as Python strings at a time; a longer text is held alone
 
@@ -44,29 +46,39 @@ class Vocabulary:
         for token, i in self.ranks.items():
             self.tokens[i] = token
         self.longest = max(map(len, self.ranks))
+        self.lengths = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
+        self._bytes, self._from = np.frombuffer(b"".join(self.tokens), np.uint8), np.cumsum(self.lengths) - self.lengths
+        # Every way to cut a token into two, in order of ``left part << 32 | right part``: what the two give when put together.
+        ranks = self.ranks
+        cuts = [(x, y, i) for token, i in ranks.items() for n in range(1, len(token))
+                if (x := ranks.get(token[:n])) is not None and (y := ranks.get(token[n:])) is not None]
+        x, y, i = np.array(cuts, np.int64).reshape(-1, 3).T
+        order = np.argsort(x << 32 | y)
+        x, y, i = x[order], y[order], i[order]
+        self._cuts, self._joined = x << 32 | y, i
+        self._left, self._right = self._last_merges(x, y, i)
         # left[i], right[i]: the two tokens whose merge makes token i. A byte stands for itself; a token that merges never make has no entry.
-        self.left, self.right = {}, {}
-        for token, i in self.ranks.items():
-            parts = self._merged(token, i)
-            if len(token) == 1:
-                self.left[i] = self.right[i] = i
-            elif len(parts) == 2:
-                self.left[i], self.right[i] = self.ranks[parts[0]], self.ranks[parts[1]]
-        self.made = {self.tokens[i]: i for i in self.left}
-        self.lengths = list(map(len, self.tokens))
+        made = np.flatnonzero(self._left >= 0).tolist()
+        self.left, self.right = (dict(zip(made, side[made].tolist())) for side in (self._left, self._right))
+        self.made = {self.tokens[i]: i for i in made}
         self._fits: dict[tuple[int, int], bool] = {}
         self._edges = None
-        self._slot_pair, self._slot_fits = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
-
-    def _merged(self, token: bytes, below: int) -> list[bytes]:
-        """``token`` after all merges of a rank under ``below``."""
-        parts = [token[i:i + 1] for i in range(len(token))]
-        while len(parts) > 2:
-            rank, at = min((self.ranks.get(a + b, below), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank >= below:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        self._slots = np.full(SLOTS, -1, np.int64)      # pair << 1 | whether it fits, at one place for each hash
+
+    def _last_merges(self, x: np.ndarray, y: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens whose merge makes each token: of its cuts the one that earlier merges leave; -1 without one. Shorter tokens come first."""
+        left = np.full(len(self.tokens), -1, np.int64)
+        right = left.copy()
+        single = np.fromiter((i for t, i in self.ranks.items() if len(t) == 1), np.int64)
+        left[single] = right[single] = single
+        early_x, early_y = (x < i) | (self.lengths[x] == 1), (y < i) | (self.lengths[y] == 1)
+        order = np.argsort(self.lengths[i], kind="stable")
+        order = order[(early_x & early_y)[order]]
+        for some in np.split(order, np.flatnonzero(np.diff(self.lengths[i[order]])) + 1):
+            some = some[(left[x[some]] >= 0) & (left[y[some]] >= 0)]
+            some = some[self._borders_hold(x[some], y[some], i[some], left, right)]
+            left[i[some]], right[i[some]] = x[some], y[some]
+        return left, right
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the bytes of tokens ``a`` and ``b`` in a row are encoded as just these two.
@@ -94,20 +106,38 @@ class Vocabulary:
             else:       # of equal merges the left one comes first, so a merge of this same rank over the border wins
                 before, b = b + 1, left[b]
 
+    def _borders_hold(self, a: np.ndarray, b: np.ndarray, before: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_border_holds`` of many pairs, side by side, under the merges of a rank below ``before``."""
+        out, open_ = np.ones(len(a), bool), np.arange(len(a))
+        while len(open_):
+            pair = a << 32 | b
+            at = np.minimum(np.searchsorted(self._cuts, pair), len(self._cuts) - 1)
+            broken = (self._cuts[at] == pair) & (self._joined[at] < before) if len(self._cuts) else np.zeros(len(a), bool)
+            out[open_[broken]] = False
+            split_a, split_b = right[a] != a, left[b] != b
+            of_a = split_a & ((a > b) | ~split_b)
+            before, a, b = np.where(of_a, a, b + 1), np.where(of_a, right[a], a), np.where(of_a, b, left[b])
+            on = ~broken & (split_a | split_b)
+            open_, before, a, b = open_[on], before[on], a[on], b[on]
+        return out
+
+    @staticmethod
+    def _hash(keys: np.ndarray) -> np.ndarray:
+        return keys * 0x9E3779B97F4A7C1 >> 40       # the lower bits of the product do not depend on the token in the upper half
+
     def _fit_all(self, pairs: np.ndarray) -> np.ndarray:
-        """``fits`` of each ``a << 32 | b``; -1 (nothing before the token) fits. Answers stay in a table with one place for each hash."""
-        place = (pairs * 0x9E3779B97F4A7C1 >> 20) & (SLOTS - 1)
-        new = (self._slot_pair[place] != pairs) & (pairs >= 0)
-        if new.any():
-            distinct = np.unique(pairs[new])
-            answers = np.fromiter((self._border_holds(p >> 32, p & 0xFFFFFFFF) for p in distinct.tolist()), bool, len(distinct))
-            out = self._slot_fits[place] | (pairs < 0)
-            out[new] = answers[np.searchsorted(distinct, pairs[new])]
-            at = (distinct * 0x9E3779B97F4A7C1 >> 20) & (SLOTS - 1)
-            self._slot_fits[at] = answers
-            self._slot_pair[at] = distinct
-            return out
-        return self._slot_fits[place] | (pairs < 0)
+        """``fits`` of each ``a << 32 | b``; a negative one (nothing before the token) fits. Answers are remembered."""
+        place = self._hash(pairs) & (SLOTS - 1)
+        known = self._slots[place]
+        out = (known & 1).astype(bool) | (pairs < 0)
+        new = np.flatnonzero((known >> 1 != pairs) & (pairs >= 0))
+        if len(new):
+            distinct, of = np.unique(pairs[new], return_inverse=True)
+            a, b = distinct >> 32, distinct & 0xFFFFFFFF
+            answers = self._borders_hold(a, b, np.full(len(a), len(self.tokens)), self._left, self._right)
+            out[new] = answers[of]
+            self._slots[self._hash(distinct) & (SLOTS - 1)] = distinct << 1 | answers
+        return out
 
     def last_tokens(self, piece: bytes, last: list[int]) -> list[int]:
         """Extend ``last`` (last[i]: last token of the first i bytes; last[0] is unused) to the whole of ``piece``."""
@@ -133,83 +163,93 @@ class Vocabulary:
             return [whole]
         return self.read_off(self.last_tokens(piece, [-1]))
 
-    def _trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys, next, token): edges ``state * 256 + byte`` in order, the state they lead to, and each state's token or -1."""
+    def _trie(self) -> tuple[np.ndarray, ...]:
+        """(bucket, key, next, token): where each hash starts, edges ``state << 9 | byte`` in order of their hash, the state they lead to, and each state's
+        token or -1."""
         if self._edges is None:
             states: dict[bytes, int] = {b"": 0}
             for token in sorted(self.made, key=len):
                 for n in range(1, len(token) + 1):
                     states.setdefault(token[:n], len(states))
-            keys = np.array([states[p[:-1]] * 256 + p[-1] for p in states if p], np.int64)
-            to = np.array([i for p, i in states.items() if p], np.int64)
+            key = np.array([states[p[:-1]] << 9 | p[-1] for p in states if p], np.int64)
             of = np.full(len(states), -1, np.int64)
             for token, i in self.made.items():
                 of[states[token]] = i
-            order = np.argsort(keys)
-            self._edges = keys[order], to[order], of
+            hashes = self._hash(key) & (EDGES - 1)
+            order = np.argsort(hashes)
+            bucket = np.searchsorted(hashes[order], np.arange(EDGES + 1)).astype(np.int32)
+            self._edges = bucket, key[order], order + 1, of     # the state of number n came in by edge n - 1
         return self._edges
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """``encode_piece`` of many pieces, in groups of about GROUP_BYTES."""
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        out, at = [], 0
+    def _tokens_in(self, data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every token in ``data`` at the places ``start``, as (start, end, token). No token has the value 256."""
+        bucket, keys, to, of = self._trie()
+        end, state, found = start, np.zeros(len(start), np.int64), [(start[:0],) * 3]
+        while len(start):
+            key = state << 9 | data[end]
+            hashes = self._hash(key) & (EDGES - 1)
+            at, stop = bucket[hashes], bucket[hashes + 1]
+            hit = np.full(len(key), -1)
+            look = np.flatnonzero(at < stop)
+            while len(look):        # mostly once
+                same = keys[at[look]] == key[look]
+                hit[look[same]] = at[look[same]]
+                look = look[~same]
+                at[look] += 1
+                look = look[at[look] < stop[look]]
+            some = np.flatnonzero(hit >= 0)
+            start, end, state = start[some], end[some] + 1, to[hit[some]]
+            token = of[state]
+            some = np.flatnonzero(token >= 0)
+            found.append((start[some], end[some], token[some]))
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): the ids of all pieces in a row, and how many each has. Pieces go in groups of about GROUP_BYTES."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends, done, at = np.cumsum(sizes), [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         while at < len(pieces):
             before = int(ends[at - 1]) if at else 0
             to = max(at + 1, int(np.searchsorted(ends, before + GROUP_BYTES, "right")))
-            out += self._encode_group(pieces[at:to])
+            done.append(self._encode_group(b"".join(pieces[at:to]), sizes[at:to]))
             at = to
-        return out
+        return tuple(map(np.concatenate, zip(*done)))
 
-    def _encode_group(self, pieces: list[bytes]) -> list[list[int]]:
+    def _encode_group(self, joined: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The tables of all pieces grow by one prefix at a time, side by side."""
-        keys, to, of = self._trie()
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        ends = np.cumsum(sizes)
-        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
-        local = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
-        left = np.repeat(sizes, sizes) - local      # bytes from here to the end of the piece
-        # Every token that occurs in a piece, as (start, length, token).
-        start, state, found = np.arange(len(data)), np.zeros(len(data), np.int64), []
-        for n in range(self.longest):
-            inside = left[start] > n
-            start, state = start[inside], state[inside]
-            if not len(start):
-                break
-            key = state * 256 + data[start + n]
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[at] == key
-            start, state = start[hit], to[at[hit]]
-            token = of[state]
-            some = token >= 0
-            found.append((start[some], np.full(int(some.sum()), n + 1), token[some]))
-        start, length, token = (np.concatenate(x) for x in zip(*found))
-        until = local[start] + length
-        order = np.argsort(until, kind="stable")
-        start, length, token = start[order], length[order], token[order]
-        bounds = np.searchsorted(until[order], np.arange(1, int(sizes.max()) + 2))
-        last = np.full(len(data), -1, np.int64)         # by the last byte of the prefix
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            s, n, t = start[a:b], length[a:b], token[a:b]
-            opens = local[s] == 0
-            pair = (last[s - 1] << 32) | t
-            pair[opens] = -1
-            good = self._fit_all(pair)
-            last[(s + n - 1)[good]] = t[good]
-        last, lengths, out = last.tolist(), self.lengths, []
-        for piece, end, size in zip(pieces, ends.tolist(), sizes.tolist()):
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                out.append([whole])
-                continue
-            ids, stop = [], end - size
-            while end > stop:
-                ids.append(last[end - 1])
-                end -= lengths[ids[-1]]
-            out.append(ids[::-1])
-        return out
+        # A piece of n bytes has n + 1 places, the first for its empty prefix; they hold the byte after each prefix, or 256.
+        after = np.cumsum(sizes + 1)
+        data = np.full(len(joined) + len(sizes), 256, np.int64)
+        inside = np.ones(len(data), bool)
+        inside[after - 1] = False
+        data[inside] = np.frombuffer(joined, np.uint8)
+        start, end, token = self._tokens_in(data, np.flatnonzero(inside))
+        prefix = (np.arange(len(data)) - np.repeat(after - sizes - 1, sizes + 1)).astype(np.min_scalar_type(int(sizes.max())))
+        order = np.argsort(prefix[end], kind="stable")      # a radix sort, as the numbers are short
+        bounds = np.cumsum(np.bincount(prefix[end])).tolist()
+        start, end, token = start[order], end[order], token[order]
+        last = np.full(len(data), -1, np.int64)             # the last token of each prefix
+        for a, b in zip(bounds, bounds[1:]):
+            good = self._fit_all(last[start[a:b]] << 32 | token[a:b])
+            last[end[a:b][good]] = token[a:b][good]
+        # The ids are those at the places that are met on the way back from the ends.
+        met, at = np.zeros(len(data), bool), (after - 1)[sizes > 0]
+        while len(at):
+            met[at] = True
+            at = at - self.lengths[last[at]]
+            at = at[last[at] >= 0]
+        return last[met], np.diff(np.cumsum(met)[after - 1], prepend=0)
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return b"".join(self.decoded(np.fromiter(ids, np.int64)))
+
+    def decoded(self, ids: np.ndarray):
+        """The bytes of ``ids``, in portions."""
+        for at in range(0, len(ids), DECODED):
+            some = ids[at:at + DECODED]
+            lengths = self.lengths[some]
+            ends = np.cumsum(lengths)
+            yield self._bytes[np.arange(int(ends[-1])) + np.repeat(self._from[some] - ends + lengths, lengths)].tobytes()
 
 
 class EncodedBytes:
@@ -266,22 +306,27 @@ class Encoder:
                 pass
         return self.any
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Put the ids of ``pieces`` into the cache."""
-        missing = pieces.difference(self.pieces)
-        if len(self.pieces) + len(missing) > CACHE_PIECES:
-            self.pieces.clear()
-            missing = pieces
-        short, long = [], []
+    def _learn(self, parts: list[list[str]]) -> None:
+        """Put the ids of the pieces of ``parts`` into the cache."""
+        known, ranks = self.pieces, self.vocabulary.ranks
+        missing = set(filterfalse(known.__contains__, chain.from_iterable(parts)))
+        if len(known) + len(missing) > CACHE_PIECES:
+            known.clear()
+            missing = set(chain.from_iterable(parts))
+        short, short_bytes = [], []
         for piece in missing:
             data = piece.encode()
-            (short if len(data) <= SIDE_BY_SIDE else long).append((piece, data))
-        done = self.vocabulary.encode_pieces([d for _, d in short]) + [self.vocabulary.encode_piece(d) for _, d in long]
-        ends = np.cumsum([len(x) for x in done]).tolist()
-        packed = np.fromiter((i for x in done for i in x), "<u4", ends[-1] if ends else 0).tobytes()
-        at = 0
-        for (piece, _), end in zip(short + long, ends):
-            self.pieces[piece] = packed[4 * at:4 * end]
+            if (whole := ranks.get(data)) is not None:
+                known[piece] = whole.to_bytes(4, "little")
+            elif len(data) <= SIDE_BY_SIDE:
+                short.append(piece)
+                short_bytes.append(data)
+            else:
+                known[piece] = np.array(self.vocabulary.encode_piece(data), "<u4").tobytes()
+        ids, counts = self.vocabulary.encode_pieces(short_bytes)
+        packed, at = ids.astype("<u4").tobytes(), 0
+        for piece, end in zip(short, (4 * np.cumsum(counts)).tolist()):
+            known[piece] = packed[at:end]
             at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -291,7 +336,7 @@ class Encoder:
         held = 0
 
         def finish():
-            self._learn(set().union(*(p for _, p in waiting)))
+            self._learn([p for _, p in waiting])
             for i, p in waiting:
                 out[i] += b"".join(map(self.pieces.__getitem__, p))
 
@@ -359,14 +404,17 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text: str =
 
     def run(batches):
         encoder = encoder_of(ranks.value, pattern)
-        tokens, sha = encoder.vocabulary.tokens, hashlib.sha256
+        sha = hashlib.sha256
         for b in _slices(batches, text):
             packed, counts, of_ids, of_bytes = [], [], [], []
             at = b.schema.get_field_index(text)
             for data in encoder.encode([x or "" for x in b.column(at).to_pylist()]):
                 counts.append(len(data) // 4)
                 of_ids.append(sha(data).hexdigest())
-                of_bytes.append(sha(b"".join(map(tokens.__getitem__, np.frombuffer(data, "<u4").tolist()))).hexdigest())
+                decoded = sha()
+                for part in encoder.vocabulary.decoded(np.frombuffer(data, "<u4")):
+                    decoded.update(part)
+                of_bytes.append(decoded.hexdigest())
                 if ids:
                     packed.append(data)
             columns = [b.column(i) for i in range(b.num_columns) if i != at]
